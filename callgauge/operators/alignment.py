@@ -9,13 +9,35 @@ from pyspark.sql import Column, DataFrame, functions as F
 from callgauge.functions import calendar as cal
 from callgauge.functions.fixed import FALLBACK_DAYS, TIGHT_DAYS
 from callgauge.functions.numeric import relative_change
-from callgauge.operators.ordering import RangeFn, asof, calendar_range, nth_after
+from callgauge.operators.ordering import RangeFn, asof_within, calendar_range, daily_lookup, nearby
 
 
 def _as_date(df: DataFrame, col: str, by_date: bool) -> DataFrame:
     return df.withColumn(col, F.to_date(col)) if by_date else df
 
 
+def _statement_lookup(moments, right, by, left_on, right_on, cols, fallback, name):
+    """Newest statement within the fallback window per distinct (key, moment)."""
+    return asof_within(moments, right, by, left_on, right_on, cols, name=name, range_of=calendar_range(fallback + 1))
+
+
+def _tiered(found: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, tight: int, fallback: int, name: str) -> DataFrame:
+    """Match type and gap from the found statement and the first statement of the key."""
+    first = right.filter(F.col(right_on).isNotNull()).groupBy(*by).agg(F.min(right_on).alias("__first"))
+    out = found.join(first, by, "left").withColumn("__d", cal.days_between(F.col(left_on), F.col(f"{name}.{right_on}")))
+    kind = (
+        F.when(F.col(left_on).isNull(), "no_date")
+        .when(F.col("__first").isNull(), "no_ticker")
+        .when(F.col("__first") > F.col(left_on), "all_future")
+        .when(F.col("__d") <= tight, "tight")
+        .when(F.col("__d") <= fallback, "fallback")
+        .otherwise("too_stale")
+    )
+    out = out.withColumn("match_type", kind)
+    kept = F.col("match_type").isin("tight", "fallback")
+    return out.withColumns({name: F.when(kept, F.col(name)), "match_days": F.when(kept, F.col("__d"))}).drop("__first", "__d")
+
+
 def asof_tiered(
     left: DataFrame,
     right: DataFrame,
@@ -32,37 +54,37 @@ def asof_tiered(
 
     ``tight`` up to 120 days back, ``fallback`` up to 180; farther back ``too_stale``;
     ``all_future`` when the key has only later statements, ``no_ticker`` when it has none.
-    Only what lies within the fallback window is carried, so each statement visits two
+    Only what lies within the fallback window is looked at, so each statement visits two
     calendar ranges and no window spans a whole key.
     """
     by = list(by)
     left, right = _as_date(left, left_on, by_date), _as_date(right, right_on, by_date)
     cols = list(cols if cols is not None else [c for c in right.columns if c not in (*by, right_on)])
-    found = asof(
-        left, right, by, left_on, right_on, cols, name=name,
-        range_of=calendar_range(fallback + 1), within_ranges=1,
-    )
-    first = right.filter(F.col(right_on).isNotNull()).groupBy(*by).agg(F.min(right_on).alias("__first"))
-    days = cal.days_between(F.col(left_on), F.col(f"{name}.{right_on}"))
-    out = found.join(first, by, "left").withColumn("match_days", days)
-    kind = (
-        F.when(F.col(left_on).isNull(), "no_date")
-        .when(F.col("__first").isNull(), "no_ticker")
-        .when(F.col("__first") > F.col(left_on), "all_future")
-        .when(F.col("match_days") <= tight, "tight")
-        .when(F.col("match_days") <= fallback, "fallback")
-        .otherwise("too_stale")
-    )
-    out = out.withColumn("match_type", kind)
-    kept = F.col("match_type").isin("tight", "fallback")
-    return out.select(
-        *left.columns,
-        F.when(kept, F.col(name)).alias(name),
-        F.when(kept, F.col("match_days")).alias("match_days"),
-        "match_type",
+    table = _statement_lookup(left, right, by, left_on, right_on, cols, fallback, name)
+    found = left.join(table, [*by, left_on], "left")
+    return _tiered(found, right, by, left_on, right_on, tight, fallback, name).select(*left.columns, name, "match_days", "match_type")
+
+
+def _window_lookup(moments, prices, by, event_on, price_on, close, days_after, range_of):
+    """Bar before and bar after per distinct (key, moment)."""
+    return nearby(
+        moments, prices.select(*by, price_on, close), by, event_on, price_on, [close],
+        before="__before", after="__after", n_after=days_after, range_of=range_of,
     )
 
 
+def _window_columns(price_on: str, close: str) -> list[Column]:
+    both = F.col("__before").isNotNull() & F.col("__after").isNotNull()
+    pick = lambda c: F.when(both, F.col(c))
+    return [
+        pick(f"__before.{price_on}").alias("market_date_before"),
+        pick(f"__after.{price_on}").alias("market_date_after"),
+        pick(f"__before.{close}").alias("price_before_earnings"),
+        pick(f"__after.{close}").alias("price_after_earnings"),
+        relative_change(pick(f"__after.{close}"), pick(f"__before.{close}")).alias("stock_return_3day"),
+    ]
+
+
 def event_window_prices(
     events: DataFrame,
     prices: DataFrame,
@@ -76,24 +98,12 @@ def event_window_prices(
 ) -> DataFrame:
     """Last close at or before the event, and the third bar after it (the last one if fewer follow).
 
-    The bar after is found on the price side first, so events meet prices only once. An
-    event without a bar on both sides keeps nulls.
+    An event without a bar on both sides keeps nulls.
     """
     by = list(by)
     events, prices = _as_date(events, event_on, by_date), _as_date(prices, price_on, by_date)
-    bars = prices.select(*by, price_on, close)
-    ahead = nth_after(bars, by, price_on, days_after, [close], name="__after", range_of=range_of)
-    found = asof(events, ahead, by, event_on, price_on, [close, "__after"], name="__bar", range_of=range_of)
-    both = F.col(f"__bar.__after.{price_on}").isNotNull()
-    pick = lambda c: F.when(both, F.col(c))
-    return found.select(
-        *events.columns,
-        pick(f"__bar.{price_on}").alias("market_date_before"),
-        pick(f"__bar.__after.{price_on}").alias("market_date_after"),
-        pick(f"__bar.{close}").alias("price_before_earnings"),
-        pick(f"__bar.__after.{close}").alias("price_after_earnings"),
-        relative_change(pick(f"__bar.__after.{close}"), pick(f"__bar.{close}")).alias("stock_return_3day"),
-    )
+    table = _window_lookup(events, prices, by, event_on, price_on, close, days_after, range_of)
+    return events.join(table, [*by, event_on], "left").select(*events.columns, *_window_columns(price_on, close))
 
 
 def match_all(
@@ -110,9 +120,22 @@ def match_all(
     fallback: int = FALLBACK_DAYS,
     by_date: bool = False,
 ) -> DataFrame:
-    """Every call with its statement, its price window, and ``outcome``: aligned or the reason why not."""
-    with_statement = asof_tiered(calls, statements, [ticker], call_date, statement_date, None, tight, fallback, by_date=by_date)
-    both = event_window_prices(with_statement, prices, [ticker], call_date, price_date, close, by_date=by_date)
+    """Every call with its statement, its price window, and ``outcome``: aligned or the reason why not.
+
+    Both lookups are made for the distinct (ticker, date) pairs of the calls alone, so the
+    calls themselves, texts and all, are shuffled once.
+    """
+    by = [ticker]
+    calls, statements, prices = (
+        _as_date(d, c, by_date) for d, c in ((calls, call_date), (statements, statement_date), (prices, price_date))
+    )
+    asked = calls.select(ticker, call_date)
+    cols = [c for c in statements.columns if c not in (ticker, statement_date)]
+    table = _statement_lookup(asked, statements, by, call_date, statement_date, cols, fallback, "statement")
+    windows = _window_lookup(asked, prices, by, call_date, price_date, close, 3, None)
+    found = calls.join(table, [ticker, call_date], "left").join(windows, [ticker, call_date], "left")
+    tiered = _tiered(found, statements, by, call_date, statement_date, tight, fallback, "statement")
+    both = tiered.select(*calls.columns, "statement", "match_days", "match_type", *_window_columns(price_date, close))
     outcome = (
         F.when(F.col("match_type") == "no_date", "temporal_mismatch")
         .when(F.col("statement").isNull(), F.col("match_type"))
@@ -150,15 +173,23 @@ def alignment_rejects(calls: DataFrame, statements: DataFrame, prices: DataFrame
 
 
 def benchmark_window_return(
-    df: DataFrame, index: DataFrame, start: str, end: str, index_on: str = "date", close: str = "close",
-    range_of: RangeFn | None = None,
+    df: DataFrame, index: DataFrame, start: str, end: str, index_on: str = "date", close: str = "close"
 ) -> DataFrame:
-    """Index return over each window: close at or before its start to close at or after its end."""
-    opened = asof(df, index, [], start, index_on, [close], name="__open", range_of=range_of)
-    closed = asof(opened, index, [], end, index_on, [close], name="__close", forward=True, range_of=range_of)
-    return closed.select(
-        *df.columns, relative_change(F.col(f"__close.{close}"), F.col(f"__open.{close}")).alias("sp500_return_3day")
+    """Index return over each window of days: close at or before its start to close at or after its end.
+
+    The index becomes a table with one row per calendar day, so the rows of ``df`` need
+    only two equality joins with something as short as the calendar.
+    """
+    days = daily_lookup(index, index_on, close)
+    newest = index.agg(F.max_by(close, index_on).alias("__newest"), F.max(F.to_date(index_on)).alias("__last")).withColumn("__one", F.lit(1))
+    opened = days.select(F.col("day").alias("__s"), F.col("at_or_before").alias("__open"))
+    closed = days.select(F.col("day").alias("__e"), F.col("at_or_after").alias("__close"))
+    out = (
+        df.withColumns({"__s": F.to_date(start), "__e": F.to_date(end), "__one": F.lit(1)})
+        .join(opened, "__s", "left").join(closed, "__e", "left").join(newest, "__one", "left")
     )
+    first = F.when(F.col("__s") > F.col("__last"), F.coalesce("__open", "__newest")).otherwise(F.col("__open"))
+    return out.select(*df.columns, relative_change(F.col("__close"), first).alias("sp500_return_3day"))
 
 
 def abnormal_return(stock: Column, index: Column) -> Column:

@@ -132,7 +132,7 @@ def drop_constant_columns(df: DataFrame, cols: Sequence[str] | None = None) -> D
 
 def labels(df: DataFrame, value: str = "abnormal_return", fit_on: DataFrame | None = None) -> DataFrame:
     """Above 0, above the median, and thirds; thresholds come from ``fit_on`` or the data itself."""
-    mid, low, high = exact_quantiles(fit_on if fit_on is not None else df, [value], [0.5, 0.33, 0.67])[value]
+    mid, low, high = exact_quantiles(fit_on if fit_on is not None else df, [value], [0.5, 0.33, 0.67], keep=True)[value]
     v = F.col(value)
     above = lambda t: F.coalesce((v > F.lit(t)).cast("int"), F.lit(0))
     return df.withColumns({

@@ -68,18 +68,6 @@ def even_range(df: DataFrame, col: str, ranges: int | None = None) -> RangeFn:
     return lambda c: range_index(order_number(c, dtype), bounds)
 
 
-def _names(df: DataFrame, *wanted: str) -> list[str]:
-    """Working column names that do not clash with those of ``df``."""
-    taken = set(df.columns)
-    out = []
-    for name in wanted:
-        while name in taken:
-            name = "_" + name
-        taken.add(name)
-        out.append(name)
-    return out
-
-
 # ---------------------------------------------------------------- running totals
 
 def running_totals(
@@ -156,7 +144,7 @@ def fill_forward(
     closers = ranged.groupBy(*by, "__r").agg(
         *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), moment)).alias(f"__{c}") for c in cols]
     )
-    earlier = W.partitionBy(*by).orderBy("__r").rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.partitionBy(*(by or [F.lit(0)])).orderBy("__r").rowsBetween(W.unboundedPreceding, -1)
     carry = closers.select(*by, "__r", *[F.last(f"__{c}", True).over(earlier).alias(f"__{c}") for c in cols])
     inside = W.partitionBy(*by, "__r").orderBy(order, *ties).rowsBetween(W.unboundedPreceding, 0)
     filled = ranged.withColumns({c: F.last(c, True).over(inside) for c in cols})
@@ -201,63 +189,147 @@ def nth_after(
 
 # ---------------------------------------------------------------- as-of
 
+def _folded(moments: DataFrame, facts: DataFrame, by: list[str], on: str, facts_on: str, cols: Sequence[str], range_of: RangeFn) -> DataFrame:
+    """One row per key and moment: ``__asks`` if a left row asks there, ``__v`` the fact there, ``__r`` the range.
+
+    Of several facts at one moment the largest by ``cols`` is kept.
+    """
+    value = F.struct(F.col(facts_on).alias(facts_on), *[F.col(c) for c in cols if c != facts_on])
+    asks = moments.filter(F.col(on).isNotNull()).select(*by, F.col(on).alias("__t")).distinct()
+    has = facts.filter(F.col(facts_on).isNotNull()).select(
+        *by, F.col(facts_on).alias("__t"), F.lit(False).alias("__asks"), value.alias("__v")
+    )
+    empty = F.lit(None).cast(has.schema["__v"].dataType)
+    both = asks.select(*by, "__t", F.lit(True).alias("__asks"), empty.alias("__v")).unionByName(has)
+    folded = both.groupBy(*by, "__t").agg(F.max("__v").alias("__v"), F.max("__asks").alias("__asks"))
+    return folded.withColumn("__r", range_of(F.col("__t")))
+
+
+def _over_ranges(by: list[str]) -> list:
+    return list(by) or [F.lit(0)]
+
+
+def nearby(
+    moments: DataFrame, facts: DataFrame, by: Sequence[str], on: str, facts_on: str, cols: Sequence[str],
+    *, before: str | None = "before", after: str | None = None, n_after: int = 3, range_of: RangeFn | None = None,
+) -> DataFrame:
+    """Lookup table: per distinct key and moment the newest fact at or before it, and the n-th
+    fact after it (the last one if fewer follow).
+
+    Both come from one sort inside ``(key, range)``; the last fact and the first n facts of
+    every range cross the borders.
+    """
+    by = list(by)
+    n = n_after if after else 0
+    range_of = range_of or calendar_range(366)
+    folded = _folded(moments, facts, by, on, facts_on, cols, range_of)
+    inside = W.partitionBy(*by, "__r").orderBy("__t")
+    so_far = inside.rowsBetween(W.unboundedPreceding, 0)
+    keys = ", ".join([*[f"`{c}`" for c in by], "__r"])
+    ahead = [F.expr(f"lead(__v, {k}) IGNORE NULLS OVER (PARTITION BY {keys} ORDER BY __t)") for k in range(1, n + 1)]
+    seen = folded.withColumns({
+        "__m": F.last("__v", True).over(so_far),
+        "__i": F.count("__v").over(so_far),
+        **({"__next": F.array_compact(F.array(*ahead))} if n else {}),
+    })
+    border = seen.filter("__v is not null").groupBy(*by, "__r").agg(
+        F.max_by("__v", "__t").alias("__closer"),
+        *([F.sort_array(F.collect_list(F.when(F.col("__i") <= n, F.col("__v")))).alias("__heads")] if n else []),
+    )
+    asked = seen.filter("__asks").select(*by, "__r").distinct()
+    border = asked.withColumns({
+        "__closer": F.lit(None).cast(border.schema["__closer"].dataType),
+        **({"__heads": F.lit(None).cast(border.schema["__heads"].dataType)} if n else {}),
+    }).unionByName(border).groupBy(*by, "__r").agg(*[F.first(c, True).alias(c) for c in border.columns if c not in (*by, "__r")])
+    ranges = W.partitionBy(*_over_ranges(by)).orderBy("__r")
+    range_keys = ", ".join(f"`{c}`" for c in by) or "0"
+    later = [F.expr(f"lead(__heads, {k}) IGNORE NULLS OVER (PARTITION BY {range_keys} ORDER BY __r)") for k in range(1, n + 1)]
+    border = border.select(
+        *by, "__r",
+        F.last("__closer", True).over(ranges.rowsBetween(W.unboundedPreceding, -1)).alias("__carry"),
+        *([F.flatten(F.array_compact(F.array(*later))).alias("__later")] if n else []),
+    )
+    found = seen.filter("__asks").join(border, [*by, "__r"], "left")
+    out = [*by, F.col("__t").alias(on)]
+    if before:
+        out.append(F.coalesce("__m", "__carry").alias(before))
+    if after:
+        following = F.slice(F.concat("__next", "__later"), 1, n)
+        out.append(F.try_element_at(following, F.lit(-1)).alias(after))
+    return found.select(*out)
+
+
+def asof_within(
+    moments: DataFrame, facts: DataFrame, by: Sequence[str], on: str, facts_on: str, cols: Sequence[str],
+    *, name: str = "match", range_of: RangeFn, ranges_back: int = 1,
+) -> DataFrame:
+    """Lookup table: per distinct key and moment the newest fact at or before it, seen only up to
+    ``ranges_back`` ranges away: each fact visits those ranges, and nothing has to be carried."""
+    by = list(by)
+    folded = _folded(moments, facts, by, on, facts_on, cols, range_of)
+    visits = F.when(F.col("__v").isNotNull(), F.array(*map(F.lit, range(ranges_back + 1)))).otherwise(F.array(F.lit(0)))
+    spread = folded.withColumn("__s", F.explode(visits)).select(
+        *by, "__t", "__v", (F.col("__asks") & (F.col("__s") == 0)).alias("__asks"), (F.col("__r") + F.col("__s")).alias("__r")
+    )
+    so_far = W.partitionBy(*by, "__r").orderBy("__t").rowsBetween(W.unboundedPreceding, 0)
+    found = spread.withColumn("__m", F.last("__v", True).over(so_far)).filter("__asks")
+    return found.select(*by, F.col("__t").alias(on), F.col("__m").alias(name))
+
+
 def asof(
-    left: DataFrame,
-    right: DataFrame,
-    by: Sequence[str],
-    left_on: str,
-    right_on: str,
-    cols: Sequence[str],
-    *,
-    name: str = "match",
-    forward: bool = False,
-    range_of: RangeFn | None = None,
-    within_ranges: int | None = None,
+    left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str, right_on: str, cols: Sequence[str],
+    *, name: str = "match", forward: bool = False, range_of: RangeFn | None = None,
 ) -> DataFrame:
     """Adds struct ``name`` to ``left``: the newest ``right`` row at or before ``left_on``
     (``forward``: the oldest at or after it), with ``right_on`` and ``cols``; null if none.
 
-    Of several right rows at one moment the largest by ``cols`` is taken. Both sides are
-    folded to one row per key and moment, resolved inside ``(key, range)`` and joined
-    back by equality, where adaptive execution splits a hot key. With ``within_ranges`` = k
-    only matches up to k ranges away are of interest: right rows are copied to those ranges
-    instead of carrying the last value across.
+    The lookup is resolved on distinct moments and joined back by equality, where adaptive
+    execution splits a hot key.
     """
     by = list(by)
+    if not forward:
+        table = nearby(left, right, by, left_on, right_on, cols, before=name, range_of=range_of)
+        return left.join(table, [*by, left_on], "left").select(*left.columns, name)
     range_of = range_of or calendar_range(366)
-    value = F.struct(F.col(right_on).alias(right_on), *[F.col(c) for c in cols if c != right_on])
-    moments = left.filter(F.col(left_on).isNotNull()).select(*by, F.col(left_on).alias("__t"), F.lit(True).alias("__asks"))
-    facts = right.filter(F.col(right_on).isNotNull()).select(
-        *by, F.col(right_on).alias("__t"), F.lit(False).alias("__asks"), value.alias("__v")
+    folded = _folded(left, right, by, left_on, right_on, cols, range_of)
+    back = W.partitionBy(*by, "__r").orderBy(F.desc("__t")).rowsBetween(W.unboundedPreceding, 0)
+    seen = folded.withColumn("__m", F.last("__v", True).over(back))
+    opener = F.min_by("__v", F.when(F.col("__v").isNotNull(), F.col("__t")))
+    border = seen.groupBy(*by, "__r").agg(opener.alias("__o")).select(
+        *by, "__r",
+        F.last("__o", True).over(
+            W.partitionBy(*_over_ranges(by)).orderBy(F.desc("__r")).rowsBetween(W.unboundedPreceding, -1)
+        ).alias("__carry"),
+    )
+    table = seen.filter("__asks").join(border, [*by, "__r"], "left").select(
+        *by, F.col("__t").alias(left_on), F.coalesce("__m", "__carry").alias(name)
+    )
+    return left.join(table, [*by, left_on], "left").select(*left.columns, name)
+
+
+def daily_lookup(series: DataFrame, on: str, value: str) -> DataFrame:
+    """One row per calendar day from the first to the last of a series: the newest value at or
+    before the day's start (``at_or_before``), the oldest at or after it (``at_or_after``).
+
+    The result is as long as the calendar, so joins on the day stay cheap however many rows ask.
+    """
+    ts = F.col(on).cast("timestamp")
+    known_by = F.to_date(ts + F.expr("INTERVAL 86399999999 MICROSECOND"))
+    points = series.filter(F.col(on).isNotNull())
+    back = points.groupBy(known_by.alias("day")).agg(F.max_by(value, ts).alias("at_or_before"))
+    ahead = points.groupBy(F.to_date(ts).alias("day")).agg(F.min_by(value, ts).alias("at_or_after"))
+    both = back.join(ahead, "day", "full")
+    width = F.datediff(F.lead("day").over(W.partitionBy(F.lit(0)).orderBy("day")), "day")
+    ordered = both.select(
+        "day", F.coalesce(width, F.lit(1)).alias("__gap"),
+        F.last("at_or_before", True).over(
+            W.partitionBy(F.lit(0)).orderBy("day").rowsBetween(W.unboundedPreceding, 0)).alias("at_or_before"),
+        F.col("at_or_after").alias("__here"),
+        F.last("at_or_after", True).over(
+            W.partitionBy(F.lit(0)).orderBy(F.desc("day")).rowsBetween(W.unboundedPreceding, -1)).alias("__next"),
+    )
+    days = ordered.withColumn("__k", F.explode(F.sequence(F.lit(0), F.col("__gap") - 1)))
+    return days.select(
+        F.date_add("day", F.col("__k")).alias("day"), "at_or_before",
+        F.when(F.col("__k") == 0, F.coalesce("__here", "__next")).otherwise(F.col("__next")).alias("at_or_after"),
     )
-    both = moments.withColumn("__v", F.lit(None).cast(facts.schema["__v"].dataType)).unionByName(facts)
-    folded = both.groupBy(*by, "__t").agg(F.max("__v").alias("__v"), F.max("__asks").alias("__asks"))
-    folded = folded.withColumn("__r", range_of(F.col("__t")))
-    along = F.col("__t").desc() if forward else F.col("__t").asc()
-    inside = W.partitionBy(*by, "__r").orderBy(along).rowsBetween(W.unboundedPreceding, 0)
-    if within_ranges is not None:
-        step = -1 if forward else 1
-        shifts = F.when(
-            F.col("__v").isNotNull(), F.array(*[F.lit(step * k) for k in range(within_ranges + 1)])
-        ).otherwise(F.array(F.lit(0)))
-        spread = folded.withColumn("__s", F.explode(shifts)).select(
-            *by, "__t", "__v",
-            (F.col("__asks") & (F.col("__s") == 0)).alias("__asks"), (F.col("__r") + F.col("__s")).alias("__r"),
-        )
-        found = spread.withColumn("__m", F.last("__v", True).over(inside)).filter("__asks")
-    else:
-        pick = F.min_by if forward else F.max_by
-        closers = folded.groupBy(*by, "__r").agg(
-            pick("__v", F.when(F.col("__v").isNotNull(), F.col("__t"))).alias("__c")
-        )
-        order = F.col("__r").desc() if forward else F.col("__r").asc()
-        earlier = W.partitionBy(*(by or [F.lit(0)])).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-        carry = closers.select(*by, "__r", F.last("__c", True).over(earlier).alias("__c"))
-        found = (
-            folded.withColumn("__m", F.last("__v", True).over(inside))
-            .filter("__asks")
-            .join(carry, [*by, "__r"], "left")
-            .withColumn("__m", F.coalesce("__m", "__c"))
-        )
-    found = found.select(*by, F.col("__t").alias(left_on), F.col("__m").alias(name))
-    return left.join(found, [*by, left_on], "left").select(*left.columns, name)

@@ -11,18 +11,26 @@ ACCURACY = 10_000
 
 
 def exact_quantiles(
-    df: DataFrame, cols: Sequence[str], ps: Sequence[float], single_pass_limit: int = 2_000_000, exact: bool = True
+    df: DataFrame, cols: Sequence[str], ps: Sequence[float], single_pass_limit: int = 2_000_000, exact: bool = True,
+    keep: bool = False,
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles per column, nulls skipped; ``None`` for an empty column.
 
     Few rows: one aggregate. Many rows: a sketch brackets each wanted rank, a second scan
     counts what lies below the bracket and groups only the values inside it. A bracket that
     missed its rank is widened to the whole column, so the result is exact either way.
-    ``exact=False`` returns the sketch's answer.
+    ``exact=False`` returns the sketch's answer. ``keep`` holds the columns between the two
+    passes, for inputs that are costly to compute.
     """
     cols, ps = list(cols), list(ps)
     if not cols:
         return {}
+    if keep:
+        held = df.select(*[F.col(f"`{c}`") for c in cols]).persist()
+        try:
+            return exact_quantiles(held, cols, ps, single_pass_limit, exact)
+        finally:
+            held.unpersist()
     slack = 5.0 / ACCURACY
     probes = sorted({p for q in ps for p in (q, max(0.0, q - slack), min(1.0, q + slack))})
     number = {c: F.col(f"`{c}`").cast("double") for c in cols}

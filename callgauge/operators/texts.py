@@ -94,7 +94,7 @@ def segment_counts(df: DataFrame) -> DataFrame:
     )
 
 
-def coalesce_text(df: DataFrame) -> DataFrame:
+def coalesce_text(df: DataFrame, markers: Sequence[str] = tuple(fixed.SPLIT_MARKERS)) -> DataFrame:
     """``management_text``, ``analyst_text`` and ``text`` of a call, whatever names it came with.
 
     Without any role text the best full text is split at its earliest plain marker.
@@ -110,7 +110,7 @@ def coalesce_text(df: DataFrame) -> DataFrame:
         "__f": first_of("full_text_cleaned", "full_text", "prepared_remarks_cleaned", "prepared_remarks"),
     })
     bare = tx.is_blank(F.col("__m")) & tx.is_blank(F.col("__a"))
-    at = F.coalesce(tx.split_marker_start(F.col("__f")), F.length("__f") + 1)
+    at = F.coalesce(tx.split_marker_start(F.col("__f"), markers), F.length("__f") + 1)
     return staged.withColumns({
         "management_text": F.when(bare, F.substring(F.col("__f"), F.lit(1), at - 1)).otherwise(F.col("__m")),
         "analyst_text": F.when(bare, F.substring(F.col("__f"), at, F.length("__f"))).otherwise(F.col("__a")),
@@ -190,7 +190,7 @@ def term_frequency(
 ) -> DataFrame:
     """Mentions of each watched term over all texts, with its class, most frequent first."""
     low = F.lower(F.col(text))
-    sums = df.agg(*[F.sum(F.regexp_count(low, F.lit(rf"\b{t}\b"))).alias(t) for t in terms])
+    sums = df.agg(*[F.sum(F.regexp_count(low, F.lit(r"(?<![\p{L}\p{N}_])" + t + r"(?![\p{L}\p{N}_])"))).alias(t) for t in terms])
     return (
         sums.unpivot([], [F.col(f"`{t}`") for t in terms], "term", "mentions")
         .withColumn("class", F.when(F.col("term").isin(*risk), "risk").otherwise("growth"))

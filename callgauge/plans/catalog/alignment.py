@@ -189,12 +189,12 @@ def target_violations(t):
     """
 SELECT ticker, strftime(date, '%Y-%m-%d') AS date,
        strftime(coalesce(lead(date, 3) OVER w, lead(date, 2) OVER w, lead(date, 1) OVER w), '%Y-%m-%d') AS after_date,
-       round(coalesce(lead(close, 3) OVER w, lead(close, 2) OVER w, lead(close, 1) OVER w), 7) AS after_close
+       round(coalesce(lead(close, 3) OVER w, lead(close, 2) OVER w, lead(close, 1) OVER w), 9) AS after_close
 FROM v_prices WINDOW w AS (PARTITION BY ticker ORDER BY date)""",
 )
 def nth_bar_after(t):
     out = od.nth_after(t.prices, ["ticker"], "date", 3, ["close"])
-    return out.select("ticker", day("date"), day("after.date", "after_date"), r("after.close", 7, "after_close"))
+    return out.select("ticker", day("date"), day("after.date", "after_date"), r("after.close", 9, "after_close"))
 
 
 @query(

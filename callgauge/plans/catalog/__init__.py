@@ -1,3 +1,3 @@
 """All registered queries; importing the modules registers them."""
 
-from callgauge.plans.catalog import alignment, summaries, tables, texts  # noqa: F401
+from callgauge.plans.catalog import alignment, features, models, summaries, tables, texts  # noqa: F401

@@ -87,19 +87,19 @@ def drop_empty_text(t):
     return tt.drop_empty_text(_cleaned(t)).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
 
-_AT = "coalesce({}) AS at".format(", ".join(
+_AT = "coalesce({}) AS pos".format(", ".join(
     f"CASE WHEN regexp_matches(text, '(?i){m}') THEN length(regexp_extract(text, '(?is)^(.*?)(?:{m})', 1)) + 1 END" for m in MARKERS))
 
 
-@query("split_qa", f"SELECT doc_id, coalesce(CASE WHEN at > 1 THEN at END, 0) AS at FROM (SELECT doc_id, {_AT} FROM documents)")
+@query("split_qa", f"SELECT doc_id, coalesce(CASE WHEN pos > 1 THEN pos END, 0) AS start FROM (SELECT doc_id, {_AT} FROM documents)")
 def split_qa(t):
-    return t.documents.select("doc_id", F.coalesce(tx.qa_start(F.col("text"), MARKERS), F.lit(0)).cast("long").alias("at"))
+    return t.documents.select("doc_id", F.coalesce(tx.qa_start(F.col("text"), MARKERS), F.lit(0)).cast("long").alias("start"))
 
 
 @query(
     "speaker_lines",
     r"""
-SELECT conv_id, turn, md5(regexp_replace(regexp_replace('Management: ' || upper(text) || ' Operator: bye', '\s*\n\s*', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS management,
+SELECT conv_id, turn, md5(regexp_replace(regexp_replace('Management: ' || upper(replace(text, 'ß', 'SS')) || ' Operator: bye', '\s*\n\s*', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS management,
        md5(regexp_replace(regexp_replace('Analyst:' || chr(10) || text, '\s*\n\s*', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS analyst
 FROM conversations""",
 )
@@ -134,11 +134,11 @@ def extract_analyst(t):
 @query(
     "segment",
     rf"""
-SELECT doc_id, at IS NULL AS fallback_used,
-       md5(CASE WHEN at IS NOT NULL THEN left(x, at - 1) ELSE '' END) AS management_before_marker,
-       md5(CASE WHEN at IS NOT NULL THEN array_to_string(regexp_extract_all(substr(x, at), '[^.!?]*\?[^.!?]*'), ' ')
+SELECT doc_id, pos IS NULL AS fallback_used,
+       md5(CASE WHEN pos IS NOT NULL THEN left(x, pos - 1) ELSE '' END) AS management_before_marker,
+       md5(CASE WHEN pos IS NOT NULL THEN array_to_string(regexp_extract_all(substr(x, pos), '[^.!?]*\?[^.!?]*'), ' ')
                 WHEN len(q) >= 3 THEN array_to_string(q, ' ') ELSE '' END) AS analyst
-FROM (SELECT doc_id, x, CASE WHEN at > 1 THEN at END AS at, regexp_extract_all(x, '[^.!?]*\?[^.!?]*') AS q
+FROM (SELECT doc_id, x, CASE WHEN pos > 1 THEN pos END AS pos, regexp_extract_all(x, '[^.!?]*\?[^.!?]*') AS q
       FROM (SELECT doc_id, text AS x, {_AT} FROM (SELECT doc_id, replace(text, ',', '?') AS text FROM documents)))""",
 )
 def segment(t):
@@ -231,8 +231,8 @@ def nlp_features(t):
 @query(
     "coalesce_text",
     """
-SELECT doc_id, md5(CASE WHEN at > 0 THEN left(text, at - 1) ELSE text END) AS management, md5(CASE WHEN at > 0 THEN substr(text, at) ELSE '' END) AS analyst
-FROM (SELECT doc_id, text, coalesce(least(nullif(strpos(upper(text), 'LICENSED UNDER'), 0), nullif(strpos(upper(text), ' THE '), 0)), 0) AS at FROM documents)""",
+SELECT doc_id, md5(CASE WHEN pos > 0 THEN left(text, pos - 1) ELSE text END) AS management, md5(CASE WHEN pos > 0 THEN substr(text, pos) ELSE '' END) AS analyst
+FROM (SELECT doc_id, text, coalesce(least(nullif(strpos(upper(replace(text, 'ß', 'SS')), 'LICENSED UNDER'), 0), nullif(strpos(upper(replace(text, 'ß', 'SS')), ' THE '), 0)), 0) AS pos FROM documents)""",
 )
 def coalesce_text(t):
     """Texts without roles fall back to the whole text and are split at the earliest plain marker."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from callgauge.functions import calendar as cal
 from callgauge.functions.fixed import FALLBACK_DAYS, TIGHT_DAYS
@@ -17,7 +17,13 @@ def _as_date(df: DataFrame, col: str, by_date: bool) -> DataFrame:
 
 
 def _statement_lookup(moments, right, by, left_on, right_on, cols, fallback, name):
-    """Newest statement within the fallback window per distinct (key, moment)."""
+    """Newest statement per distinct (key, moment), looked for within the fallback window.
+
+    Dates: each statement visits two ranges as wide as the window. Clock times: a key may have
+    very many moments in such a range, so narrow ranges with a carried last value are used.
+    """
+    if not isinstance(moments.schema[left_on].dataType, T.DateType):
+        return nearby(moments, right, by, left_on, right_on, cols, before=name)
     return asof_within(moments, right, by, left_on, right_on, cols, name=name, range_of=calendar_range(fallback + 1))
 
 

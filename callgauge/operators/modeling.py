@@ -337,10 +337,10 @@ def feature_importance(model, test: DataFrame, cols: Sequence[str], label: str,
     wrap = W.partitionBy("__r").orderBy("__h", key).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     shuffled = hashed.withColumns({f"__s{i}": F.coalesce(F.lag(c).over(w), F.last(c).over(wrap)) for i, c in enumerate(cols)})
     shuffled = shuffled.persist()
-    parts = [scored(model, assemble(shuffled, cols, "__x")).select(F.lit("").alias("feature"), F.col(label).alias("label"), "score")]
+    parts = [scored(model, assemble(shuffled, cols, model.getFeaturesCol())).select(F.lit("").alias("feature"), F.col(label).alias("label"), "score")]
     for i, c in enumerate(cols):
         swapped = shuffled.withColumn(c, F.col(f"__s{i}"))
-        parts.append(scored(model, assemble(swapped, cols, "__x")).select(F.lit(c).alias("feature"), F.col(label).alias("label"), "score"))
+        parts.append(scored(model, assemble(swapped, cols, model.getFeaturesCol())).select(F.lit(c).alias("feature"), F.col(label).alias("label"), "score"))
     auc = roc_auc(reduce(lambda a, b: a.unionByName(b), parts), "score", "label", ["feature"])
     whole = auc.filter("feature = ''").select(F.col("roc_auc").alias("__whole"), F.lit(1).alias("__one"))
     own = [float(v) for v in model.featureImportances.toArray()] if hasattr(model, "featureImportances") else [0.0] * len(cols)

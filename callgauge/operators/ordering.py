@@ -37,6 +37,14 @@ def calendar_range(days: int) -> RangeFn:
     return lambda c: F.floor(F.unix_seconds(c.cast("timestamp")) / F.lit(days * DAY))
 
 
+def default_range(df: DataFrame, col: str) -> RangeFn:
+    """Years for dates, hours for clock times: a key has few distinct moments in one range, and
+    few ranges altogether, whatever share of the rows it holds."""
+    if isinstance(df.schema[col].dataType, T.DateType):
+        return calendar_range(366)
+    return lambda c: F.floor(F.unix_seconds(c.cast("timestamp")) / F.lit(3600))
+
+
 def _pick(number: Column, bounds: Sequence[float], lo: int, hi: int) -> Column:
     if lo == hi:
         return F.lit(lo)
@@ -46,9 +54,24 @@ def _pick(number: Column, bounds: Sequence[float], lo: int, hi: int) -> Column:
     )
 
 
+def _search(number: Column, bounds: Sequence[float]) -> Column:
+    """Binary search in a literal array, for more borders than generated code can hold."""
+    edges = F.array(*map(F.lit, bounds))
+    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length() + 1))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        left = F.struct(s["lo"].alias("lo"), mid.alias("hi"))
+        right = F.struct((mid + 1).alias("lo"), s["hi"].alias("hi"))
+        return F.when(s["lo"] >= s["hi"], s).when(number <= F.get(edges, mid), left).otherwise(right)
+
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi")), halve, lambda s: s["lo"])
+
+
 def range_index(number: Column, bounds: Sequence[float]) -> Column:
-    """Position of the range a number falls in; a balanced tree of comparisons, null for null."""
-    return F.when(number.isNotNull(), _pick(number, bounds, 0, len(bounds)))
+    """Position of the range a number falls in; null for null."""
+    where = _pick(number, bounds, 0, len(bounds)) if len(bounds) <= 64 else _search(number, bounds)
+    return F.when(number.isNotNull(), where)
 
 
 def even_bounds(df: DataFrame, number: Column, ranges: int | None = None) -> list[float]:
@@ -57,7 +80,7 @@ def even_bounds(df: DataFrame, number: Column, ranges: int | None = None) -> lis
     if n <= 1:
         return []
     cuts = [i / n for i in range(1, n)]
-    row = df.agg(F.percentile_approx(number, F.array(*map(F.lit, cuts)), F.lit(10_000)).alias("b")).first()
+    row = df.agg(F.percentile_approx(number, F.array(*map(F.lit, cuts)), F.lit(max(10_000, 10 * n))).alias("b")).first()
     return sorted(set(row["b"] or []))
 
 
@@ -131,25 +154,47 @@ def chronological_index(df: DataFrame, order: str, ties: Sequence[str], name: st
 
 # ---------------------------------------------------------------- carrying values forward
 
+def running_max(df: DataFrame, by: Sequence[str], order: str, value: str, name: str = "before", range_of: RangeFn | None = None) -> DataFrame:
+    """Adds ``name``: the largest ``value`` at strictly smaller ``order`` of the key, null at the start."""
+    by = list(by)
+    range_of = range_of or even_range(df, order)
+    per_moment = df.groupBy(*by, order).agg(F.max(value).alias("__x")).withColumn("__r", range_of(F.col(order)))
+    tops = per_moment.groupBy(*by, "__r").agg(F.max("__x").alias("__top"))
+    earlier = W.partitionBy(*_over_ranges(by)).orderBy("__r").rowsBetween(W.unboundedPreceding, -1)
+    carry = tops.select(*by, "__r", F.max("__top").over(earlier).alias("__carry"))
+    inside = W.partitionBy(*by, "__r").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    table = (
+        per_moment.withColumn("__in", F.max("__x").over(inside)).join(carry, [*by, "__r"], "left")
+        .select(*by, order, F.greatest("__in", "__carry").alias(name))
+    )
+    return df.join(table, [*by, order], "left").select(*df.columns, name)
+
+
 def fill_forward(
-    df: DataFrame, by: Sequence[str], order: str, cols: Sequence[str], ties: Sequence[str] = (), range_of: RangeFn | None = None
+    df: DataFrame, by: Sequence[str], order: str, cols: Sequence[str], range_of: RangeFn | None = None
 ) -> DataFrame:
-    """Each null takes the last earlier non-null value of its key."""
+    """Each null takes the last non-null value its key had at or before that moment.
+
+    Rows of one key and moment are folded first (the largest value of a column counts), so
+    copies neither fill a task nor depend on their order.
+    """
     by = list(by)
     if not cols:
         return df
-    range_of = range_of or calendar_range(366)
-    ranged = df.withColumn("__r", range_of(F.col(order)))
-    moment = F.struct(order, *ties) if ties else F.col(order)
-    closers = ranged.groupBy(*by, "__r").agg(
-        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), moment)).alias(f"__{c}") for c in cols]
+    range_of = range_of or default_range(df, order)
+    folded = df.groupBy(*by, order).agg(*[F.max(c).alias(f"__{c}") for c in cols]).withColumn("__r", range_of(F.col(order)))
+    closers = folded.groupBy(*by, "__r").agg(
+        *[F.max_by(f"__{c}", F.when(F.col(f"__{c}").isNotNull(), F.col(order))).alias(f"__c_{c}") for c in cols]
+    )
+    earlier = W.partitionBy(*_over_ranges(by)).orderBy("__r").rowsBetween(W.unboundedPreceding, -1)
+    carry = closers.select(*by, "__r", *[F.last(f"__c_{c}", True).over(earlier).alias(f"__c_{c}") for c in cols])
+    inside = W.partitionBy(*by, "__r").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    seen = folded.withColumns({f"__{c}": F.last(f"__{c}", True).over(inside) for c in cols})
+    table = seen.join(carry, [*by, "__r"], "left").select(
+        *by, order, *[F.coalesce(f"__{c}", f"__c_{c}").alias(f"__{c}") for c in cols]
     )
-    earlier = W.partitionBy(*(by or [F.lit(0)])).orderBy("__r").rowsBetween(W.unboundedPreceding, -1)
-    carry = closers.select(*by, "__r", *[F.last(f"__{c}", True).over(earlier).alias(f"__{c}") for c in cols])
-    inside = W.partitionBy(*by, "__r").orderBy(order, *ties).rowsBetween(W.unboundedPreceding, 0)
-    filled = ranged.withColumns({c: F.last(c, True).over(inside) for c in cols})
     return (
-        filled.join(carry, [*by, "__r"], "left")
+        df.join(table, [*by, order], "left")
         .withColumns({c: F.coalesce(c, f"__{c}") for c in cols})
         .select(*df.columns)
     )
@@ -158,33 +203,10 @@ def fill_forward(
 def nth_after(
     df: DataFrame, by: Sequence[str], order: str, n: int, cols: Sequence[str], name: str = "after", range_of: RangeFn | None = None
 ) -> DataFrame:
-    """Adds struct ``name``: the n-th following row of the key, or the last one if fewer follow."""
+    """Adds struct ``name``: the row at the n-th following moment of the key, or at the last one if fewer follow."""
     by = list(by)
-    range_of = range_of or calendar_range(366)
-    row = F.struct(F.col(order), *[F.col(c) for c in cols if c != order])
-    ranged = df.withColumn("__r", range_of(F.col(order))).withColumn("__v", row)
-    inside = W.partitionBy(*by, "__r").orderBy(order)
-    whole = W.partitionBy(*by, "__r")
-    ranged = ranged.withColumns({
-        "__i": F.row_number().over(inside),
-        "__left": F.count(F.lit(1)).over(whole) - F.row_number().over(inside),
-        **{f"__k{k}": F.lead("__v", k).over(inside) for k in range(1, n + 1)},
-    })
-    heads = (
-        ranged.filter(F.col("__i") <= n).groupBy(*by, "__r").agg(F.sort_array(F.collect_list("__v")).alias("__h"))
-    )
-    ahead = W.partitionBy(*by).orderBy("__r")
-    nothing = F.slice(F.col("__h"), 1, 0)
-    later = heads.select(
-        *by, "__r",
-        F.slice(F.concat(*[F.coalesce(F.lead("__h", k).over(ahead), nothing) for k in range(1, n + 1)]), 1, n).alias("__next"),
-    )
-    joined = ranged.join(later, [*by, "__r"], "left")
-    steps = [
-        F.coalesce(F.col(f"__k{k}"), F.when(F.col("__left") < k, F.try_element_at("__next", (k - F.col("__left")).cast("int"))))
-        for k in range(n, 0, -1)
-    ]
-    return joined.select(*df.columns, F.coalesce(*steps).alias(name))
+    table = nearby(df, df, by, order, order, cols, before=None, after=name, n_after=n, range_of=range_of)
+    return df.join(table, [*by, order], "left").select(*df.columns, name)
 
 
 # ---------------------------------------------------------------- as-of
@@ -221,7 +243,7 @@ def nearby(
     """
     by = list(by)
     n = n_after if after else 0
-    range_of = range_of or calendar_range(366)
+    range_of = range_of or default_range(moments, on)
     folded = _folded(moments, facts, by, on, facts_on, cols, range_of)
     inside = W.partitionBy(*by, "__r").orderBy("__t")
     so_far = inside.rowsBetween(W.unboundedPreceding, 0)
@@ -290,7 +312,7 @@ def asof(
     if not forward:
         table = nearby(left, right, by, left_on, right_on, cols, before=name, range_of=range_of)
         return left.join(table, [*by, left_on], "left").select(*left.columns, name)
-    range_of = range_of or calendar_range(366)
+    range_of = range_of or default_range(left, left_on)
     folded = _folded(left, right, by, left_on, right_on, cols, range_of)
     back = W.partitionBy(*by, "__r").orderBy(F.desc("__t")).rowsBetween(W.unboundedPreceding, 0)
     seen = folded.withColumn("__m", F.last("__v", True).over(back))

@@ -11,12 +11,12 @@ ACCURACY = 10_000
 
 
 def exact_quantiles(
-    df: DataFrame, cols: Sequence[str], ps: Sequence[float], single_pass_limit: int = 2_000_000, exact: bool = True,
+    df: DataFrame, cols: Sequence[str], ps: Sequence[float], single_pass_limit: int = 4_000_000, exact: bool = True,
     keep: bool = False,
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles per column, nulls skipped; ``None`` for an empty column.
 
-    Few rows: one aggregate. Many rows: a sketch brackets each wanted rank, a second scan
+    Few values over all columns: one aggregate. Many: a sketch brackets each wanted rank, a second scan
     counts what lies below the bracket and groups only the values inside it. A bracket that
     missed its rank is widened to the whole column, so the result is exact either way.
     ``exact=False`` returns the sketch's answer. ``keep`` holds the columns between the two
@@ -42,7 +42,7 @@ def exact_quantiles(
     at = [dict(zip(probes, sketch[f"s{i}"] or [None] * len(probes))) for i in range(len(cols))]
     if not exact:
         return {c: [at[i][q] for q in ps] for i, c in enumerate(cols)}
-    if max(counts) <= single_pass_limit:
+    if sum(counts) <= single_pass_limit:
         row = df.agg(*[F.percentile(number[c], F.array(*map(F.lit, ps))).alias(f"q{i}") for i, c in enumerate(cols)]).first()
         return {c: list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(ps) for i, c in enumerate(cols)}
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from callgauge.functions import fixed
 from callgauge.functions.calendar import quarter_label
 from callgauge.operators.joins import first_by
+from callgauge.operators.ordering import running_max
 
 
 def union_tables(tables: Sequence[DataFrame]) -> DataFrame:
@@ -84,13 +85,12 @@ def entity_timeline(df: DataFrame, entity: str, date: str, days: int = 21) -> Da
 
 
 def running_best(trials: DataFrame, run: Sequence[str], order: str, score: str) -> DataFrame:
-    """Best score so far, gain when beaten, and whether a trial was best; trials of one run are few."""
-    w = W.partitionBy(*run).orderBy(order)
-    before = F.max(score).over(w.rowsBetween(W.unboundedPreceding, -1))
-    so_far = F.max(score).over(w.rowsBetween(W.unboundedPreceding, 0))
-    beats = before.isNull() | (F.col(score) > before)
-    return trials.select(
-        "*", so_far.alias("best_so_far"),
-        F.when(beats, F.col(score) - F.coalesce(before, F.lit(0.0))).otherwise(0.0).alias("improvement"),
-        (F.col(score) == so_far).alias("was_best"),
+    """Best score so far, gain when beaten, and whether a trial was best."""
+    seen = running_max(trials, run, order, score, "__before")
+    before, value = F.col("__before"), F.col(score)
+    so_far = F.greatest(before, value)
+    return seen.select(
+        *trials.columns, so_far.alias("best_so_far"),
+        F.when(before.isNull() | (value > before), value - F.coalesce(before, F.lit(0.0))).otherwise(0.0).alias("improvement"),
+        (value == so_far).alias("was_best"),
     )

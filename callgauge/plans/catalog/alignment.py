@@ -28,7 +28,7 @@ FROM v_labelled""",
 )
 def beat_the_market(t):
     """For each call: which statement and price window apply, and did the stock beat the market?"""
-    out = ft.labels(t.targets)
+    out = ft.labels(t.stored_targets)
     return out.select(
         "doc_id", "ticker", day("transcript_date"), day("financial_date"), "financial_match_type", day("market_date_before"),
         day("market_date_after"), r("stock_return_3day"), r("sp500_return_3day"), r("abnormal_return"),
@@ -153,7 +153,7 @@ SELECT label_binary, label_median, label_tertile, count(*) AS n, round(avg(abnor
 FROM v_labelled GROUP BY 1, 2, 3""",
 )
 def labels(t):
-    out = ft.labels(t.targets)
+    out = ft.labels(t.stored_targets)
     return out.groupBy("label_binary", "label_median", "label_tertile").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg("abnormal_return"), 6).alias("mean_return")
     )

@@ -174,12 +174,12 @@ _MI_SQL = " UNION ALL ".join(
 
 @query("mutual_information", f"SELECT feature, round(score, 6) AS score FROM ({_MI_SQL})")
 def mutual_information(t):
-    return ft.mutual_information(t.scored.persist(), _MI_COLS, "label_binary").select("feature", r("score"))
+    return ft.mutual_information(t.stored_scored, _MI_COLS, "label_binary").select("feature", r("score"))
 
 
 @query("select_features", f"SELECT feature, rank FROM (SELECT feature, row_number() OVER (ORDER BY score DESC, feature) AS rank, score FROM ({_MI_SQL})) WHERE score > 0.02 OR (SELECT max(score) FROM ({_MI_SQL})) <= 0.02")
 def select_features(t):
-    scores = ft.mutual_information(t.scored.persist(), _MI_COLS, "label_binary").persist()
+    scores = ft.mutual_information(t.stored_scored, _MI_COLS, "label_binary").persist()
     return ft.select_features(scores).select("feature", F.col("rank").cast("long").alias("rank"))
 
 

@@ -15,7 +15,7 @@ ROUNDS, TREES = 8, 10
 
 
 def _split(t):
-    d = md.chronological_split(t.scored.persist(), "date", ["doc_id"]).persist()
+    d = md.chronological_split(t.stored_scored, "date", ["doc_id"]).persist()
     return d.filter("is_train"), d.filter("not is_train")
 
 
@@ -26,7 +26,7 @@ def _ready(t, cols=tuple(SETS["combined"])):
 
 
 def _indexed(t):
-    d = od.chronological_index(t.scored, "date", ["doc_id"]).persist()
+    d = od.chronological_index(t.stored_scored, "date", ["doc_id"]).persist()
     return d, d.count()
 
 
@@ -55,7 +55,7 @@ def fit_boosted_classifier(t):
 
 def _returns(t):
     cols = ["financial_Total_Revenue", "financial_Net_Income", "financial_Total_Debt", "financial_Total_Assets"]
-    d = md.chronological_split(t.targets.persist(), "transcript_date", ["ticker", "doc_id"]).persist()
+    d = md.chronological_split(t.stored_targets, "transcript_date", ["ticker", "doc_id"]).persist()
     train, test, used = md.prepare(d.filter("is_train"), d.filter("not is_train"), cols)
     return md.assemble(train, used), md.assemble(test, used)
 
@@ -102,7 +102,7 @@ def leaderboard(t):
 
 @query("time_series_cv")
 def time_series_cv(t):
-    scores = md.time_series_cv(t.scored, "date", ["doc_id"], {"text": TEXT_FEATURES}, {"logistic": lambda d, y, x: md.fit_logistic(d, y, x)}, k=3)
+    scores = md.time_series_cv(t.stored_scored, "date", ["doc_id"], {"text": TEXT_FEATURES}, {"logistic": lambda d, y, x: md.fit_logistic(d, y, x)}, k=3)
     return ag.fold_summary(scores, ["feature_set", "model"])
 
 
@@ -261,7 +261,7 @@ def pairwise_significance(t):
 SELECT round(auc_1, 6) AS auc_1, round(auc_2, 6) AS auc_2, round((auc_1 - auc_2) / sqrt(d), 5) AS z_statistic FROM s""",
 )
 def delong_test(t):
-    return ev.delong_test(t.scored.persist(), "label_binary", "lexical_diversity", "avg_word_length", ["doc_id"]).select(r("auc_1"), r("auc_2"), r("z_statistic", 5))
+    return ev.delong_test(t.stored_scored, "label_binary", "lexical_diversity", "avg_word_length", ["doc_id"]).select(r("auc_1"), r("auc_2"), r("z_statistic", 5))
 
 
 # ---------------------------------------------------------------- matched comparison
@@ -307,7 +307,7 @@ def pair_effect_by_group(t):
 @query("treatment_effect")
 def treatment_effect(t):
     """Propensity of a toxic label given text statistics, matched comparison, bootstrap interval."""
-    scored = mt.propensity(t.scored.persist(), "toxic", TEXT_FEATURES).persist()
+    scored = mt.propensity(t.stored_scored, "toxic", TEXT_FEATURES).persist()
     pairs = mt.matched_pairs(scored, "toxic", "doc_id", "propensity", "label_binary", caliper=0.2)
     return mt.treatment_effect(pairs.persist(), "label_binary", "doc_id")
 

@@ -194,7 +194,7 @@ SELECT count(*) AS calls, round(avg(abnormal_return), 6) AS avg_abnormal_return,
        round(stddev_samp(abnormal_return), 6) AS typical_swing FROM v_labelled""",
 )
 def result_kpis(t):
-    out = ag.result_kpis(ft.labels(t.targets))
+    out = ag.result_kpis(ft.labels(t.stored_targets))
     return out.withColumns({c: F.round(c, 6) for c in ("avg_abnormal_return", "share_beat_market", "typical_swing")})
 
 
@@ -401,7 +401,7 @@ def gates(t):
 def _gates(t):
     from callgauge.operators.modeling import chronological_split
 
-    aligned = t.aligned.persist()
+    aligned = t.stored_aligned
     split = chronological_split(aligned, "transcript_date", ["ticker", "doc_id"]).withColumnRenamed("is_train", "t")
     parts = [
         ql.data_volume_gate(aligned, 500), ql.parse_rate_gate(t.documents, F.length("text") > 0), ql.alignment_gate(aligned),
@@ -476,7 +476,7 @@ SELECT 'returns', 'positive', count(*) FILTER (WHERE stock_return_3day > 0) FROM
 )
 def quality_report(t):
     wanted = ["total_records", "unique_tickers", "quarters_covered", "avg_gap_days", "max_gap_days", "financial_after_event", "mean", "std", "positive"]
-    out = ql.quality_report(t.aligned.persist(), [ag.stage_counts(t.documents, "texts", F.length("text") > 0)])
+    out = ql.quality_report(t.stored_aligned, [ag.stage_counts(t.documents, "texts", F.length("text") > 0)])
     return out.filter(F.col("metric").isin(*wanted)).select("section", "metric", F.round("value", 6).alias("value"))
 
 

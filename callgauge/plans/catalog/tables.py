@@ -208,7 +208,7 @@ SELECT ticker AS "Company", quarter AS "Quarter", round(abnormal_return, 6) AS "
        label_binary AS "Beat Market (1=Yes)" FROM v_labelled""",
 )
 def results_view(t):
-    out = pj.results_view(ft.labels(t.targets))
+    out = pj.results_view(ft.labels(t.stored_targets))
     return out.withColumns({c: F.round(F.col(f"`{c}`"), 6) for c in ("Gain vs Market", "3-Day Return")})
 
 

@@ -10,6 +10,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from callgauge.functions.calendar import quarter_label
+from callgauge.session import materialize
 
 # words of the invented prose that stand in for a lexicon
 LEXICON = {
@@ -99,6 +100,19 @@ class Tables:
         out = benchmark_window_return(self.aligned, self.index, "market_date_before", "market_date_after")
         return out.withColumn("abnormal_return", abnormal_return(F.col("stock_return_3day"), F.col("sp500_return_3day")))
 
+    @cached_property
+    def stored_aligned(self) -> DataFrame:
+        """The aligned table as a stage writes it, for queries that pass over it several times."""
+        return materialize(self.aligned, "aligned")
+
+    @cached_property
+    def stored_targets(self) -> DataFrame:
+        return materialize(self.targets, "targets")
+
+    @cached_property
+    def stored_scored(self) -> DataFrame:
+        return materialize(self.scored, "scored")
+
     @cached_property
     def bars(self) -> DataFrame:
         """Daily bars of the event values per user."""

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(app: str = "callgauge", master: str | None = None, **conf: str) -> SparkSession:
@@ -47,5 +47,13 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def shuffle_width(spark: SparkSession) -> int:
-    """Number of ranges worth making: one per shuffle partition, within 1..256."""
-    return max(1, min(256, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    """Number of ranges worth making: one per shuffle partition, within 1..4096."""
+    return max(1, min(4096, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write a stage table to the shared folder and read it back: later passes neither repeat
+    its work nor depend on the executors that did it."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

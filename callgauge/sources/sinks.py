@@ -47,8 +47,9 @@ def write_text_by_key(
 ) -> str:
     """One folder per key with the text below a five-line header.
 
-    Rows are placed by hash of all key columns: a ticker with very many quarters spreads out.
+    Rows are placed by key and, within a key, by a hash of the text: a key with one text gets
+    one file, a key with very many spreads over several.
     """
     out = df.withColumn("value", text_with_header(text, company, key[0], key[1], date)).select(*key, "value")
-    out.repartition(*key).write.mode(mode).partitionBy(*key).text(path)
+    out.repartition(*key, F.pmod(F.xxhash64("value"), F.lit(64))).write.mode(mode).partitionBy(*key).text(path)
     return path

@@ -3,9 +3,13 @@
 Everything here is data, written as the results need it.
 """
 
-# Whitespace as a Unicode-aware class (ASCII part first).
-SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-NOT_SPACE = SPACE.replace("[", "[^", 1)
+# Whitespace in the wide sense, as a pattern, its complement, and as characters.
+SPACE = r"(?U)[\s\x1c-\x1f]"
+NOT_SPACE = r"(?U)[^\s\x1c-\x1f]"
+SPACE_CHARS = (
+    " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 # Standard phrases of calls, replaced by one blank, in this order.
 BOILERPLATE = [

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
 from callgauge.functions import fixed
-from callgauge.functions.fixed import NOT_SPACE, SPACE
+from callgauge.functions.fixed import NOT_SPACE, SPACE, SPACE_CHARS
 
 
 def _sub(c: Column, pattern: str, to: str) -> Column:
@@ -17,7 +17,7 @@ def _sub(c: Column, pattern: str, to: str) -> Column:
 
 def strip(c: Column) -> Column:
     """Trim Unicode whitespace at both ends."""
-    return _sub(c, rf"^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(c, F.lit(SPACE_CHARS))
 
 
 def is_blank(c: Column) -> Column:
@@ -38,21 +38,26 @@ def remove_boilerplate(c: Column, patterns: Sequence[str] = tuple(fixed.BOILERPL
     return strip(_sub(out, "  +", " "))
 
 
+def _where_contains(c: Column, needles: Sequence[str], change: Callable[[Column], Column]) -> Column:
+    """Apply ``change`` only where a plain search finds one of the needles: a search costs a
+    fraction of a pattern. The value is bound once, so the expression does not double."""
+
+    def step(v: Column) -> Column:
+        return F.when(reduce(lambda a, b: a | b, [v.contains(n) for n in needles]), change(v)).otherwise(v)
+
+    return F.get(F.transform(F.array(c), step), F.lit(0))
+
+
 def normalize_text(c: Column) -> Column:
     """Whitespace, stage directions, tags, repeated marks, symbols and dashes."""
-    steps = [
-        (rf"{SPACE}+", " "),
-        (r"\[[^\]]*\]", ""),
-        (r"<[^>]+>", ""),
-        (r"\.{2,}", "."),
-        (r"!{2,}", "!"),
-        (r"\?{2,}", "?"),
-        (r"[@#$%^&*~`]", ""),
-        (r"[—–]", "-"),
-        (r" +- +", " - "),
-        (r"([.!?]) +", "$1 "),
-    ]
-    out = reduce(lambda acc, s: _sub(acc, *s), steps, F.coalesce(c, F.lit("")))
+    out = _sub(F.coalesce(c, F.lit("")), rf"{SPACE}+", " ")
+    out = _where_contains(out, ["["], lambda v: _sub(v, r"\[[^\]]*\]", ""))
+    out = _where_contains(out, ["<"], lambda v: _sub(v, r"<[^>]+>", ""))
+    out = _where_contains(out, ["..", "!!", "??"], lambda v: _sub(v, r"([.!?])\1+", "$1"))
+    out = _sub(out, r"[@#$%^&*~`]", "")
+    out = F.replace(F.replace(out, F.lit("—"), F.lit("-")), F.lit("–"), F.lit("-"))
+    out = _where_contains(out, [" -"], lambda v: _sub(v, r" +- +", " - "))
+    out = _where_contains(out, ["  "], lambda v: _sub(v, r"([.!?]) {2,}", "$1 "))
     return F.trim(out)
 
 
@@ -61,8 +66,16 @@ def normalize_keeping_lines(c: Column) -> Column:
     return F.array_join(F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), normalize_text), "\n")
 
 
+LINE_START = r"(?:^|\n)"
+
+
 def any_of(patterns: Sequence[str]) -> str:
-    return "(?i)" + "|".join(f"(?:{p})" for p in patterns)
+    """One pattern for all; those bound to a line start share a single test for it."""
+    bound = [p[len(LINE_START):] for p in patterns if p.startswith(LINE_START)]
+    free = [f"(?:{p})" for p in patterns if not p.startswith(LINE_START)]
+    if bound:
+        free.append(LINE_START + "(?:" + "|".join(f"(?:{p})" for p in bound) + ")")
+    return "(?i)" + "|".join(free)
 
 
 def qa_start(c: Column, markers: Sequence[str] = tuple(fixed.QA_MARKERS)) -> Column:
@@ -74,9 +87,13 @@ def qa_start(c: Column, markers: Sequence[str] = tuple(fixed.QA_MARKERS)) -> Col
     return F.when(at > 1, at)
 
 
+# pieces around a question mark; starts only where a piece can start, so the scan stays linear
+QUESTION = r"(?:\G|(?<![^.!?]))[^.!?]*+\?[^.!?]*+"
+
+
 def question_sentences(c: Column) -> Column:
     """All pieces around a question mark, up to the neighbouring sentence ends."""
-    found = F.regexp_extract_all(c, F.lit(r"(?:\G|(?<![^.!?]))[^.!?]*+\?[^.!?]*+"), F.lit(0))
+    found = F.regexp_extract_all(c, F.lit(QUESTION), F.lit(0))
     return F.when(c.contains("?"), found).otherwise(F.array().cast("array<string>"))
 
 
@@ -93,11 +110,11 @@ def speaker_codes(
     analyst: Sequence[str] = tuple(fixed.ANALYST_LINES),
 ) -> Column:
     """One letter per line: A for analyst, anything else for management, carried downwards."""
-    m, a = any_of(management), any_of(analyst)
+    m, a, either = any_of(management), any_of(analyst), any_of([*management, *analyst])
 
     def code(line: Column) -> Column:
         is_m, is_a = line.rlike(m), line.rlike(a)
-        return F.when(is_m & ~is_a, "M").when(is_a & ~is_m, "A").otherwise("-")
+        return F.when(~line.rlike(either), "-").when(is_m & ~is_a, "M").when(is_a & ~is_m, "A").otherwise("-")
 
     marks = F.array_join(F.transform(lines, code), "")
     return F.split(_sub(marks, r"(?<=A)-|\G(?!^)-", "A"), "")
@@ -128,6 +145,16 @@ def remove_each_once(c: Column, pieces: Column) -> Column:
     return F.aggregate(pieces, c, cut)
 
 
+def remove_questions(c: Column, source: Column) -> Column:
+    """``remove_each_once(c, question_sentences(source))``, in one scan where both texts are the same.
+
+    Every question mark belongs to one piece, and with the earlier ones gone the first place a
+    piece can occur is its own, so cutting all pieces of a text out of itself is one replacement.
+    """
+    each = remove_each_once(c, F.filter(question_sentences(source), lambda q: ~q.contains("\n")))
+    return F.when(c == source, _sub(c, QUESTION, "")).when(c.contains("\n"), remove_each_once(c, question_sentences(source))).otherwise(each)
+
+
 def tokenize(c: Column) -> Column:
     """Lower-case runs of letters, digits and underscores."""
     return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))

@@ -70,7 +70,7 @@ def segment(
     qa_text = F.substring(F.col(col), at, F.length(col))
     return staged.withColumns({
         "management_text": F.when(at.isNotNull(), F.substring(F.col(col), F.lit(1), at - 1))
-        .when(rescued, tx.remove_each_once(F.col("__parts.management"), F.col("__q")))
+        .when(rescued, tx.remove_questions(F.col("__parts.management"), F.col(col)))
         .otherwise(F.col("__parts.management")),
         "analyst_text": F.when(at.isNotNull(), tx.extract_analyst(qa_text, intros))
         .when(rescued, F.array_join("__q", " "))

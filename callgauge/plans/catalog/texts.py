@@ -148,6 +148,22 @@ def segment(t):
     return out.select("doc_id", "fallback_used", F.md5(before).alias("management_before_marker"), F.md5("analyst_text").alias("analyst"))
 
 
+_QUESTION_TEXT = _sql_normal("replace(text, ',', '?')")
+
+
+@query(
+    "segment_cleaned",
+    rf"""
+SELECT doc_id, TRUE AS fallback_used, md5(CASE WHEN len(q) >= 3 THEN array_to_string(q, ' ') ELSE '' END) AS analyst,
+       md5(CASE WHEN len(q) >= 3 THEN regexp_replace(x, '[^.!?]*\?[^.!?]*', '', 'g') ELSE x END) AS management
+FROM (SELECT doc_id, x, regexp_extract_all(x, '[^.!?]*\?[^.!?]*') AS q FROM (SELECT doc_id, {_QUESTION_TEXT} AS x FROM documents))""",
+)
+def segment_cleaned(t):
+    """Roles of cleaned texts, which are a single line: question sentences go to the analysts."""
+    d = t.documents.select("doc_id", tx.normalize_text(F.replace("text", F.lit(","), F.lit("?"))).alias("full_text_cleaned"))
+    return tt.segment(d).select("doc_id", "fallback_used", F.md5("analyst_text").alias("analyst"), F.md5("management_text").alias("management"))
+
+
 @query(
     "segment_counts",
     r"""

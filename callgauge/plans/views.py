@@ -10,7 +10,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from callgauge.functions.calendar import quarter_label
-from callgauge.session import materialize
+from callgauge.session import materialize, spread
 
 # words of the invented prose that stand in for a lexicon
 LEXICON = {
@@ -38,6 +38,19 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    # texts are worked on row by row; a small file must not keep that on one core
+    @cached_property
+    def documents(self) -> DataFrame:
+        return spread(self.__getattr__("documents"), "doc_id")
+
+    @cached_property
+    def conversations(self) -> DataFrame:
+        return spread(self.__getattr__("conversations"), "conv_id", "turn")
+
+    @cached_property
+    def pages(self) -> DataFrame:
+        return spread(self.__getattr__("pages"), "page_id")
+
     @cached_property
     def prices(self) -> DataFrame:
         unit = F.col("l_extendedprice") / F.col("l_quantity")

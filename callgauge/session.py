@@ -57,3 +57,16 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *key: str, small: int = 1 << 30) -> DataFrame:
+    """Give a small table that sits in fewer files than there are cores to all cores, by key.
+
+    Anything larger than ``small`` bytes, or in enough files, is read as it lies: there the
+    scan is parallel already and a shuffle would only cost.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    if size > small or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores, *key)

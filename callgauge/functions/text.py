@@ -38,14 +38,15 @@ def remove_boilerplate(c: Column, patterns: Sequence[str] = tuple(fixed.BOILERPL
     return strip(_sub(out, "  +", " "))
 
 
-def _where_contains(c: Column, needles: Sequence[str], change: Callable[[Column], Column]) -> Column:
-    """Apply ``change`` only where a plain search finds one of the needles: a search costs a
-    fraction of a pattern. The value is bound once, so the expression does not double."""
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, with the value computed once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def step(v: Column) -> Column:
-        return F.when(reduce(lambda a, b: a | b, [v.contains(n) for n in needles]), change(v)).otherwise(v)
 
-    return F.get(F.transform(F.array(c), step), F.lit(0))
+def _where_contains(c: Column, needles: Sequence[str], change: Callable[[Column], Column]) -> Column:
+    """Apply ``change`` only where a plain search finds one of the needles: a search costs a
+    fraction of a pattern."""
+    return let(c, lambda v: F.when(reduce(lambda a, b: a | b, [v.contains(n) for n in needles]), change(v)).otherwise(v))
 
 
 def normalize_text(c: Column) -> Column:
@@ -122,14 +123,18 @@ def speaker_codes(
 
 def speaker_parts(c: Column, management=tuple(fixed.MANAGEMENT_LINES), analyst=tuple(fixed.ANALYST_LINES)) -> Column:
     """Struct (management, analyst): the lines of each role joined by blanks."""
-    lines = F.filter(F.transform(F.split(c, "\n"), strip), lambda x: x != "")
-    codes = speaker_codes(lines, management, analyst)
 
-    def of(role_is_analyst: bool) -> Column:
-        chosen = F.zip_with(lines, codes, lambda x, k: F.when((k == "A") == F.lit(role_is_analyst), x))
+    def of(lines: Column, codes: Column, analyst_role: bool) -> Column:
+        chosen = F.zip_with(lines, codes, lambda x, k: F.when((k == "A") == F.lit(analyst_role), x))
         return F.array_join(F.array_compact(chosen), " ")
 
-    return F.struct(of(False).alias("management"), of(True).alias("analyst"))
+    def parts(lines: Column) -> Column:
+        return let(
+            speaker_codes(lines, management, analyst),
+            lambda codes: F.struct(of(lines, codes, False).alias("management"), of(lines, codes, True).alias("analyst")),
+        )
+
+    return let(F.filter(F.transform(F.split(c, "\n"), strip), lambda x: x != ""), parts)
 
 
 def remove_each_once(c: Column, pieces: Column) -> Column:

@@ -120,9 +120,12 @@ def fit_forest(df: DataFrame, label: str, features: str = "features", trees: int
 
 
 def fit_ridge(df: DataFrame, label: str, features: str = "features", alpha: float = 1.0):
-    n = df.count()
+    """Ridge with strength alpha on the summed squares. Spark works on the mean and divides the
+    strength by the spread of the label, so both are undone."""
+    n, spread = df.agg(F.count(label), F.stddev_pop(label)).first()
     return LinearRegression(
-        labelCol=label, featuresCol=features, regParam=alpha / n, elasticNetParam=0.0, standardization=False, solver="normal",
+        labelCol=label, featuresCol=features, regParam=alpha / n * (spread or 1.0), elasticNetParam=0.0, standardization=False,
+        solver="normal",
     ).fit(df)
 
 

@@ -55,7 +55,7 @@ def read_transcript_files(spark: SparkSession, folder: str, min_bytes: int = 20_
     to no quarter (or, with ``last_date``, to a call after it) are left out.
     """
     raw = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(folder)
+        spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt")
         .select(F.col("value"), F.col("_metadata.file_size").alias("bytes"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("path"))
         .filter(F.col("bytes") >= min_bytes)
     )
@@ -83,7 +83,7 @@ def read_transcript_files(spark: SparkSession, folder: str, min_bytes: int = 20_
 
 def flatten_results(spark: SparkSession, path: str) -> DataFrame:
     """Nested result JSON (run -> model -> metrics) as rows (run, feature_set, model, metric, value)."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     runs = raw.select(F.explode(F.from_json("value", "map<string,map<string,string>>")).alias("run", "body"))
     models = runs.select("run", F.col("body")["feature_set"].alias("feature_set"), F.explode("body").alias("model", "metrics"))
     models = models.filter(F.col("metrics").startswith("{"))

@@ -183,8 +183,8 @@ def benchmark_window_return(
 ) -> DataFrame:
     """Index return over each window of days: close at or before its start to close at or after its end.
 
-    The index becomes a table with one row per calendar day, so the rows of ``df`` need
-    only two equality joins with something as short as the calendar.
+    The index becomes a table with one row per calendar day. Its length is bounded by the
+    calendar whatever the number of windows, so it is broadcast and ``df`` is not shuffled.
     """
     days = daily_lookup(index, index_on, close)
     newest = index.agg(F.max_by(close, index_on).alias("__newest"), F.max(F.to_date(index_on)).alias("__last")).withColumn("__one", F.lit(1))
@@ -192,7 +192,7 @@ def benchmark_window_return(
     closed = days.select(F.col("day").alias("__e"), F.col("at_or_after").alias("__close"))
     out = (
         df.withColumns({"__s": F.to_date(start), "__e": F.to_date(end), "__one": F.lit(1)})
-        .join(opened, "__s", "left").join(closed, "__e", "left").join(newest, "__one", "left")
+        .join(F.broadcast(opened), "__s", "left").join(F.broadcast(closed), "__e", "left").join(F.broadcast(newest), "__one", "left")
     )
     first = F.when(F.col("__s") > F.col("__last"), F.coalesce("__open", "__newest")).otherwise(F.col("__open"))
     return out.select(*df.columns, relative_change(F.col("__close"), first).alias("sp500_return_3day"))

@@ -13,15 +13,9 @@ from callgauge.operators.ordering import running_totals
 
 def rank_table(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     """Per distinct score: positives and negatives at it and below it, with the class totals."""
-    by = list(by)
     y = F.col(label)
     t = running_totals(df, score, {"n_pos": (y == 1).cast("long"), "n_neg": (y == 0).cast("long")}, by=by)
-    sums = df.filter(F.col(score).isNotNull()).groupBy(*by).agg(
-        F.count_if(y == 1).alias("total_pos"), F.count_if(y == 0).alias("total_neg")
-    )
-    if by:
-        return t.join(sums, by)
-    return t.withColumn("__g", F.lit(0)).join(sums.withColumn("__g", F.lit(0)), "__g").drop("__g")
+    return t.withColumnsRenamed({"n_pos_all": "total_pos", "n_neg_all": "total_neg"})
 
 
 def placements(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:

@@ -108,7 +108,7 @@ def fit_logistic(df: DataFrame, label: str, features: str = "features", c: float
     n = data.agg(F.sum("__w")).first()[0]
     return LogisticRegression(
         labelCol=label, featuresCol=features, weightCol="__w", regParam=1.0 / (c * n), elasticNetParam=0.0,
-        standardization=False, maxIter=max_iter, tol=1e-8,
+        standardization=False, maxIter=max_iter, tol=1e-6,
     ).fit(data)
 
 
@@ -204,8 +204,9 @@ def cross_validate(
         used = list(cols)
         if scale_inside:
             train, test, used = prepare(train, test, cols, drop_constant=False)
-        train, test = assemble(train, used, "__x"), assemble(test, used, "__x")
-        out = scored(fit(train.select(label, "__x"), label, "__x"), test)
+        train, test = assemble(train, used, "__x").select(label, "__x").persist(), assemble(test, used, "__x")
+        out = scored(fit(train, label, "__x"), test)
+        train.unpersist()
         parts.append(out.select(F.lit(fold).alias("fold"), F.col(idx).alias("idx"), F.col(label).alias("label"), "score"))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
@@ -280,7 +281,7 @@ def stack_models(
 ) -> DataFrame:
     """Out-of-fold probabilities of the base models feed a logistic model; returns scored test rows."""
     fold = F.pmod(F.xxhash64(key), F.lit(folds))
-    data = train.withColumn("__fold", fold)
+    data = train.withColumn("__fold", fold).persist()
     levels, finals = [], []
     for i, (name, fit) in enumerate(base.items()):
         oof = [scored(fit(data.filter(F.col("__fold") != f), label, features), data.filter(F.col("__fold") == f), f"p{i}").select(key, label, f"p{i}") for f in range(folds)]
@@ -293,7 +294,7 @@ def stack_models(
     return scored(top, assemble(held, cols, "__p")).select(key, F.col(label).alias("label"), "score")
 
 
-def compare_architectures(indexed: DataFrame, n: int, cols: Sequence[str], rounds: int = 150, trees: int = 200, k: int = 3, label: str = "label_binary") -> DataFrame:
+def compare_architectures(indexed: DataFrame, n: int, cols: Sequence[str], rounds: int = 150, trees: int = 200, k: int = 3, label: str = "label_binary", stack_folds: int = 3) -> DataFrame:
     """Fold AUC of boosted trees, forest and stack; (architecture, fold, auc)."""
     boosted = lambda d, y, x: fit_boosted_classifier(d, y, x, rounds, 6, 0.3, 1.0, 1.0, weighted=False)
     forest = lambda d, y, x: fit_forest(d, y, x, trees, 10, balanced=False)
@@ -303,7 +304,7 @@ def compare_architectures(indexed: DataFrame, n: int, cols: Sequence[str], round
     ]
     for f, end, stop in fold_bounds(n, k):
         train, test, used = prepare(indexed.filter(F.col("idx") < end), indexed.filter((F.col("idx") >= end) & (F.col("idx") < stop)), cols, False)
-        out = stack_models(assemble(train, used, "__x"), assemble(test, used, "__x"), "__x", label, "idx", {"rf": forest, "gbt": boosted})
+        out = stack_models(assemble(train, used, "__x"), assemble(test, used, "__x"), "__x", label, "idx", {"rf": forest, "gbt": boosted}, stack_folds)
         parts.append(out.select(F.lit("Stacking").alias("architecture"), F.lit(f).alias("fold"), "label", "score"))
     return fold_scores(reduce(lambda a, b: a.unionByName(b), parts), ["architecture"])
 

@@ -96,19 +96,20 @@ def even_range(df: DataFrame, col: str, ranges: int | None = None) -> RangeFn:
 def running_totals(
     df: DataFrame, order: str, totals: dict[str, Column], by: Sequence[str] = (), range_of: RangeFn | None = None
 ) -> DataFrame:
-    """One row per distinct ``order`` value (within ``by``): each total, and ``<name>_before``,
-    the sum of that total over all smaller values."""
+    """One row per distinct ``order`` value (within ``by``): each total, ``<name>_before``, the sum
+    of that total over all smaller values, and ``<name>_all``, the sum over all values."""
     by = list(by)
     per_value = df.filter(F.col(order).isNotNull()).groupBy(*by, order).agg(
         *[F.sum(c).alias(n) for n, c in totals.items()]
     )
     range_of = range_of or even_range(df, order)
     per_value = per_value.withColumn("__r", range_of(F.col(order)))
-    carry_w = W.partitionBy(*by, F.lit(0)).orderBy("__r").rowsBetween(W.unboundedPreceding, -1)
-    carry = (
-        per_value.groupBy(*by, "__r")
-        .agg(*[F.sum(n).alias(f"__{n}") for n in totals])
-        .select(*by, "__r", *[F.coalesce(F.sum(f"__{n}").over(carry_w), F.lit(0)).alias(f"__{n}") for n in totals])
+    ranges = W.partitionBy(*_over_ranges(by))
+    earlier = ranges.orderBy("__r").rowsBetween(W.unboundedPreceding, -1)
+    carry = per_value.groupBy(*by, "__r").agg(*[F.sum(n).alias(f"__{n}") for n in totals]).select(
+        *by, "__r",
+        *[F.coalesce(F.sum(f"__{n}").over(earlier), F.lit(0)).alias(f"__before_{n}") for n in totals],
+        *[F.sum(f"__{n}").over(ranges).alias(f"{n}_all") for n in totals],
     )
     inside = W.partitionBy(*by, "__r").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     return (
@@ -116,7 +117,8 @@ def running_totals(
         .join(carry, [*by, "__r"])
         .select(
             *by, order, *totals,
-            *[(F.col(f"{n}_before") + F.col(f"__{n}")).alias(f"{n}_before") for n in totals],
+            *[(F.col(f"{n}_before") + F.col(f"__before_{n}")).alias(f"{n}_before") for n in totals],
+            *[f"{n}_all" for n in totals],
         )
     )
 

@@ -92,8 +92,9 @@ FROM orders o LEFT JOIN (SELECT o_custkey, o_orderdate FROM orders WHERE o_order
 )
 def asof_orders(t):
     """Newest urgent order of the customer at each order: both sides large, no limit on the gap."""
-    urgent = t.orders.filter("o_orderpriority = '1-URGENT'").select("o_custkey", F.col("o_orderdate").alias("u"))
-    out = od.asof(t.orders.select("o_orderkey", "o_custkey", "o_orderdate"), urgent, ["o_custkey"], "o_orderdate", "u", [])
+    urgent = t.orders.filter("o_orderpriority = '1-URGENT'").select("o_custkey", F.to_date("o_orderdate").alias("u"))
+    orders = t.orders.select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("d"))
+    out = od.asof(orders, urgent, ["o_custkey"], "d", "u", [])
     return out.select("o_orderkey", day("match.u", "last_urgent"))
 
 

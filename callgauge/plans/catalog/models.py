@@ -133,7 +133,7 @@ def stack_models(t):
 @query("compare_architectures")
 def compare_architectures(t):
     d, n = _indexed(t)
-    return ag.fold_summary(md.compare_architectures(d, n, TEXT_FEATURES, rounds=2, trees=5, k=2), ["architecture"])
+    return ag.fold_summary(md.compare_architectures(d, n, TEXT_FEATURES, rounds=2, trees=5, k=2, stack_folds=2), ["architecture"])
 
 
 @query("validate_new_features")

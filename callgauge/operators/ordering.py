@@ -37,12 +37,16 @@ def calendar_range(days: int) -> RangeFn:
     return lambda c: F.floor(F.unix_seconds(c.cast("timestamp")) / F.lit(days * DAY))
 
 
-def default_range(df: DataFrame, col: str) -> RangeFn:
-    """Years for dates, hours for clock times: a key has few distinct moments in one range, and
-    few ranges altogether, whatever share of the rows it holds."""
+def default_range(df: DataFrame, col: str, other: DataFrame | None = None, other_col: str | None = None) -> RangeFn:
+    """Years for dates: a key has few distinct days in one and few of them altogether, whatever
+    share of the rows it holds. For clock times, ranges with about equally many rows of both
+    sides, so that the part of a hot key in one range is no larger than a usual partition."""
     if isinstance(df.schema[col].dataType, T.DateType):
         return calendar_range(366)
-    return lambda c: F.floor(F.unix_seconds(c.cast("timestamp")) / F.lit(3600))
+    times = df.select(F.col(col).alias("__t"))
+    if other is not None:
+        times = times.unionByName(other.select(F.col(other_col).alias("__t")))
+    return even_range(times, "__t")
 
 
 def _pick(number: Column, bounds: Sequence[float], lo: int, hi: int) -> Column:
@@ -245,7 +249,7 @@ def nearby(
     """
     by = list(by)
     n = n_after if after else 0
-    range_of = range_of or default_range(moments, on)
+    range_of = range_of or default_range(moments, on, facts, facts_on)
     folded = _folded(moments, facts, by, on, facts_on, cols, range_of)
     inside = W.partitionBy(*by, "__r").orderBy("__t")
     so_far = inside.rowsBetween(W.unboundedPreceding, 0)
@@ -314,7 +318,7 @@ def asof(
     if not forward:
         table = nearby(left, right, by, left_on, right_on, cols, before=name, range_of=range_of)
         return left.join(table, [*by, left_on], "left").select(*left.columns, name)
-    range_of = range_of or default_range(left, left_on)
+    range_of = range_of or default_range(left, left_on, right, right_on)
     folded = _folded(left, right, by, left_on, right_on, cols, range_of)
     back = W.partitionBy(*by, "__r").orderBy(F.desc("__t")).rowsBetween(W.unboundedPreceding, 0)
     seen = folded.withColumn("__m", F.last("__v", True).over(back))

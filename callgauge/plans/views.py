@@ -27,6 +27,12 @@ MEASURES = [
 ]
 
 
+TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
+    "benchmark", "labels", "conversations",
+)
+
+
 class Tables:
     """The parquet tables of one folder and the views on them; nothing is read until used."""
 
@@ -34,22 +40,25 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name.startswith("_"):
+        if name not in TABLES:
             raise AttributeError(name)
+        return self._read(name)
+
+    def _read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     # texts are worked on row by row; a small file must not keep that on one core
     @cached_property
     def documents(self) -> DataFrame:
-        return spread(self.__getattr__("documents"), "doc_id")
+        return spread(self._read("documents"), "doc_id")
 
     @cached_property
     def conversations(self) -> DataFrame:
-        return spread(self.__getattr__("conversations"), "conv_id", "turn")
+        return spread(self._read("conversations"), "conv_id", "turn")
 
     @cached_property
     def pages(self) -> DataFrame:
-        return spread(self.__getattr__("pages"), "page_id")
+        return spread(self._read("pages"), "page_id")
 
     @cached_property
     def prices(self) -> DataFrame:

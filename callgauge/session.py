@@ -66,7 +66,7 @@ def spread(df: DataFrame, *key: str, small: int = 1 << 30) -> DataFrame:
     scan is parallel already and a shuffle would only cost.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size > small or len(df.inputFiles()) >= cores:
         return df
     return df.repartition(cores, *key)

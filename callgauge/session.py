@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -30,10 +31,15 @@ def get_spark(app: str = "callgauge", master: str | None = None, **conf: str) ->
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor sees: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests, one machine) a local folder is made.
+    A session without executors of its own (a ``local`` master: tests, one machine) may leave it
+    unset and gets a folder of its own; on a cluster a missing setting is an error, as files in
+    a machine-local folder would be lost to the other executors.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
         folder = tempfile.mkdtemp(prefix="callgauge-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -47,8 +53,8 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def shuffle_width(spark: SparkSession) -> int:
-    """Number of ranges worth making: one per shuffle partition, within 1..4096."""
-    return max(1, min(4096, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    """Number of ranges worth making: one per shuffle partition."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -59,14 +65,7 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *key: str, small: int = 1 << 30) -> DataFrame:
-    """Give a small table that sits in fewer files than there are cores to all cores, by key.
-
-    Anything larger than ``small`` bytes, or in enough files, is read as it lies: there the
-    scan is parallel already and a shuffle would only cost.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > small or len(df.inputFiles()) >= cores:
-        return df
-    return df.repartition(cores, *key)
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a stage table that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

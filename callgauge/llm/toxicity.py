@@ -34,7 +34,7 @@ BUCKETS = 1 << 18
 SIZES = (3, 4, 5, 6)
 PASSAGE = 2048
 FIT_ROWS = 12_000
-STEPS = 120
+STEPS = 200
 RIDGE = 1.0
 #: Toxic labels are few; each counts this many times in the loss, so that 0.5 is where missing one costs as much.
 TOXIC_WEIGHT = 4.0

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from callgauge.llm.registry import query, table
+from callgauge.session import materialize
 
 BUCKETS = 1 << 18
 SIZES = (3, 4, 5, 6)
@@ -87,56 +88,106 @@ class Weights:
         return float(1 / (1 + np.exp(-np.clip(max(margins), -40, 40))))
 
 
-def learn(texts: list[str | None], labels: np.ndarray, buckets: int = BUCKETS, steps: int = STEPS, ridge: float = RIDGE, toxic_weight: float = TOXIC_WEIGHT) -> Weights:
-    """Log-count ratios, then a ridge-penalised logistic regression by accelerated gradient steps."""
+def log_ratios(positive: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Naive Bayes log-count ratio of each bucket; 0 where the two counts do not differ beyond chance."""
+    negative = total - positive
+    ratio = np.log((positive + 1) / (positive.sum() + len(total))) - np.log((negative + 1) / (negative.sum() + len(total)))
+    spread = np.sqrt(1 / (positive + 1) + 1 / (negative + 1))
+    ratio[(np.abs(ratio) < 2 * spread) | (total < 3)] = 0
+    return ratio
+
+
+def constant(share: float, buckets: int) -> Weights:
+    return Weights(np.zeros(buckets, np.float32), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
+
+
+def fit_rows(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, steps: int = STEPS, ridge: float = RIDGE,
+             toxic_weight: float = TOXIC_WEIGHT) -> Weights:
+    """Ridge-penalised logistic regression over the scaled features, by accelerated gradient steps.
+
+    ``rows`` holds the buckets of each text whose ratio is not 0.
+    """
     y = np.asarray(labels, np.float64)
     if len(y) == 0 or y.min() == y.max():
-        share = float(y.mean()) if len(y) else 0.0
-        return Weights(np.zeros(buckets, np.float32), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
-    rows = [ngram_buckets(t or "", buckets) for t in texts]
-    lengths = np.array([len(r) for r in rows])
-    flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), lengths)
-    positive = np.bincount(flat, y[owner], buckets)
-    total = np.bincount(flat, minlength=buckets)
-    ratio = np.log((positive + 1) / (positive.sum() + buckets)) - np.log((total - positive + 1) / ((total - positive).sum() + buckets))
-    # buckets whose two counts do not differ beyond chance carry noise only
-    spread = np.sqrt(1 / (positive + 1) + 1 / (total - positive + 1))
-    ratio[(np.abs(ratio) < 2 * spread) | (total < 3)] = 0
-    use = ratio[flat] != 0
-    flat, owner = flat[use], owner[use]
-    value = ratio[flat]
+        return constant(float(y.mean()) if len(y) else 0.0, len(ratio))
+    used, flat = np.unique(np.concatenate([np.zeros(0, np.int32), *rows]), return_inverse=True)
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    value = ratio[used][flat]
     cost = np.where(y > 0, toxic_weight, 1.0)
     n, share = len(y), float(np.average(y, weights=cost))
-    w, intercept, momentum = np.zeros(buckets), float(np.log(share / (1 - share))), 1.0
+    w, intercept, momentum = np.zeros(len(used)), float(np.log(share / (1 - share))), 1.0
     look, look0 = w, intercept
     # the largest eigenvalue of the features' second moment bounds the step
-    v = np.random.default_rng(0).normal(size=buckets)
+    v, top = np.random.default_rng(0).normal(size=len(used)), 0.0
     for _ in range(12):
-        v = np.bincount(flat, value * np.bincount(owner, v[flat] * value, n)[owner], buckets)
-        top = np.linalg.norm(v)
-        v /= top or 1
+        v = np.bincount(flat, value * np.bincount(owner, v[flat] * value, n)[owner], len(used))
+        top = float(np.linalg.norm(v))
+        v = v / (top or 1)
     rate = 1 / (toxic_weight * (top / n + 1) / 4 + ridge / n)
     for _ in range(steps):
         margin = np.bincount(owner, look[flat] * value, n) + look0
         error = cost * (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - y)
-        gradient = np.bincount(flat, value * error[owner], buckets) / n + ridge / n * look
+        gradient = np.bincount(flat, value * error[owner], len(used)) / n + ridge / n * look
         w_next, intercept_next = look - rate * gradient, look0 - rate * error.mean()
         following = (1 + np.sqrt(1 + 4 * momentum * momentum)) / 2
         pull = (momentum - 1) / following
         look, look0 = w_next + pull * (w_next - w), intercept_next + pull * (intercept_next - intercept)
         w, intercept, momentum = w_next, intercept_next, following
-    return Weights((w * ratio).astype(np.float32), intercept)
+    weights = np.zeros(len(ratio), np.float32)
+    weights[used] = w * ratio[used]
+    return Weights(weights, intercept)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Weights:
-    """Learn from at most ``rows`` labelled documents; ``labels`` holds ``doc_id`` and ``toxic``."""
-    chosen = labels.filter("toxic IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("__label"))
+def learn(texts: list[str | None], labels: np.ndarray, buckets: int = BUCKETS, **options) -> Weights:
+    """The same fit over texts at hand, for small tables."""
+    y = np.asarray(labels, np.float64)
+    if len(y) == 0 or y.min() == y.max():
+        return constant(float(y.mean()) if len(y) else 0.0, buckets)
+    positive, total = np.zeros(buckets), np.zeros(buckets)
+    for text, label in zip(texts, y):
+        b = ngram_buckets(text or "", buckets)
+        positive[b] += label
+        total[b] += 1
+    ratio = log_ratios(positive, total)
+    rows = [b[ratio[b] != 0].astype(np.int32) for b in (ngram_buckets(t or "", buckets) for t in texts)]
+    return fit_rows(rows, y, ratio, **options)
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, buckets: int = BUCKETS) -> Weights:
+    """Learn from at most ``rows`` labelled documents; ``labels`` holds ``doc_id`` and ``toxic``.
+
+    Tasks count and pick features; the driver gets a number per bucket and the telling buckets of
+    each chosen row. Texts are learnt whole: nobody says which passage of a toxic text is the toxic one.
+    """
+    chosen = labels.filter("toxic IS NOT NULL").select("doc_id", F.col("toxic").cast("double").alias("__label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "__label").limit(rows)
     # at most ``rows`` pairs of numbers: small enough to broadcast whatever the corpus
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "__label").toPandas()
-    found = found.sort_values(["doc_id", "__label"])
-    # texts are learnt whole: nobody says which passage of a toxic text is the toxic one
-    return learn(list(found["text"]), found["__label"].to_numpy(np.float64))
+    sample = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").repartition(24, "doc_id"), "labelled")
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        positive, total = np.zeros(buckets), np.zeros(buckets)
+        for batch in batches:
+            for text, label in zip(batch["text"], batch["__label"]):
+                b = ngram_buckets(text or "", buckets)
+                positive[b] += label
+                total[b] += 1
+        b = np.flatnonzero(total)
+        yield pd.DataFrame({"bucket": b, "positive": positive[b], "total": total[b]})
+
+    counted = sample.mapInPandas(count, "bucket int, positive double, total double")
+    sums = counted.groupBy("bucket").agg(F.sum("positive").alias("positive"), F.sum("total").alias("total")).toPandas()
+    positive, total = np.zeros(buckets), np.zeros(buckets)
+    positive[sums["bucket"]], total[sums["bucket"]] = sums["positive"], sums["total"]
+    ratio = log_ratios(positive, total)
+    telling = ratio != 0
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [ngram_buckets(t or "", buckets) for t in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["__label"], "b": [f[telling[f]].astype(np.int32) for f in found]})
+
+    picked = sample.mapInPandas(pick, "doc_id bigint, label double, b array<int>").toPandas().sort_values(["doc_id", "label"])
+    return fit_rows(list(picked["b"]), picked["label"].to_numpy(), ratio)
 
 
 def score_toxicity(docs: DataFrame, weights: Weights, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -34,7 +34,9 @@ from callgauge.session import materialize
 BUCKETS = 1 << 18
 SIZES = (3, 4, 5, 6)
 PASSAGE = 2048
-FIT_ROWS = 12_000
+FIT_ROWS = 8_000
+#: Counts of a bucket must differ by so many standard errors between the classes.
+TELLING = 2.5
 STEPS = 200
 RIDGE = 1.0
 #: Toxic labels are few; each counts this many times in the loss, so that 0.5 is where missing one costs as much.
@@ -93,7 +95,7 @@ def log_ratios(positive: np.ndarray, total: np.ndarray) -> np.ndarray:
     negative = total - positive
     ratio = np.log((positive + 1) / (positive.sum() + len(total))) - np.log((negative + 1) / (negative.sum() + len(total)))
     spread = np.sqrt(1 / (positive + 1) + 1 / (negative + 1))
-    ratio[(np.abs(ratio) < 2 * spread) | (total < 3)] = 0
+    ratio[(np.abs(ratio) < TELLING * spread) | (total < 3)] = 0
     return ratio
 
 
@@ -110,7 +112,11 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, step
     y = np.asarray(labels, np.float64)
     if len(y) == 0 or y.min() == y.max():
         return constant(float(y.mean()) if len(y) else 0.0, len(ratio))
-    used, flat = np.unique(np.concatenate([np.zeros(0, np.int32), *rows]), return_inverse=True)
+    flat = np.concatenate([np.zeros(0, np.int32), *rows])
+    used = np.flatnonzero(np.bincount(flat, minlength=len(ratio)))
+    places = np.zeros(len(ratio), np.int32)
+    places[used] = np.arange(len(used))
+    flat = places[flat]
     owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     value = ratio[used][flat]
     cost = np.where(y > 0, toxic_weight, 1.0)
@@ -175,7 +181,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, bucke
         yield pd.DataFrame({"bucket": b, "positive": positive[b], "total": total[b]})
 
     counted = sample.mapInPandas(count, "bucket int, positive double, total double")
-    sums = counted.groupBy("bucket").agg(F.sum("positive").alias("positive"), F.sum("total").alias("total")).toPandas()
+    sums = counted.groupBy("bucket").agg(F.sum("positive").alias("positive"), F.sum("total").alias("total")).toArrow().to_pandas()
     positive, total = np.zeros(buckets), np.zeros(buckets)
     positive[sums["bucket"]], total[sums["bucket"]] = sums["positive"], sums["total"]
     ratio = log_ratios(positive, total)
@@ -184,10 +190,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, bucke
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [ngram_buckets(t or "", buckets) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["__label"], "b": [f[telling[f]].astype(np.int32) for f in found]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["__label"], "b": [f[telling[f]].astype(np.int32).tobytes() for f in found]})
 
-    picked = sample.mapInPandas(pick, "doc_id bigint, label double, b array<int>").toPandas().sort_values(["doc_id", "label"])
-    return fit_rows(list(picked["b"]), picked["label"].to_numpy(), ratio)
+    picked = sample.mapInPandas(pick, "doc_id bigint, label double, b binary").toArrow().to_pandas().sort_values(["doc_id", "label"])
+    return fit_rows([np.frombuffer(b, np.int32) for b in picked["b"]], picked["label"].to_numpy(), ratio)
 
 
 def score_toxicity(docs: DataFrame, weights: Weights, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

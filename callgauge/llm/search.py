@@ -36,7 +36,8 @@ from callgauge.session import materialize
 K = 5
 PIVOTS = 32
 BLOCK_ROWS = 4096
-LEAF = 64
+LEAF = 256
+CHILDREN = 32
 
 
 def usable(df: DataFrame, vector: str = "embedding", scale: int = 256) -> DataFrame:
@@ -62,10 +63,11 @@ class Node:
         self.children: list[Node] = []
 
 
-def cover_tree(points: np.ndarray, leaf: int = LEAF) -> Node:
+def cover_tree(points: np.ndarray, leaf: int = LEAF, most: int = CHILDREN) -> Node:
     """Cover tree of all rows: below a ball, balls of half its radius around rows not covered yet.
 
-    Rows equal to the centre stay in one leaf, whatever their number.
+    A ball that would need more than ``most`` such balls has no structure to prune by and stays a
+    leaf, like one whose rows are all equal.
     """
     root = Node(points, np.arange(len(points)), 0)
     todo = [root]
@@ -73,23 +75,37 @@ def cover_tree(points: np.ndarray, leaf: int = LEAF) -> Node:
         node = todo.pop()
         if len(node.rows) <= leaf or node.radius == 0:
             continue
-        left, centre, reach = node.rows, node.centre, node.radius / 2
-        while len(left):
+        left, centre, reach, children = node.rows, node.centre, node.radius / 2, []
+        while len(left) and len(children) < most:
             gap = points[left] - points[centre]
             inside = (gap * gap).sum(1) <= reach * reach
-            child = Node(points, left[inside], centre)
-            node.children.append(child)
-            todo.append(child)
+            children.append(Node(points, left[inside], centre))
             left = left[~inside]
             if len(left):
                 centre = int(left[0])
+        if not len(left):
+            node.children = children
+            todo += children
     return root
 
 
-def better(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of each row of scores, ties to the smaller id."""
-    order = np.lexsort((ids, -scores), axis=1)[:, :k]
-    return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+def merge_best(best: np.ndarray, best_ids: np.ndarray, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+    """Put the scores of ``rows`` against ``ids`` into the k best of each, ties to the smaller id."""
+    k = best.shape[1]
+    reach = best[rows, k - 1]
+    if scores.shape[1] > k:
+        reach = np.maximum(reach, np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k])
+    at, column = np.nonzero((scores >= reach[:, None]) & (scores > -np.inf))
+    if not len(at):
+        return
+    some = np.unique(at)
+    owner = np.concatenate([at, np.repeat(some, k)])
+    score = np.concatenate([scores[at, column], best[rows[some]].ravel()])
+    name = np.concatenate([ids[column], best_ids[rows[some]].ravel()])
+    order = np.lexsort((name, -score, owner))
+    first = np.searchsorted(owner[order], some)
+    take = order[first[:, None] + np.arange(k)]
+    best[rows[some]], best_ids[rows[some]] = score[take], name[take]
 
 
 def dual_search(q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, r_ids: np.ndarray, r: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, int]:
@@ -113,8 +129,7 @@ def dual_search(q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, r_ids: np.n
                 scores = q[a.rows] @ r[rows].T
                 formed += scores.size
                 scores[q_ids[a.rows][:, None] == r_ids[rows][None, :]] = -np.inf
-                ids = np.broadcast_to(r_ids[rows], scores.shape)
-                best[a.rows], best_ids[a.rows] = better(np.hstack([best[a.rows], scores]), np.hstack([best_ids[a.rows], ids]), k)
+                merge_best(best, best_ids, a.rows, scores, r_ids[rows])
             continue
         if b.children and (not a.children or b.radius >= a.radius):
             pairs = [(a, child) for child in b.children]

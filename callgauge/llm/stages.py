@@ -17,6 +17,9 @@ class Stage:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = new_path(self.spark, name)
         df.write.parquet(path)
+        # nothing holds the shuffle files behind this table any more: let Spark's cleaner see that now, as a
+        # driver with little garbage of its own would keep them on the executors' disks until the query ends
+        self.spark._jvm.System.gc()
         table = self.spark.read.schema(df.schema).parquet(path)
         self.paths.append((table, path))
         return table

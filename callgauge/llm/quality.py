@@ -154,6 +154,17 @@ def fit_votes(voted: DataFrame, rules: Mapping[str, tuple[str, str]] = RULES, it
     return prior, right
 
 
+def filter_quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Rows of ``docs`` whose ``text`` passes, all columns as they are.
+
+    The texts are counted once for the fit and once for the verdict: that keeps no second copy of them.
+    """
+    rows = docs.select(F.struct("*").alias("__row"), "text")
+    prior, right = fit_votes(text_counts(rows, "text", ()).select(*votes()))
+    judged = text_counts(rows, "text", ("__row",)).select("__row", base_failed().alias("base_failed"), *votes())
+    return judged.filter(~F.col("base_failed") & (posterior(prior, right) >= threshold)).select("__row.*")
+
+
 def judge_quality(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.5) -> DataFrame:
     """Counts, votes, posterior ``quality`` and verdict ``kept`` of every document."""
     counted = text_counts(docs, text, keep)

@@ -290,7 +290,10 @@ def cut_spans(data: bytes, spans: list[dict] | None) -> tuple[bytes, int, int]:
 
 
 def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = (), **options) -> DataFrame:
-    """(doc_id, keep..., n_bytes, n_removed, n_spans, kept_sha256, kept) for every row; ``kept`` holds the bytes left."""
+    """(doc_id, keep..., n_bytes, n_removed, n_spans, kept_sha256, kept) for every row.
+
+    ``kept`` is the text left; of a character cut in two nothing stays in it, while ``kept_sha256`` is of all bytes left.
+    """
     stage = Stage(docs.sparkSession)
     spans = repeated_spans(docs.select("doc_id", "text"), stage, **options)
     marked = docs.select("doc_id", *keep, F.xxhash64(F.coalesce("text", F.lit(""))).alias("__mark"), F.coalesce("text", F.lit("")).alias("__text"))
@@ -303,11 +306,18 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = (), **options) -> Da
             kept = [r[0] for r in rows]
             columns = [batch.column(c) for c in ("doc_id", *keep)]
             columns += [pa.array([len(k) + r[1] for k, r in zip(kept, rows)], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()),
-                        pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), pa.array(kept, pa.binary())]
+                        pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", *keep, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select("doc_id", *keep).schema)
-    return joined.mapInArrow(cut, f"{schema}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    return joined.mapInArrow(cut, f"{schema}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string")
+
+
+def without_repeats(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with the repeated bytes gone from ``text``, and ``n_chars`` (if there) counted anew."""
+    out = remove_repeats(docs.select("doc_id", "text", F.struct("*").alias("__row")), ("__row",), **options)
+    fresh = {"text": F.col("kept"), "n_chars": F.length("kept").cast("bigint")}
+    return out.select(*[fresh[c].alias(c) if c in fresh else F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
 
 
 @query("op6_suffix_dedup")

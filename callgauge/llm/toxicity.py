@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -196,17 +197,22 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, bucke
     return fit_rows([np.frombuffer(b, np.int32) for b in picked["b"]], picked["label"].to_numpy(), ratio)
 
 
-def score_toxicity(docs: DataFrame, weights: Weights, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def score_toxicity(docs: DataFrame, weights: Weights, keep: tuple[str, ...] = ("doc_id",), score: str = "score") -> DataFrame:
     """``score`` from 0 to 1 for every row, beside the columns in ``keep``."""
-    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(score, T.DoubleType())])
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = batch[list(keep)].copy()
-            out["score"] = [weights.score(t if isinstance(t, str) else None) for t in batch["__text"]]
-            yield out
+            scores = [weights.score(t) for t in batch.column("__text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(scores, pa.float64())], schema.names)
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInPandas(score, schema)
+    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(add, schema)
+
+
+def filter_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Rows of ``docs`` that score below ``threshold``, all columns as they are."""
+    scored = score_toxicity(docs, fit_toxicity(docs, labels), tuple(docs.columns), "__score")
+    return scored.filter(F.col("__score") < threshold).drop("__score")
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:

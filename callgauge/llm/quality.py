@@ -161,8 +161,10 @@ def filter_quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """
     rows = docs.select(F.struct("*").alias("__row"), "text")
     prior, right = fit_votes(text_counts(rows, "text", ()).select(*votes()))
-    judged = text_counts(rows, "text", ("__row",)).select("__row", base_failed().alias("base_failed"), *votes())
-    return judged.filter(~F.col("base_failed") & (posterior(prior, right) >= threshold)).select("__row.*")
+    # a column that depends on the row's place keeps the filter above the counts: pushed below, it would count the
+    # text anew for every mention of a count
+    counted = text_counts(rows, "text", ("__row",)).select("__row", base_failed().alias("base_failed"), *votes(), F.monotonically_increasing_id().alias("__place"))
+    return counted.filter(~F.col("base_failed") & (posterior(prior, right) >= threshold) & (F.col("__place") >= 0)).select("__row.*")
 
 
 def judge_quality(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.5) -> DataFrame:

@@ -17,7 +17,7 @@ in every level, so thousands of copies weigh as one.
 
 What remains are the edges of repeats: for each prefix that occurs in different stretches, the
 strings of one copy of each stretch are fingerprinted, 128 bits each, and those that occur twice are
-repeated. All of it is aggregates and joins by fingerprint; no group is collected.
+repeated. A prefix with very many stretches is dealt to several tasks by fingerprint of the string.
 
 Suffixes are sorted by the fingerprint of their prefix, not by its letters: all that the scan asks
 is that equal prefixes stand together, and 8 bytes then do for hundreds. Prefix fingerprints (64
@@ -166,7 +166,7 @@ class SuffixFamily:
 
 # ---- edges of repeats ------------------------------------------------------------------------------------------------
 
-#: A prefix with more different stretches than this is compared string by string over the cluster.
+#: Different stretches of one prefix that a task compares whole; of more, each task compares a share of the strings.
 GROUP_STRETCHES = 1000
 
 
@@ -182,8 +182,8 @@ def runs(starts: list[int], length: int) -> list[tuple[int, int]]:
 
 
 def stretch_bytes(texts: DataFrame, copies: DataFrame, length: int) -> DataFrame:
-    """(fp, doc_id, mark, first, bytes) of the given stretches (fp, large, doc_id, mark, first, last), cut from the texts."""
-    wanted = copies.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("fp", "large", "first", "last")).alias("cuts"))
+    """(fp, classes, doc_id, mark, first, bytes) of the given stretches (fp, classes, doc_id, mark, first, last), cut from the texts."""
+    wanted = copies.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("fp", "classes", "first", "last")).alias("cuts"))
 
     def cut(batches):
         for batch in batches:
@@ -191,66 +191,98 @@ def stretch_bytes(texts: DataFrame, copies: DataFrame, length: int) -> DataFrame
             for doc, mark, text, cuts in zip(*(batch.column(c) for c in ("doc_id", "mark", "text", "cuts"))):
                 data = text.as_py().encode("utf-8", "surrogatepass")
                 for c in cuts.as_py():
-                    for column, value in zip(out, (c["fp"], c["large"], doc.as_py(), mark.as_py(), c["first"], data[c["first"]:c["last"] + length])):
+                    for column, value in zip(out, (c["fp"], c["classes"], doc.as_py(), mark.as_py(), c["first"], data[c["first"]:c["last"] + length])):
                         column.append(value)
-            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["fp", "large", "doc_id", "mark", "first", "bytes"])
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["fp", "classes", "doc_id", "mark", "first", "bytes"])
 
-    return texts.join(wanted, ["doc_id", "mark"]).mapInArrow(cut, "fp bigint, large boolean, doc_id bigint, mark bigint, first int, bytes binary")
+    return texts.join(wanted, ["doc_id", "mark"]).mapInArrow(cut, "fp bigint, classes int, doc_id bigint, mark bigint, first int, bytes binary")
 
 
 SPANS = "doc_id bigint, mark bigint, a int, b int"
+#: Fingerprint and start of a string, as they travel.
+STRING = np.dtype([("digest", "V16"), ("start", "<i4")])
+
+
+def strings_of(first: int, data: bytes, length: int) -> np.ndarray:
+    """Fingerprint and start of every string of a stretch."""
+    view, n = memoryview(data), len(data) - length + 1
+    found = np.zeros(n, STRING)
+    found["digest"] = np.frombuffer(b"".join([xxhash.xxh3_128_digest(view[s:s + length]) for s in range(n)]), "V16")
+    found["start"] = np.arange(first, first + n)
+    return found
+
+
+def halves(strings: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(strings["digest"]).view(np.uint64).reshape(-1, 2)
+
+
+def shared_ranges(rows: list[tuple[int, int, np.ndarray]], length: int) -> list[tuple[int, int, int, int]]:
+    """(document, mark, from, to) of the bytes under strings that two of the rows (document, mark, strings) hold."""
+    flat = np.concatenate([r[2] for r in rows])
+    owner = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
+    two = halves(flat)
+    order = np.lexsort((two[:, 1], two[:, 0]))
+    same = (two[order[1:]] == two[order[:-1]]).all(1)
+    hit = np.zeros(len(flat), bool)
+    hit[order[1:][same]] = hit[order[:-1][same]] = True
+    at = np.flatnonzero(hit)
+    out = []
+    for part in np.split(at, np.flatnonzero(np.diff(owner[at])) + 1) if len(at) else []:
+        out += [(*rows[owner[part[0]]][:2], a, b) for a, b in runs(np.sort(flat["start"][part]).tolist(), length)]
+    return out
 
 
-def compare_groups(stretches: DataFrame, length: int) -> DataFrame:
-    """Byte ranges covered by strings that two stretches of one prefix share; groups come one by one in sorted partitions."""
-
-    def compare(rows: list[tuple]) -> list[tuple]:
-        seen: dict[bytes, tuple[int, int]] = {}
-        hits: list[set[int]] = [set() for _ in rows]
-        for k, (_, _, _, data) in enumerate(rows):
-            view = memoryview(data)
-            for s in range(len(data) - length + 1):
-                digest = xxhash.xxh3_128_digest(view[s:s + length])
-                other = seen.setdefault(digest, (k, s))
-                if other != (k, s):
-                    hits[k].add(s)
-                    hits[other[0]].add(other[1])
-        return [(doc, mark, first + a, first + b) for (doc, mark, first, _), h in zip(rows, hits) for a, b in runs(sorted(h), length)]
+def in_runs(rows: DataFrame, keys: tuple[str, ...], columns: tuple[str, ...], read, length: int) -> DataFrame:
+    """Shared ranges among the rows of equal keys, which come one after the other in sorted partitions."""
 
-    def search(batches):
-        here, rows = None, []
+    def ranges(run: list) -> list:
+        return shared_ranges([read(r) for r in run], length) if len(run) > 1 else []
 
-        def batch_of(found):
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["doc_id", "mark", "a", "b"])
+    def batch_of(found: list) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate(kinds)], ["doc_id", "mark", "a", "b"])
 
+    def search(batches):
+        here, run = None, []
         for batch in batches:
-            found: list[tuple] = []
-            for fp, *row in zip(*(batch.column(c).to_pylist() for c in ("fp", "doc_id", "mark", "first", "bytes"))):
-                if fp != here:
-                    found += compare(rows) if len(rows) > 1 else []
-                    here, rows = fp, []
-                rows.append(tuple(row))
+            found: list = []
+            for key, row in zip(zip(*(batch.column(c).to_pylist() for c in keys)), zip(*(batch.column(c).to_pylist() for c in columns))):
+                if key != here:
+                    found += ranges(run)
+                    here, run = key, []
+                run.append(row)
             yield batch_of(found)
-        yield batch_of(compare(rows) if len(rows) > 1 else [])
+        yield batch_of(ranges(run))
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(search, SPANS)
 
-    return stretches.repartition("fp").sortWithinPartitions("fp").mapInArrow(search, SPANS)
 
+def compare_groups(stretches: DataFrame, length: int) -> DataFrame:
+    """Ranges that stretches of one prefix share; whole stretches travel."""
+    return in_runs(stretches, ("fp",), ("doc_id", "mark", "first", "bytes"), lambda r: (r[0], r[1], strings_of(r[2], r[3], length)), length)
 
-def compare_strings(stretches: DataFrame, stage: Stage, length: int) -> DataFrame:
-    """The same for prefixes with very many stretches: strings meet by fingerprint, wherever they are."""
+
+def compare_classes(stretches: DataFrame, length: int) -> DataFrame:
+    """The same for prefixes with very many stretches: their strings are compared in ``classes`` parts, by fingerprint.
+
+    A stretch sends a row to each class it has strings in, so a task's share of a prefix stays bounded.
+    """
 
     def strings(batches):
         for batch in batches:
-            for doc, mark, first, data in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "mark", "first", "bytes"))):
-                view, n = memoryview(data), len(data) - length + 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([xxhash.xxh3_128_digest(view[s:s + length]) for s in range(n)], pa.binary()), pa.array([doc] * n, pa.int64()),
-                     pa.array([mark] * n, pa.int64()), pa.array(range(first, first + n), pa.int32())], ["string", "doc_id", "mark", "a"])
+            out: list[list] = [[], [], [], [], []]
+            for fp, classes, doc, mark, first, data in zip(*(batch.column(c).to_pylist() for c in ("fp", "classes", "doc_id", "mark", "first", "bytes"))):
+                found = strings_of(first, data, length)
+                of = halves(found)[:, 0] % np.uint64(classes)
+                for c in np.unique(of).tolist():
+                    for column, value in zip(out, (fp, c, doc, mark, found[of == c].tobytes())):
+                        column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["fp", "class", "doc_id", "mark", "strings"])
 
-    rows = stage.write(stretches.mapInArrow(strings, "string binary, doc_id bigint, mark bigint, a int"), "strings")
-    twice = rows.groupBy("string").agg(F.count("*").alias("n")).filter("n > 1").select("string")
-    return rows.join(twice, "string", "left_semi").select("doc_id", "mark", "a", (F.col("a") + length).alias("b"))
+    sent = stretches.mapInArrow(strings, "fp bigint, class bigint, doc_id bigint, mark bigint, strings binary")
+    return in_runs(sent, ("fp", "class"), ("doc_id", "mark", "strings"), lambda r: (r[0], r[1], np.frombuffer(r[2], STRING)), length)
 
 
 def repeated_spans(docs: DataFrame, stage: Stage, length: int = LENGTH, span: int = SPAN, batches: int = BATCHES) -> DataFrame:
@@ -263,12 +295,12 @@ def repeated_spans(docs: DataFrame, stage: Stage, length: int = LENGTH, span: in
     whole = entries(texts, length, span).join(twice, "stretch", "left_semi").select("doc_id", "mark", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
     whole = stage.write(whole, "whole-spans")
     copies = family.everything().join(parted, "fp", "left_semi").select("fp", "stretch", "place.*")
-    sizes = copies.groupBy("fp").agg((F.count("*") > GROUP_STRETCHES).alias("large"))
+    sizes = copies.groupBy("fp").agg(F.ceil(F.count("*") / GROUP_STRETCHES).cast("int").alias("classes"))
     copies = stage.write(copies.join(sizes, "fp"), "copies")
     cuts = stage.write(stretch_bytes(texts, copies, length), "stretches")
-    edges = compare_groups(cuts.filter("NOT large"), length)
-    if copies.filter("large").limit(1).count():
-        edges = edges.unionByName(compare_strings(cuts.filter("large"), stage, length))
+    edges = compare_groups(cuts.filter("classes = 1"), length)
+    if copies.filter("classes > 1").limit(1).count():
+        edges = edges.unionByName(compare_classes(cuts.filter("classes > 1"), length))
     edges = stage.write(edges, "edge-spans")
     stage.drop(cuts, copies, *family.matches, *[level for _, level in family.levels])
     return whole.unionByName(edges).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("a", "b")).alias("spans"))

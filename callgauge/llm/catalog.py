@@ -1,3 +1,3 @@
 """Imports the modules that register queries."""
 
-from callgauge.llm import jaccard, packing, quality, search, sharding, suffixes, toxicity  # noqa: F401
+from callgauge.llm import jaccard, licences, packing, pages, pieces, quality, search, sharding, suffixes, toxicity  # noqa: F401

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 INF = float("inf")
@@ -45,6 +43,7 @@ def softmax(logits: Column) -> Column:
     return F.transform(parts, lambda x: x / total)
 
 
-def two_sided_p(z: float) -> float:
-    """Two-sided tail of the standard normal."""
-    return math.erfc(abs(z) / math.sqrt(2.0))
+def present(df: DataFrame, name: str) -> Column:
+    """The column, with NaN and infinities of floating columns as null."""
+    c = F.col(f"`{name}`")
+    return finite(c) if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)) else c

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from callgauge.functions.fixed import SHARE_OF_INPUT
-from callgauge.functions.numeric import numeric_columns
+from callgauge.functions.numeric import finite, numeric_columns, present
 from callgauge.operators.quantiles import exact_quantiles
 
 
@@ -30,7 +30,7 @@ def dataset_summary(df: DataFrame, ticker: str = "ticker", quarter: str = "quart
 def completeness(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Percent of non-null values per column, two digits, halves to even."""
     cols = list(cols or df.columns)
-    row = df.agg(*[F.bround(F.count(F.col(f"`{c}`")) / F.count(F.lit(1)) * 100, 2).alias(c) for c in cols])
+    row = df.agg(*[F.bround(F.count(present(df, c)) / F.count(F.lit(1)) * 100, 2).alias(c) for c in cols])
     return _long(row, cols, "completeness")
 
 
@@ -41,7 +41,7 @@ def overall_completeness(df: DataFrame, cols: Sequence[str] | None = None) -> Da
 def group_completeness(df: DataFrame, groups: Mapping[str, Sequence[str]]) -> DataFrame:
     """Mean completeness of each column group, in one pass over the data."""
     cols = sorted({c for cs in groups.values() for c in cs})
-    row = df.agg(*[(F.count(F.col(f"`{c}`")) / F.count(F.lit(1)) * 100).alias(c) for c in cols])
+    row = df.agg(*[(F.count(present(df, c)) / F.count(F.lit(1)) * 100).alias(c) for c in cols])
     have = {g: cs for g, cs in groups.items() if cs}
     means = row.select(*[(reduce(lambda a, b: a + b, [F.col(f"`{c}`") for c in cs]) / len(cs)).alias(g) for g, cs in have.items()])
     return means.unpivot([], list(have), "column_group", "completeness")
@@ -50,7 +50,7 @@ def group_completeness(df: DataFrame, groups: Mapping[str, Sequence[str]]) -> Da
 def missing_report(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     cols = list(cols or df.columns)
     row = df.agg(
-        F.count(F.lit(1)).alias("__n"), *[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in cols]
+        F.count(F.lit(1)).alias("__n"), *[F.count_if(present(df, c).isNull()).alias(c) for c in cols]
     )
     long = row.unpivot(["__n"], [F.col(f"`{c}`") for c in cols], "column", "missing")
     return long.select("column", "missing", F.coalesce(F.try_divide("missing", "__n") * 100, F.lit(0.0)).alias("missing_pct"))
@@ -64,16 +64,20 @@ def missing_totals(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
 
 def zscore_outliers(df: DataFrame, cols: Sequence[str], threshold: float = 3.0) -> DataFrame:
     """Rows farther than ``threshold`` sample deviations from the mean; columns without spread are skipped."""
-    fit = df.agg(*[g(F.col(c)).alias(f"{k}{i}") for i, c in enumerate(cols) for k, g in (("m", F.avg), ("s", F.stddev_samp))]).first()
+    fit = df.agg(*[g(finite(F.col(c))).alias(f"{k}{i}") for i, c in enumerate(cols) for k, g in (("m", F.avg), ("s", F.stddev_samp))]).first()
     have = [(c, fit[f"m{i}"], fit[f"s{i}"]) for i, c in enumerate(cols) if fit[f"s{i}"] and fit[f"s{i}"] > 0]
-    row = df.agg(*[F.count_if(F.abs((F.col(c) - F.lit(m)) / F.lit(s)) > threshold).alias(c) for c, m, s in have])
+    if not have:
+        return df.sparkSession.createDataFrame([], "column string, outliers bigint")
+    row = df.agg(*[F.count_if(F.abs((finite(F.col(c)) - F.lit(m)) / F.lit(s)) > threshold).alias(c) for c, m, s in have])
     return _long(row, [c for c, _, _ in have], "outliers")
 
 
 def iqr_outliers(df: DataFrame, cols: Sequence[str], k: float = 3.0) -> DataFrame:
     q = exact_quantiles(df, cols, [0.25, 0.75])
     have = [c for c in cols if q[c][0] is not None]
-    outside = lambda c, a, b: (F.col(c) < a - k * (b - a)) | (F.col(c) > b + k * (b - a))
+    if not have:
+        return df.sparkSession.createDataFrame([], "column string, outliers bigint")
+    outside = lambda c, a, b: (finite(F.col(c)) < a - k * (b - a)) | (finite(F.col(c)) > b + k * (b - a))
     return _long(df.agg(*[F.count_if(outside(c, *q[c])).alias(c) for c in have]), have, "outliers")
 
 
@@ -90,7 +94,7 @@ def gap_stats(df: DataFrame, gap: str = "financial_date_diff_days", kind: str =
 
 
 def distribution_stats(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
-    c = F.col(col)
+    c = present(df, col)
     n = F.count(F.lit(1))
     return df.groupBy(*by).agg(
         F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"),
@@ -116,7 +120,7 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, digits: int = 4)
     """Count, mean, sample std, minimum, quartiles and maximum, one row per numeric column."""
     cols = list(cols or numeric_columns(df))
     q = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
-    d = {c: F.col(f"`{c}`").cast("double") for c in cols}
+    d = {c: finite(F.col(f"`{c}`")) for c in cols}
     stats = lambda c: F.struct(
         F.lit(c).alias("column"), F.count(d[c]).alias("count"), F.avg(d[c]).alias("mean"), F.stddev_samp(d[c]).alias("std"),
         F.min(d[c]).alias("min"),
@@ -133,9 +137,9 @@ def clamped_bins(n: int) -> int:
 
 def histogram(df: DataFrame, col: str, bins: int | None = 50) -> DataFrame:
     """Counts in equally wide bins between minimum and maximum; ``bins=None`` follows the row count."""
-    low, high, n = df.agg(F.min(col).cast("double"), F.max(col).cast("double"), F.count(col)).first()
+    c = finite(F.col(col))
+    low, high, n = df.agg(F.min(c), F.max(c), F.count(c)).first()
     bins = bins or clamped_bins(n)
-    c = F.col(col).cast("double")
     if low is None or low == high:
         which = F.lit(1)
     else:
@@ -148,7 +152,8 @@ def histogram(df: DataFrame, col: str, bins: int | None = 50) -> DataFrame:
 
 
 def correlation(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
-    return df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*by).agg(F.corr(a, b).alias("correlation"))
+    x, y = finite(F.col(a)), finite(F.col(b))
+    return df.filter(x.isNotNull() & y.isNotNull()).groupBy(*by).agg(F.corr(x, y).alias("correlation"))
 
 
 def result_kpis(df: DataFrame, value: str = "abnormal_return", label: str = "label_binary") -> DataFrame:

@@ -18,6 +18,8 @@ from callgauge.session import shuffle_width
 RangeFn = Callable[[Column], Column]
 
 DAY = 86_400
+#: Distinct strings from which the borders of string ranges are taken.
+STRING_SAMPLE = 10_000
 
 
 def order_number(col: Column, dtype: T.DataType) -> Column:
@@ -28,8 +30,7 @@ def order_number(col: Column, dtype: T.DataType) -> Column:
         return F.unix_micros(col.cast("timestamp")).cast("double")
     if isinstance(dtype, T.NumericType):
         return col.cast("double")
-    head = F.rpad(F.substring(F.hex(F.encode(col.cast("string"), "UTF-8")), 1, 12), 12, "0")
-    return F.conv(head, 16, 10).cast("double")
+    raise TypeError(f"no number follows the order of {dtype.simpleString()}")
 
 
 def calendar_range(days: int) -> RangeFn:
@@ -88,11 +89,22 @@ def even_bounds(df: DataFrame, number: Column, ranges: int | None = None) -> lis
     return sorted(set(row["b"] or []))
 
 
+def borders(df: DataFrame, col: str, ranges: int | None = None) -> tuple[RangeFn, list]:
+    """What to compare of a column, and borders of ranges with about equally many rows each."""
+    dtype = df.schema[col].dataType
+    if not isinstance(dtype, T.StringType):
+        return lambda c: order_number(c, dtype), even_bounds(df, order_number(F.col(col), dtype), ranges)
+    # borders of strings are whole values, taken evenly from a sample of the distinct ones
+    values = df.select(F.col(col).alias("v")).filter("v IS NOT NULL").distinct().orderBy(F.xxhash64("v")).limit(STRING_SAMPLE)
+    sample = sorted((row["v"] for row in values.collect()), key=lambda v: v.encode())
+    n = ranges or shuffle_width(df.sparkSession)
+    return lambda c: c, sorted({sample[len(sample) * i // n] for i in range(1, n)} if sample else (), key=lambda v: v.encode())
+
+
 def even_range(df: DataFrame, col: str, ranges: int | None = None) -> RangeFn:
     """Ranges with about equally many rows of ``df[col]`` each."""
-    dtype = df.schema[col].dataType
-    bounds = even_bounds(df, order_number(F.col(col), dtype), ranges)
-    return lambda c: range_index(order_number(c, dtype), bounds)
+    measure, bounds = borders(df, col, ranges)
+    return lambda c: range_index(measure(c), bounds)
 
 
 # ---------------------------------------------------------------- running totals
@@ -130,19 +142,15 @@ def running_totals(
 def chronological_index(df: DataFrame, order: str, ties: Sequence[str], name: str = "idx") -> DataFrame:
     """Global 0-based position by ``(order, *ties)``.
 
-    Ranges are cut on the order value refined by the first tie column, so that a single
-    date that holds much of the data is spread over several ranges too.
+    Ranges are cut on the order value. A value that is a border itself may hold many rows; these
+    are cut further by the first tie column, so that they are spread over several ranges too.
     """
-    tie = ties[0]
-    tie_number = order_number(F.col(tie), df.schema[tie].dataType)
-    order_type = df.schema[order].dataType
-    main = order_number(F.col(order), order_type)
-    if isinstance(order_type, T.DateType):
-        low, high = df.agg(F.min(tie_number), F.max(tie_number)).first()
-        if low is not None and high > low:
-            main = main + F.coalesce((tie_number - F.lit(low)) / F.lit((high - low) * 1.000001), F.lit(0.0))
-    bounds = even_bounds(df, main)
-    ranged = df.withColumn("__r", F.coalesce(range_index(main, bounds), F.lit(-1)))
+    measure, bounds = borders(df, order)
+    main = measure(F.col(order))
+    which = range_index(main, bounds)
+    at_border = main == F.get(F.array(*map(F.lit, bounds)), which) if bounds else F.lit(False)
+    within = F.when(at_border, F.coalesce(even_range(df, ties[0])(F.col(ties[0])), F.lit(-1)) + 2).otherwise(F.lit(0))
+    ranged = df.withColumn("__r", F.struct(F.coalesce(which, F.lit(-1)).alias("main"), F.coalesce(within, F.lit(0)).alias("tie")))
     carry = ranged.groupBy("__r").agg(F.count(F.lit(1)).alias("__n")).select(
         "__r",
         F.coalesce(

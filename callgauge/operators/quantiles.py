@@ -7,18 +7,19 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from callgauge.functions.numeric import finite
+
 ACCURACY = 10_000
 
 
 def exact_quantiles(
-    df: DataFrame, cols: Sequence[str], ps: Sequence[float], single_pass_limit: int = 4_000_000, exact: bool = True,
-    keep: bool = False,
+    df: DataFrame, cols: Sequence[str], ps: Sequence[float], exact: bool = True, keep: bool = False,
 ) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles per column, nulls skipped; ``None`` for an empty column.
+    """Linearly interpolated quantiles per column; nulls, NaN and infinities skipped, ``None`` for an empty column.
 
-    Few values over all columns: one aggregate. Many: a sketch brackets each wanted rank, a second scan
-    counts what lies below the bracket and groups only the values inside it. A bracket that
-    missed its rank is widened to the whole column, so the result is exact either way.
+    A sketch brackets each wanted rank, a second scan counts what lies below the bracket and groups
+    only the values inside it. A bracket that missed its rank is widened to the whole column once,
+    so the result is exact either way.
     ``exact=False`` returns the sketch's answer. ``keep`` holds the columns between the two
     passes, for inputs that are costly to compute.
     """
@@ -28,12 +29,12 @@ def exact_quantiles(
     if keep:
         held = df.select(*[F.col(f"`{c}`") for c in cols]).persist()
         try:
-            return exact_quantiles(held, cols, ps, single_pass_limit, exact)
+            return exact_quantiles(held, cols, ps, exact)
         finally:
             held.unpersist()
     slack = 5.0 / ACCURACY
     probes = sorted({p for q in ps for p in (q, max(0.0, q - slack), min(1.0, q + slack))})
-    number = {c: F.col(f"`{c}`").cast("double") for c in cols}
+    number = {c: finite(F.col(f"`{c}`")) for c in cols}
     sketch = df.agg(
         *[F.count(number[c]).alias(f"n{i}") for i, c in enumerate(cols)],
         *[F.percentile_approx(number[c], F.array(*map(F.lit, probes)), F.lit(ACCURACY)).alias(f"s{i}") for i, c in enumerate(cols)],
@@ -42,9 +43,6 @@ def exact_quantiles(
     at = [dict(zip(probes, sketch[f"s{i}"] or [None] * len(probes))) for i in range(len(cols))]
     if not exact:
         return {c: [at[i][q] for q in ps] for i, c in enumerate(cols)}
-    if sum(counts) <= single_pass_limit:
-        row = df.agg(*[F.percentile(number[c], F.array(*map(F.lit, ps))).alias(f"q{i}") for i, c in enumerate(cols)]).first()
-        return {c: list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(ps) for i, c in enumerate(cols)}
 
     wanted: dict[tuple[int, int], tuple[float, float]] = {}
     for i, n in enumerate(counts):
@@ -54,10 +52,12 @@ def exact_quantiles(
                     -math.inf if q - slack <= 0 else at[i][max(0.0, q - slack)],
                     math.inf if q + slack >= 1 else at[i][min(1.0, q + slack)],
                 )
-    found: dict[tuple[int, int], float] = {}
-    while wanted:
-        found |= _ranks_in_brackets(df, cols, ps, counts, wanted)
-        wanted = {k: (-math.inf, math.inf) for k in wanted if k not in found}
+    found = _ranks_in_brackets(df, cols, ps, counts, wanted) if wanted else {}
+    missed = {k: (-math.inf, math.inf) for k in wanted if k not in found}
+    if missed:
+        found |= _ranks_in_brackets(df, cols, ps, counts, missed)
+    if len(found) < len(wanted):
+        raise RuntimeError("the values changed between two passes over them")
     return {c: [found.get((i, j)) for j in range(len(ps))] for i, c in enumerate(cols)}
 
 
@@ -66,7 +66,7 @@ def _ranks_in_brackets(df, cols, ps, counts, wanted) -> dict[tuple[int, int], fl
     from callgauge.operators.ordering import running_totals
 
     keys = list(wanted)
-    number = [F.col(f"`{c}`").cast("double") for c in cols]
+    number = [finite(F.col(f"`{c}`")) for c in cols]
     below = df.agg(*[
         F.count(F.when(number[i] < F.lit(wanted[i, j][0]), 1)).alias(f"b{k}") for k, (i, j) in enumerate(keys)
     ]).first()

@@ -282,12 +282,14 @@ SELECT user_id, day, origin, round(v, 4) AS v FROM (
     SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY p) AS n FROM (
         SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, 'purchase' AS origin, max(value) AS v, 0 AS p FROM events WHERE event_type = 'purchase' GROUP BY 1, 2
         UNION ALL SELECT user_id, strftime(ts, '%Y-%m-%d'), 'click', max(value), 1 FROM events WHERE event_type = 'click' GROUP BY 1, 2
-        UNION ALL SELECT user_id, strftime(ts, '%Y-%m-%d'), 'view', max(value), 2 FROM events WHERE event_type = 'view' GROUP BY 1, 2)) WHERE n = 1""",
+        UNION ALL SELECT user_id, strftime(ts, '%Y-%m-%d'), 'view', max(value), 2 FROM events WHERE event_type = 'view' GROUP BY 1, 2
+        UNION ALL SELECT user_id, strftime(ts, '%Y-%m-%d'), 'signup', max(value), 3 FROM events WHERE event_type = 'signup' GROUP BY 1, 2
+        UNION ALL SELECT user_id, strftime(ts, '%Y-%m-%d'), 'error', max(value), 4 FROM events WHERE event_type = 'error' GROUP BY 1, 2)) WHERE n = 1""",
 )
 def first_source_wins(t):
     parts = [
         t.events.filter(F.col("event_type") == k).groupBy("user_id", day("ts", "day")).agg(F.max("value").alias("v")).withColumn("origin", F.lit(k))
-        for k in ("purchase", "click", "view")
+        for k in ("purchase", "click", "view", "signup", "error")
     ]
     return jn.first_source_wins(parts, ["user_id", "day"]).select("user_id", "day", "origin", r("v", 4))
 
@@ -313,11 +315,12 @@ def ingest_gate(t):
 @query(
     "missing_entity_periods",
     """
-SELECT s.ticker, q.quarter FROM (SELECT DISTINCT ticker FROM v_financials) s, (VALUES ('Q1 1996'), ('Q2 1996'), ('Q3 1996'), ('Q4 1996')) q(quarter)
+SELECT s.ticker, q.quarter FROM (SELECT DISTINCT ticker FROM v_financials) s, (SELECT DISTINCT quarter FROM v_calls) q
 WHERE NOT EXISTS (SELECT 1 FROM v_calls c WHERE c.ticker = s.ticker AND c.quarter = q.quarter)""",
 )
 def missing_entity_periods(t):
-    return jn.missing_entity_periods(t.financials, ["Q1 1996", "Q2 1996", "Q3 1996", "Q4 1996"], t.calls)
+    quarters = [row[0] for row in t.calls.select("quarter").distinct().collect()]
+    return jn.missing_entity_periods(t.financials, quarters, t.calls)
 
 
 @query(

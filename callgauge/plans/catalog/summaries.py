@@ -145,10 +145,9 @@ SELECT 'o_totalprice' AS column, round(quantile_cont(o_totalprice, 0.01), 6) AS
        round(quantile_cont(o_totalprice, 0.99), 6) AS p99 FROM orders""",
 )
 def exact_quantiles(t):
-    """The bracketed way of finding quantiles, the one large inputs take."""
     from callgauge.operators.quantiles import exact_quantiles as eq
 
-    q = eq(t.orders, ["o_totalprice"], [0.01, 0.33, 0.99], single_pass_limit=0)["o_totalprice"]
+    q = eq(t.orders, ["o_totalprice"], [0.01, 0.33, 0.99])["o_totalprice"]
     return t.orders.agg(
         F.lit("o_totalprice").alias("column"), *[F.round(F.lit(v), 6).alias(n) for n, v in zip(("p01", "p33", "p99"), q)],
         F.count(F.lit(1)).alias("n"),
@@ -286,11 +285,11 @@ def newest_signal(t):
 SELECT user_id, event_id, max(value) OVER w AS best_so_far,
        round(CASE WHEN max(value) OVER p IS NULL THEN value WHEN value > max(value) OVER p THEN value - max(value) OVER p ELSE 0 END, 6) AS improvement,
        value = max(value) OVER w AS was_best
-FROM events WHERE event_type = 'purchase'
+FROM events
 WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
 )
 def running_best(t):
-    out = st.running_best(t.events.filter("event_type = 'purchase'"), ["user_id"], "event_id", "value")
+    out = st.running_best(t.events, ["user_id"], "event_id", "value")
     return out.select("user_id", "event_id", "best_so_far", r("improvement"), "was_best")
 
 

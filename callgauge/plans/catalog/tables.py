@@ -75,13 +75,14 @@ def text_by_key_roundtrip(t):
 @query(
     "statements_to_long",
     """
-SELECT l_suppkey AS Ticker, strftime(make_date(year(l_shipdate), 12, 31), '%Y-%m-%d') AS Date,
-       round(sum(CASE WHEN l_returnflag = 'A' THEN l_extendedprice END), 2) AS A, round(sum(CASE WHEN l_returnflag = 'N' THEN l_extendedprice END), 2) AS N
-FROM lineitem WHERE year(l_shipdate) BETWEEN 1996 AND 1998 GROUP BY 1, 2""",
+SELECT s.k AS Ticker, y.y || '-12-31' AS Date, round(sum(CASE WHEN l_returnflag = 'A' THEN l_extendedprice END), 2) AS A,
+       round(sum(CASE WHEN l_returnflag = 'N' THEN l_extendedprice END), 2) AS N
+FROM (SELECT DISTINCT l_suppkey AS k FROM lineitem) s CROSS JOIN (SELECT DISTINCT year(l_shipdate) AS y FROM lineitem) y
+LEFT JOIN lineitem ON l_suppkey = s.k AND year(l_shipdate) = y.y GROUP BY 1, 2""",
 )
 def statements_to_long(t):
     """A statement with one column per year end, turned into one row per year end."""
-    years = [1996, 1997, 1998]
+    years = sorted(row[0] for row in t.lineitem.select(F.year("l_shipdate")).distinct().collect())
     wide = t.lineitem.groupBy(F.col("l_suppkey").alias("Ticker"), F.col("l_returnflag").alias("item")).agg(*[
         F.sum(F.when(F.year("l_shipdate") == y, F.col("l_extendedprice"))).alias(f"{y}-12-31") for y in years
     ])

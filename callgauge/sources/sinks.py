@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from callgauge.session import shuffle_width
+
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = (), mode: str = "error") -> str:
     writer = df.write.mode(mode).format(fmt)
@@ -51,5 +53,5 @@ def write_text_by_key(
     one file, a key with very many spreads over several.
     """
     out = df.withColumn("value", text_with_header(text, company, key[0], key[1], date)).select(*key, "value")
-    out.repartition(*key, F.pmod(F.xxhash64("value"), F.lit(64))).write.mode(mode).partitionBy(*key).text(path)
+    out.repartition(*key, F.pmod(F.xxhash64("value"), F.lit(shuffle_width(df.sparkSession)))).write.mode(mode).partitionBy(*key).text(path)
     return path

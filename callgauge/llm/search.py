@@ -108,7 +108,7 @@ def merge_best(best: np.ndarray, best_ids: np.ndarray, rows: np.ndarray, scores:
     best[rows[some]], best_ids[rows[some]] = score[take], name[take]
 
 
-def dual_search(q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, r_ids: np.ndarray, r: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, int]:
+def dual_search(q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, r_ids: np.ndarray, r: np.ndarray, k: int = K, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray, int]:
     """Scores and ids of the k best rows of ``r`` for each row of ``q`` that reach ``floor``; also the scores formed.
 
     Unfilled places hold the score -inf. ``floor`` is a score known to be reached k times elsewhere.
@@ -116,7 +116,7 @@ def dual_search(q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, r_ids: np.n
     best = np.full((len(q), k), -np.inf)
     best_ids = np.full((len(q), k), np.iinfo(np.int64).max)
     formed = 0
-    todo = [(cover_tree(q), cover_tree(r))]
+    todo = [(cover_tree(q, leaf), cover_tree(r, leaf))]
     while todo:
         a, b = todo.pop()
         bound = float(q[a.centre] @ r[b.centre]) + a.radius * b.length + b.radius * a.length + a.radius * b.radius

@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from callgauge.functions.numeric import softmax
 
@@ -15,26 +15,27 @@ ModelFn = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 
 
 def score_batches(df: DataFrame, text: str, make_model: Callable[[], ModelFn], dim: int, batch: int = 32) -> DataFrame:
-    """Adds ``probs`` (negative, neutral, positive) and ``embedding``.
+    """Adds ``probs`` (negative, neutral, positive), ``embedding`` and ``score_failed``.
 
-    ``make_model`` runs once per Python worker; texts reach it in Arrow batches. A batch the
-    model fails on gets even shares and a zero vector, the rest goes on.
+    ``make_model`` runs once per Python worker; only the text column is read there, the others pass
+    through as Arrow columns. A batch the model fails on gets even shares, a zero vector and the
+    mark ``score_failed``; the rest goes on.
     """
-    from pyspark.sql import types as T
-
     schema = T.StructType([
         *df.schema.fields,
         T.StructField("probs", T.ArrayType(T.DoubleType())),
         T.StructField("embedding", T.ArrayType(T.FloatType())),
+        T.StructField("score_failed", T.BooleanType()),
     ])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make_model()
         for frame in frames:
-            texts = frame[text].fillna(" ").tolist()
-            probs, vectors = [], []
+            texts = [" " if t is None else t for t in frame.column(frame.schema.get_field_index(text)).to_pylist()]
+            probs, vectors, failed = [], [], []
             for i in range(0, len(texts), batch):
                 part = texts[i : i + batch]
+                bad = False
                 try:
                     logits, emb = model(part)
                     e = np.exp(logits - logits.max(axis=1, keepdims=True))
@@ -43,13 +44,14 @@ def score_batches(df: DataFrame, text: str, make_model: Callable[[], ModelFn], d
                     if p.shape != (len(part), 3) or v.shape != (len(part), dim):
                         raise ValueError("model returned an unexpected shape")
                 except Exception:
-                    p = np.full((len(part), 3), 1 / 3)
-                    v = np.zeros((len(part), dim), dtype=np.float32)
+                    p, v, bad = np.full((len(part), 3), 1 / 3), np.zeros((len(part), dim), dtype=np.float32), True
                 probs.extend(p.tolist())
-                vectors.extend(v)
-            yield frame.assign(probs=probs, embedding=vectors)
+                vectors.extend(v.tolist())
+                failed.extend([bad] * len(part))
+            fresh = [pa.array(probs, pa.list_(pa.float64())), pa.array(vectors, pa.list_(pa.float32())), pa.array(failed, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*frame.columns, *fresh], schema.names)
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def lexicon_model(positive: Sequence[str], negative: Sequence[str], dim: int = 16) -> Callable[[], ModelFn]:
@@ -60,16 +62,21 @@ def lexicon_model(positive: Sequence[str], negative: Sequence[str], dim: int = 1
 
         pos, neg = set(positive), set(negative)
 
+        buckets: dict[str, int] = {}
+
         def score(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            logits, vectors = np.zeros((len(texts), 3)), np.zeros((len(texts), dim))
-            for i, t in enumerate(texts):
-                toks = t.lower().split()
-                n = max(1, len(toks))
-                p, q = sum(w in pos for w in toks), sum(w in neg for w in toks)
-                logits[i] = [10.0 * q / n, 1.0, 10.0 * p / n]
-                for w in toks:
-                    vectors[i, crc32(w.encode()) % dim] += 1.0 / n
-            return logits, vectors
+            toks = [t.lower().split() for t in texts]
+            sizes = np.array([len(t) for t in toks])
+            owner = np.repeat(np.arange(len(texts)), sizes)
+            flat = [w for t in toks for w in t]
+            if len(buckets) > 100_000:
+                buckets.clear()
+            buckets.update((w, crc32(w.encode()) % dim) for w in set(flat) if w not in buckets)
+            n = np.maximum(1, sizes)
+            counts = np.bincount(owner * dim + np.array([buckets[w] for w in flat], np.int64), minlength=len(texts) * dim)
+            share = [np.bincount(owner, [w in words for w in flat], len(texts)) / n for words in (neg, pos)]
+            logits = np.stack([10.0 * share[0], np.ones(len(texts)), 10.0 * share[1]], axis=1)
+            return logits, counts.reshape(len(texts), dim) / n[:, None]
 
         return score
 

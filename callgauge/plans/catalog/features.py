@@ -253,13 +253,18 @@ def embedding_size(t):
     "score_batches",
     r"""
 SELECT doc_id, round(exp(10.0 * n_neg / n) / (exp(10.0 * n_neg / n) + exp(1) + exp(10.0 * n_pos / n)), 6) AS negative,
-       round(exp(10.0 * n_pos / n) / (exp(10.0 * n_neg / n) + exp(1) + exp(10.0 * n_pos / n)), 6) AS positive, CAST(16 AS BIGINT) AS size
-FROM (SELECT doc_id, greatest(len(w), 1) AS n, len(list_filter(w, lambda x: x IN ('that', 'with'))) AS n_pos, len(list_filter(w, lambda x: x IN ('this', 'from'))) AS n_neg
+       round(exp(10.0 * n_pos / n) / (exp(10.0 * n_neg / n) + exp(1) + exp(10.0 * n_pos / n)), 6) AS positive, CAST(16 AS BIGINT) AS size,
+       CASE WHEN len(w) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS mass, FALSE AS score_failed
+FROM (SELECT doc_id, w, greatest(len(w), 1) AS n, len(list_filter(w, lambda x: x IN ('that', 'with'))) AS n_pos, len(list_filter(w, lambda x: x IN ('this', 'from'))) AS n_neg
       FROM (SELECT doc_id, regexp_extract_all(lower(text), '\S+') AS w FROM documents))""",
 )
 def score_batches(t):
     """Every document scored by the default lexicon model in Arrow batches."""
     model = sc.lexicon_model(LEXICON["positive"], LEXICON["negative"])
     out = sc.score_batches(t.documents.select("doc_id", "text"), "text", model, 16)
-    return out.select("doc_id", F.round(F.col("probs")[0], 6).alias("negative"), F.round(F.col("probs")[2], 6).alias("positive"), F.size("embedding").cast("long").alias("size"))
+    mass = F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 3)
+    return out.select(
+        "doc_id", F.round(F.col("probs")[0], 6).alias("negative"), F.round(F.col("probs")[2], 6).alias("positive"),
+        F.size("embedding").cast("long").alias("size"), mass.alias("mass"), "score_failed",
+    )
 

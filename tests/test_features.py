@@ -189,6 +189,7 @@ def test_scoring_goes_on_after_a_bad_batch(spark):
     df = spark.createDataFrame([("ok",), ("bad",)], "t string").coalesce(1)
     got = {r.t: r for r in sc.score_batches(df, "t", make, 4, batch=1).collect()}
     assert got["bad"].probs == pytest.approx([1 / 3] * 3) and got["bad"].embedding == [0.0] * 4
+    assert got["bad"].score_failed and not got["ok"].score_failed
     assert got["ok"].probs[2] == pytest.approx(math.exp(2) / (2 + math.exp(2))) and got["ok"].embedding == [1.0] * 4
 
 
@@ -199,3 +200,19 @@ def test_pooling_and_increments(spark):
     done = spark.createDataFrame([("a", 1)], "k string, s int")
     out = sc.incremental_score(spark.createDataFrame([("a",), ("b",)], "k string"), done, ["k"], lambda d: d.withColumn("s", F.lit(7)))
     assert {r.k: r.s for r in out.collect()} == {"a": 1, "b": 7}
+
+
+def test_nan_and_infinity_are_missing(spark):
+    from callgauge.operators import aggregates as ag
+    from callgauge.operators.quantiles import exact_quantiles
+
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([(1.0, nan), (2.0, nan), (nan, None), (inf, nan), (3.0, -inf)], "a double, b double")
+    assert {r["column"]: (r.missing, r.missing_pct) for r in ag.missing_report(df).collect()} == {"a": (2, 40.0), "b": (5, 100.0)}
+    assert {r["column"]: r.completeness for r in ag.completeness(df).collect()} == {"a": 60.0, "b": 0.0}
+    got = {r["column"]: r for r in ag.describe(df).collect()}
+    assert (got["a"]["count"], got["a"]["mean"], got["a"]["max"], got["a"]["p50"]) == (3, 2.0, 3.0, 2.0) and got["b"]["count"] == 0
+    assert exact_quantiles(df, ["a", "b"], [0.0, 1.0]) == {"a": [1.0, 3.0], "b": [None, None]}
+    row = ag.distribution_stats(df, "a").first()
+    assert (row["mean"], row["positive"], row["max"]) == (2.0, 3, 3.0)
+    assert ag.zscore_outliers(df, ["b"]).count() == 0 and ag.iqr_outliers(df, ["b"]).count() == 0

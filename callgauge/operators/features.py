@@ -11,6 +11,7 @@ from callgauge.functions import fixed
 from callgauge.functions.numeric import clip, finite, numeric_columns, ratio
 from callgauge.operators.ordering import fill_forward
 from callgauge.operators.quantiles import exact_quantiles, medians
+from callgauge.session import materialize
 
 # ---------------------------------------------------------------- statements
 
@@ -28,7 +29,7 @@ def fill_missing(
     df: DataFrame, cols: Sequence[str], by: str = "Ticker", order: str = "Date"
 ) -> DataFrame:
     """Forward fill within the key, then the column's median over all rows, then 0."""
-    filled = fill_forward(df.withColumns({c: finite(F.col(c)) for c in cols}), [by], order, cols)
+    filled = materialize(fill_forward(df.withColumns({c: finite(F.col(c)) for c in cols}), [by], order, cols), "forward-filled")
     middle = medians(filled, cols, 0.0)
     return filled.withColumns({c: F.coalesce(F.col(c), F.lit(float(middle[c]))) for c in cols})
 
@@ -78,10 +79,15 @@ def scaler_parameters(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def normalize_financials(df: DataFrame, by: str = "Ticker", order: str = "Date") -> DataFrame:
-    """Ratios, filling, winsorizing, robust scaling, in this order."""
+    """Ratios, filling, winsorizing, robust scaling, in this order.
+
+    The filled table is written as a stage, so that the quantiles of the later steps do not run the
+    windows of the forward fill again.
+    """
     with_ratios = financial_ratios(df)
     cols = [c for c in numeric_columns(with_ratios) if c not in (by, order)]
-    return robust_scale(winsorize(fill_missing(with_ratios, cols, by, order), cols), cols)
+    filled = materialize(fill_missing(with_ratios, cols, by, order), "filled")
+    return robust_scale(winsorize(filled, cols), cols)
 
 
 # ---------------------------------------------------------------- train / test preparation

@@ -40,6 +40,7 @@ FIT_ROWS = 8_000
 TELLING = 2.5
 STEPS = 200
 RIDGE = 1.0
+PART_ROWS = 500
 #: Toxic labels are few; each counts this many times in the loss, so that 0.5 is where missing one costs as much.
 TOXIC_WEIGHT = 4.0
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -113,35 +114,49 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, step
     y = np.asarray(labels, np.float64)
     if len(y) == 0 or y.min() == y.max():
         return constant(float(y.mean()) if len(y) else 0.0, len(ratio))
-    flat = np.concatenate([np.zeros(0, np.int32), *rows])
-    used = np.flatnonzero(np.bincount(flat, minlength=len(ratio)))
+    used = np.flatnonzero(np.bincount(np.concatenate([np.zeros(0, np.int32), *rows]), minlength=len(ratio)))
     places = np.zeros(len(ratio), np.int32)
     places[used] = np.arange(len(used))
-    flat = places[flat]
-    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
-    value = ratio[used][flat]
+    scale = ratio[used]
+    # a few hundred rows at a time, so that only whole numbers are held for all of them
+    parts = []
+    for low in range(0, len(rows), PART_ROWS):
+        part = rows[low:low + PART_ROWS]
+        parts.append((slice(low, low + len(part)), places[np.concatenate(part)], np.repeat(np.arange(len(part), dtype=np.int32), [len(r) for r in part])))
     cost = np.where(y > 0, toxic_weight, 1.0)
     n, share = len(y), float(np.average(y, weights=cost))
+
+    def margins(v: np.ndarray) -> np.ndarray:
+        scaled, out = v * scale, np.empty(n)
+        for span, flat, owner in parts:
+            out[span] = np.bincount(owner, scaled[flat], span.stop - span.start)
+        return out
+
+    def back(e: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(used))
+        for span, flat, owner in parts:
+            out += np.bincount(flat, e[span][owner], len(used))
+        return out * scale
+
     w, intercept, momentum = np.zeros(len(used)), float(np.log(share / (1 - share))), 1.0
     look, look0 = w, intercept
     # the largest eigenvalue of the features' second moment bounds the step
     v, top = np.random.default_rng(0).normal(size=len(used)), 0.0
     for _ in range(12):
-        v = np.bincount(flat, value * np.bincount(owner, v[flat] * value, n)[owner], len(used))
+        v = back(margins(v))
         top = float(np.linalg.norm(v))
         v = v / (top or 1)
     rate = 1 / (toxic_weight * (top / n + 1) / 4 + ridge / n)
     for _ in range(steps):
-        margin = np.bincount(owner, look[flat] * value, n) + look0
-        error = cost * (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - y)
-        gradient = np.bincount(flat, value * error[owner], len(used)) / n + ridge / n * look
+        error = cost * (1 / (1 + np.exp(-np.clip(margins(look) + look0, -40, 40))) - y)
+        gradient = back(error) / n + ridge / n * look
         w_next, intercept_next = look - rate * gradient, look0 - rate * error.mean()
         following = (1 + np.sqrt(1 + 4 * momentum * momentum)) / 2
         pull = (momentum - 1) / following
         look, look0 = w_next + pull * (w_next - w), intercept_next + pull * (intercept_next - intercept)
         w, intercept, momentum = w_next, intercept_next, following
     weights = np.zeros(len(ratio), np.float32)
-    weights[used] = w * ratio[used]
+    weights[used] = w * scale
     return Weights(weights, intercept)
 
 
@@ -193,8 +208,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, bucke
             found = [ngram_buckets(t or "", buckets) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["__label"], "b": [f[telling[f]].astype(np.int32).tobytes() for f in found]})
 
-    picked = sample.mapInPandas(pick, "doc_id bigint, label double, b binary").toArrow().to_pandas().sort_values(["doc_id", "label"])
-    return fit_rows([np.frombuffer(b, np.int32) for b in picked["b"]], picked["label"].to_numpy(), ratio)
+    picked = sample.mapInPandas(pick, "doc_id bigint, label double, b binary").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    return fit_rows([np.frombuffer(b.as_buffer(), np.int32) for b in picked.column("b")], picked.column("label").to_numpy(), ratio)
 
 
 def score_toxicity(docs: DataFrame, weights: Weights, keep: tuple[str, ...] = ("doc_id",), score: str = "score") -> DataFrame:

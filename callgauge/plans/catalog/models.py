@@ -10,9 +10,13 @@ from callgauge.plans.catalog.alignment import r
 from callgauge.plans.registry import query
 from callgauge.plans.views import LEXICON_FEATURES, TEXT_FEATURES
 
-SETS = {"text": TEXT_FEATURES, "combined": TEXT_FEATURES + LEXICON_FEATURES}
-#: The searches below repeat their fits many times and take fewer rounds; single fits take the library's own number.
-ROUNDS, TREES = 8, 100
+SETS = {"text": TEXT_FEATURES, "lexicon": LEXICON_FEATURES, "combined": TEXT_FEATURES + LEXICON_FEATURES}
+TREES = 100
+#: The members of ablation, vote and stack, with the library's own settings.
+MEMBERS = {
+    "logistic": lambda d, y, x: md.fit_logistic(d, y, x), "forest": lambda d, y, x: md.fit_forest(d, y, x, trees=TREES),
+    "boosted": lambda d, y, x: md.fit_boosted_classifier(d, y, x),
+}
 
 
 def _split(t):
@@ -88,8 +92,7 @@ def positive_class_weights(t):
 @query("feature_set_ablation")
 def feature_set_ablation(t):
     train, test = _split(t)
-    models = {"logistic": lambda d, y, x: md.fit_logistic(d, y, x), "forest": lambda d, y, x: md.fit_forest(d, y, x, TREES)}
-    out = md.feature_set_ablation(train, test, SETS, models)
+    out = md.feature_set_ablation(train, test, SETS, MEMBERS)
     return ev.classification_metrics(out, "score", "label", by=["feature_set", "model"])
 
 
@@ -103,15 +106,14 @@ def leaderboard(t):
 
 @query("time_series_cv")
 def time_series_cv(t):
-    scores = md.time_series_cv(t.stored_scored, "date", ["doc_id"], {"text": TEXT_FEATURES}, {"logistic": lambda d, y, x: md.fit_logistic(d, y, x)}, k=3)
+    scores = md.time_series_cv(t.stored_scored, "date", ["doc_id"], SETS, md.validation_models())
     return ag.fold_summary(scores, ["feature_set", "model"])
 
 
 @query("random_search")
 def random_search(t):
     d, n = _indexed(t)
-    settings = [dict(s, rounds=ROUNDS, depth=min(s["depth"], 4)) for s in md.random_settings(2)]
-    return md.random_search(d, n, TEXT_FEATURES, settings, k=2)
+    return md.random_search(d, n, TEXT_FEATURES, md.random_settings())
 
 
 @query("soft_vote")
@@ -119,7 +121,7 @@ def soft_vote(t):
     train, test, _ = _ready(t)
     parts = [
         md.scored(m, test).select("doc_id", F.col("label_binary").alias("label"), "score")
-        for m in (md.fit_logistic(train, "label_binary"), md.fit_forest(train, "label_binary", trees=TREES))
+        for m in (fit(train, "label_binary", "features") for fit in MEMBERS.values())
     ]
     return md.soft_vote(parts, ["doc_id"])
 
@@ -127,21 +129,20 @@ def soft_vote(t):
 @query("stack_models")
 def stack_models(t):
     train, test, _ = _ready(t)
-    base = {"forest": lambda d, y, x: md.fit_forest(d, y, x, TREES), "logistic": lambda d, y, x: md.fit_logistic(d, y, x)}
-    return md.stack_models(train, test, "features", "label_binary", "doc_id", base, folds=2)
+    return md.stack_models(train, test, "features", "label_binary", "doc_id", MEMBERS)
 
 
 @query("compare_architectures")
 def compare_architectures(t):
     d, n = _indexed(t)
-    return ag.fold_summary(md.compare_architectures(d, n, TEXT_FEATURES, rounds=2, trees=5, k=2, stack_folds=2), ["architecture"])
+    return ag.fold_summary(md.compare_architectures(d, n, TEXT_FEATURES), ["architecture"])
 
 
 @query("validate_new_features")
 def validate_new_features(t):
     d, n = _indexed(t)
     d = d.withColumn("agg_length", F.col("word_count") * F.col("avg_word_length"))
-    return md.validate_new_features(d, n, TEXT_FEATURES, ["agg_length"], rounds=3, k=2)
+    return md.validate_new_features(d, n, TEXT_FEATURES, ["agg_length"])
 
 
 @query("feature_importance")

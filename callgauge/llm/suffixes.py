@@ -90,10 +90,17 @@ def anchored(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, span:
 ENTRY = "fp bigint, stretch binary, doc_id bigint, mark bigint, first int, last int"
 
 
+def place_of(text: F.Column) -> tuple[F.Column, F.Column]:
+    """Id and mark of a text: the mark tells texts of one id apart, and texts without an id (which go by a hash) from those with one."""
+    own = F.xxhash64(text)
+    return F.coalesce("doc_id", own), F.when(F.col("doc_id").isNull(), F.xxhash64(text, F.lit("no id"))).otherwise(own)
+
+
 def texts_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, text): ``mark`` tells texts of one id apart."""
+    """(doc_id, mark, text): places as ``place_of`` gives them."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.xxhash64(text).alias("mark"), text.alias("text"))
+    doc, mark = place_of(text)
+    return docs.select(doc.alias("doc_id"), mark.alias("mark"), text.alias("text"))
 
 
 def entries(texts: DataFrame, length: int = LENGTH, span: int = SPAN) -> DataFrame:
@@ -328,9 +335,11 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = (), **options) -> Da
     """
     stage = Stage(docs.sparkSession)
     spans = repeated_spans(docs.select("doc_id", "text"), stage, **options)
-    marked = docs.select("doc_id", *keep, F.xxhash64(F.coalesce("text", F.lit(""))).alias("__mark"), F.coalesce("text", F.lit("")).alias("__text"))
+    text = F.coalesce("text", F.lit(""))
+    doc, mark = place_of(text)
+    marked = docs.select("doc_id", *keep, doc.alias("__doc"), mark.alias("__mark"), text.alias("__text"))
     spans = spans.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__m"), F.col("spans").alias("__spans"))
-    joined = marked.join(spans, (F.col("doc_id") == F.col("__id")) & (F.col("__mark") == F.col("__m")), "left").select("doc_id", *keep, "__text", "__spans")
+    joined = marked.join(spans, (F.col("__doc") == F.col("__id")) & (F.col("__mark") == F.col("__m")), "left").select("doc_id", *keep, "__text", "__spans")
 
     def cut(batches):
         for batch in batches:

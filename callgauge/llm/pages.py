@@ -45,6 +45,11 @@ OTHER_WORDS = frozenset(
     "share sharing social subscribe subscription newsletter signup login search form footer header masthead pagination pager tags legal copyright "
     "contentinfo complementary disclaimer toolbar".split())
 MAIN_WORDS = frozenset("article content main post entry story body text".split())
+#: Words that make a name a state or a layout (``with-sidebar``, ``comments-open``), and names of parts that hold articles of others.
+STATE_WORDS = frozenset("with without has no not is open opened closed enabled disabled on off".split())
+LIST_WORDS = frozenset("comment comments reply replies discussion disqus related recommended".split())
+#: A part around so many blocks at least, and around all blocks of the page, says nothing of them.
+WRAPPER_BLOCKS = 3
 
 
 @dataclass
@@ -58,11 +63,44 @@ class Block:
     other: int
 
 
-@dataclass
+@dataclass(eq=False)
 class _Open:
+    """A part: whether it is a main one, whether something else, whether its tag says so, and the words that do (none for a form)."""
+
     tag: str
     main: bool
     other: bool
+    firm: bool
+    words: set[str]
+
+
+def names_of(attributes: str) -> set[str]:
+    """Words of class, id and role names; a name that tells a state is none."""
+    names = [n for m in NAMES.finditer(attributes) for n in "".join(filter(None, m.groups())).lower().split()]
+    parts = [set(re.split(r"[^a-z]+", n)) for n in names]
+    return set().union(*(p for p in parts if not p & STATE_WORDS))
+
+
+def enclosed(parts: tuple[_Open, ...], wrappers: set[_Open]) -> tuple[int, int]:
+    """(main, other) of a block within ``parts``, outermost first.
+
+    The innermost part that says something decides: an aside within an article is an aside, and an article
+    within a form or a part that only a name speaks against is an article. Comments and teasers may be
+    articles too: within a main part, or in a list of such, they are something else.
+    """
+    main = other = 0
+    firm, words = False, set()
+    for p in parts:
+        if p.main and main >= 0 and not (p.other and (main or other)):
+            weak = not firm and (p.tag == "main" or p.tag == "article" and not words & LIST_WORDS or words <= {""})
+            if weak or not other:
+                main, other = 1, 0
+                continue
+        if p.other and p not in wrappers:
+            # below zero: something else within a main part, which no article inside it brings back
+            main, other = (-1 if main else 0) if not other else main, 1
+            firm, words = firm or p.firm, words | p.words
+    return max(main, 0), other
 
 
 @dataclass
@@ -71,6 +109,7 @@ class _Reader:
     pieces: list[str] = field(default_factory=list)
     linked: list[str] = field(default_factory=list)
     blocks: list[Block] = field(default_factory=list)
+    within: list[tuple[tuple[_Open, ...], bool]] = field(default_factory=list)
     links: int = 0
     tag: str = ""
     named_other: bool = False
@@ -78,17 +117,10 @@ class _Reader:
     def flush(self) -> None:
         text = " ".join(html.unescape("".join(self.pieces)).split())
         if text:
-            # the innermost part that says something decides: an aside within an article is an aside
-            main = other = 0
-            for p in self.parts:
-                if p.other:
-                    main, other = 0, 1
-                elif p.main and not other:
-                    main = 1
-            other = other or int(self.named_other)
             linked = len(html.unescape(" ".join(self.linked)).split())
             words = len(text.split())
-            self.blocks.append(Block(text, words, min(linked, words), self.tag[:1] == "h" and self.tag[1:].isdigit(), self.tag in ("li", "td", "th", "dt", "dd"), main, other))
+            self.blocks.append(Block(text, words, min(linked, words), self.tag[:1] == "h" and self.tag[1:].isdigit(), self.tag in ("li", "td", "th", "dt", "dd"), 0, 0))
+            self.within.append((tuple(self.parts), self.named_other))
         self.pieces.clear()
         self.linked.clear()
 
@@ -107,17 +139,30 @@ class _Reader:
             return
         self.flush()
         self.links = 0
-        words = set() if closing or not attributes else {w for m in NAMES.finditer(attributes) for w in re.split(r"[^a-z]+", "".join(filter(None, m.groups())).lower())}
+        words = set() if closing or not attributes or tag in ("html", "body") else names_of(attributes)
         other = bool(words & OTHER_WORDS)
-        self.tag, self.named_other = ("", False) if closing else (tag, other)
+        self.tag, self.named_other = ("", False) if closing else (tag, other and tag not in PARTS)
         if tag not in PARTS:
             return
         if not closing:
-            self.parts.append(_Open(tag, tag in MAIN_TAGS or (bool(words & MAIN_WORDS) and not other), tag in OTHER_TAGS or other))
+            firm = tag in OTHER_TAGS and tag != "form"
+            said = words & OTHER_WORDS | ({""} if tag == "form" else set())
+            self.parts.append(_Open(tag, tag in MAIN_TAGS or (bool(words & MAIN_WORDS) and not other), tag in OTHER_TAGS or other, firm, said))
         elif any(p.tag == tag for p in self.parts):
             while self.parts.pop().tag != tag:
                 pass
 
+    def place(self) -> list[Block]:
+        """The blocks, each with what encloses it."""
+        wrappers: set[_Open] = set()
+        if len(self.blocks) >= WRAPPER_BLOCKS:
+            wrappers = {p for p in set(self.within[0][0]).intersection(*(parts for parts, _ in self.within)) if p.other and not p.firm}
+        for block, (parts, named) in zip(self.blocks, self.within):
+            block.main, block.other = enclosed(parts, wrappers)
+            if named:
+                block.other = 1
+        return self.blocks
+
 
 def blocks_of(page: str | None) -> list[Block]:
     """Text blocks of a page, in order."""
@@ -131,7 +176,7 @@ def blocks_of(page: str | None) -> list[Block]:
             reader.text(" ")
     reader.text(page[at:])
     reader.flush()
-    return reader.blocks
+    return reader.place()
 
 
 def features(blocks: list[Block]) -> np.ndarray:
@@ -198,6 +243,8 @@ LABELLED = (
     """<main><h1>§Title</h1><p>§Words.</p></main>""",
     f"""<article><p>§{_LONG}</p><p>§Yes.</p></article>""",
     f"""<h1>§A page without parts</h1><p>§{_LONG}</p><p>§{_LONG * 2}</p><p>§{_LONG}</p><p>§And a last one that is long enough to be read as a part of the text.</p>""",
+    f"""<div class="layout with-sidebar"><nav><a href="/">Home</a></nav><main><article class="post comments-open"><h1>§A title</h1><p>§{_LONG}</p><p>§Yes.</p></article></main>
+    <div class="sidebar"><p>{_LONG}</p></div></div>""",
 )
 
 

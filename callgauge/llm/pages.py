@@ -11,7 +11,7 @@ Scripts, styles, comments, titles and the like are no blocks. Character referenc
 white space becomes single spaces; blocks are joined by an empty line.
 
 Defined cases: null or empty html gives an empty text; broken markup is read as far as it goes, an
-unclosed script or comment hides the rest; repeated rows are rows of their own; an empty table gives
+unclosed script, style, textarea, title, iframe or comment hides the rest, other unclosed elements hide nothing; repeated rows are rows of their own; an empty table gives
 an empty result. Pages of any length are read whole.
 """
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,13 +30,15 @@ from pyspark.sql import DataFrame
 from callgauge.llm.registry import query, table
 
 TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*)|<(script|style|noscript|template|textarea|select|svg|iframe|object|title|button)\b(?:.*?</\1\s*>|.*)"
+    r"<!--(?:.*?-->|.*)|<(script|style|textarea|iframe|title)(?=[\s/>])(?:.*?</\1\s*>|.*)"
     r"|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|</?[a-zA-Z][^>]*>", re.S | re.I)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: Tags that end a text block, tags that enclose parts, and words in class, id and role names.
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head "
     "header hgroup hr html li link main menu meta nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+#: Elements whose content is no text of the page, as far as they are closed; these may hold others of their kind.
+HIDDEN = frozenset("noscript template select svg object button".split())
 PARTS = frozenset("article main section div nav header footer aside form ul ol dl table fieldset details dialog figure blockquote menu address".split())
 MAIN_TAGS = frozenset(["article", "main"])
 OTHER_TAGS = frozenset("nav header footer aside form menu dialog fieldset".split())
@@ -164,13 +167,48 @@ class _Reader:
         return self.blocks
 
 
+def hidden_spans(tokens: list[re.Match]) -> dict[int, int]:
+    """Place of the end tag of each hidden element, by the place of its start tag.
+
+    An element whose block ends first, or that has no end tag, is not closed and hides nothing.
+    """
+    stack: list[tuple[str, int]] = []
+    open_tags: Counter = Counter()
+    spans = {}
+    for i, m in enumerate(tokens):
+        tag = (m[3] or "").lower()
+        if tag not in HIDDEN and tag not in PARTS:
+            continue
+        if m[2] != "/":
+            if not (tag == "svg" and m[4].endswith("/")):
+                stack.append((tag, i))
+                open_tags[tag] += 1
+        elif open_tags[tag]:
+            while True:
+                last, start = stack.pop()
+                open_tags[last] -= 1
+                if last == tag:
+                    break
+            if tag in HIDDEN:
+                spans[start] = i
+    return spans
+
+
 def blocks_of(page: str | None) -> list[Block]:
     """Text blocks of a page, in order."""
     page, reader, at = page or "", _Reader(), 0
-    for m in TOKEN.finditer(page):
+    tokens = list(TOKEN.finditer(page))
+    spans, until = hidden_spans(tokens), -1
+    for i, m in enumerate(tokens):
+        if i <= until:
+            at = m.end()
+            continue
         reader.text(page[at:m.start()])
         at = m.end()
-        if m[3]:
+        if i in spans:
+            until = spans[i]
+            reader.text(" ")
+        elif m[3]:
             reader.element(m[2] == "/", m[3].lower(), m[4])
         elif m[1]:
             reader.text(" ")

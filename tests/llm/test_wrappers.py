@@ -32,3 +32,12 @@ def test_other_parts_stay_out(tree):
     page = f"""<div class="with-sidebar"><nav><a href="/">Home</a></nav><main>{ARTICLE}<aside><article><p>{LONG}</p></article></aside>
     <section class="comments"><article class="comment"><p>{LONG}</p></article><article><p>{LONG}</p></article></section></main><div class="sidebar"><p>{LONG}</p></div></div>"""
     assert pages.main_text(page, tree) == WANT
+
+
+@pytest.mark.parametrize("piece", [
+    "<svg class='i'/>", "<svg/>", "<button>", "<object data='x'>", "<select>", "<noscript>", "<template>", "<button-group></button-group>", "<template-x>", "<title-bar></title-bar>",
+    "<svg><svg></svg><text>drawn</text></svg>", "<button>Press <b>me</b></button>", "<object><object>a</object>b</object>", "<noscript><p>No script</p></noscript>",
+])
+def test_hidden_elements_hide_no_more_than_themselves(tree, piece):
+    page = f"<article><h1>Title</h1><p>{LONG}{piece}{LONG}</p><p>Short.</p><p>{LONG}</p></article><footer><button>Up</button><svg></svg></footer>"
+    assert pages.main_text(page, tree) == f"Title\n\n{LONG}{LONG.strip()}\n\nShort.\n\n{LONG.strip()}"

@@ -45,7 +45,7 @@ BUDGET = 2
 #: Hashes of a text held at once.
 SLICE = 1 << 15
 #: Fingerprints of a side that a task walks.
-CELL = 1 << 15
+CELL = 1 << 13
 #: Bits that cells beyond that are split by in one round.
 STRIDE = 4
 #: Pairs of nodes a task holds at once, and pairs of fingerprints under a pair of nodes that are compared outright.

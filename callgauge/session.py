@@ -6,6 +6,8 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,25 +33,44 @@ def get_spark(app: str = "callgauge", master: str | None = None, **conf: str) ->
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor sees: ``spark.checkpoint.dir`` of the session.
 
-    A session without executors of its own (a ``local`` master: tests, one machine) may leave it
-    unset and gets a folder of its own; on a cluster a missing setting is an error, as files in
-    a machine-local folder would be lost to the other executors.
+    On a cluster a missing setting is an error: files in a machine-local folder would be lost to the other
+    executors. Only a session without executors of its own (a ``local`` master, as in tests) may leave it
+    unset; it then keeps its stage tables in one folder of its own.
     """
+    context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        master = spark.sparkContext.master
-        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
-            raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
-        folder = tempfile.mkdtemp(prefix="callgauge-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {context.master} share")
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="callgauge-"))
+        return context.getCheckpointDir()
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return folder
 
 
+#: Paths handed out inside each open ``stage_tables``, the innermost last.
+_scopes: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, never used before."""
-    return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    path = os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def stage_tables(spark: SparkSession) -> Iterator[None]:
+    """Stage tables written inside are removed at the end; what is to be kept must have been written elsewhere by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            discard(spark, path)
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -1,16 +1,21 @@
-"""Where stage tables go."""
+"""Where stage tables go, and that they can be removed."""
 
+import os
+import subprocess
+import sys
 from types import SimpleNamespace
 
 import pytest
 
-from callgauge.session import shared_folder
+from callgauge.session import materialize, shared_folder, stage_tables
+
+REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def session(master, folder=None):
     conf = {"spark.checkpoint.dir": folder} if folder else {}
     return SimpleNamespace(
-        conf=SimpleNamespace(get=conf.get, set=conf.__setitem__),
+        conf=SimpleNamespace(get=conf.get),
         sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda _: None),
     )
 
@@ -23,5 +28,27 @@ def test_a_cluster_must_name_its_folder(master):
 
 
 def test_one_machine_may_leave_it_unset():
-    alone = session("local[4]")
-    assert shared_folder(alone) == shared_folder(alone)
+    # a session of its own, since the one of the tests has the setting
+    code = """
+from callgauge.session import get_spark, materialize, shared_folder
+spark = get_spark(master="local[1]", **{"spark.ui.enabled": "false"})
+assert spark.conf.get("spark.checkpoint.dir", None) is None
+assert shared_folder(spark) == shared_folder(spark)
+assert materialize(spark.range(5)).count() == 5
+"""
+    subprocess.run([sys.executable, "-c", code], cwd=REPO, check=True, timeout=120)
+
+
+def files(df):
+    return [f.removeprefix("file:").replace("///", "/") for f in df.inputFiles()]
+
+
+def test_stage_tables_are_removed(spark):
+    with stage_tables(spark):
+        outer = materialize(spark.range(3))
+        with stage_tables(spark):
+            within = files(materialize(outer))
+            assert all(map(os.path.exists, within))
+        paths = files(outer)
+        assert all(map(os.path.exists, paths)) and not any(map(os.path.exists, within))
+    assert not any(map(os.path.exists, paths))

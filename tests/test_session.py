@@ -27,8 +27,8 @@ def test_a_cluster_must_name_its_folder(master):
     assert shared_folder(session(master, "file:///shared")) == "file:///shared"
 
 
-def test_one_machine_may_leave_it_unset():
-    # a session of its own, since the one of the tests has the setting
+def test_one_machine_may_leave_it_unset(tmp_path):
+    # a session of its own without any defaults, since the one of the tests has the setting
     code = """
 from callgauge.session import get_spark, materialize, shared_folder
 spark = get_spark(master="local[1]", **{"spark.ui.enabled": "false"})
@@ -36,7 +36,7 @@ assert spark.conf.get("spark.checkpoint.dir", None) is None
 assert shared_folder(spark) == shared_folder(spark)
 assert materialize(spark.range(5)).count() == 5
 """
-    subprocess.run([sys.executable, "-c", code], cwd=REPO, check=True, timeout=120)
+    subprocess.run([sys.executable, "-c", code], cwd=REPO, check=True, timeout=120, env={**os.environ, "SPARK_CONF_DIR": str(tmp_path)})
 
 
 def files(df):

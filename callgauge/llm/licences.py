@@ -145,7 +145,8 @@ def fit_licences(spark: SparkSession) -> tuple[CountVectorizerModel, LogisticReg
     A model learnt without one third of the paragraphs scores that third; the threshold is where those without
     a licence among them fall below, but at least one half.
     """
-    wordy = worded(labelled(spark)).withColumn("__grams", grams(F.col("__words"), (1, 2, 3)))
+    # a few hundred rows: in one partition a step of the fit is one task
+    wordy = worded(labelled(spark).coalesce(1)).withColumn("__grams", grams(F.col("__words"), (1, 2, 3))).persist()
     vocabulary = CountVectorizer(inputCol="__grams", outputCol="__features", binary=True, vocabSize=1 << 20).fit(wordy)
     rows = featured(wordy, vocabulary).persist()
     learner = LogisticRegression(featuresCol="__features", labelCol="label", maxIter=60, regParam=0.002, elasticNetParam=0.2, standardization=False)
@@ -154,6 +155,7 @@ def fit_licences(spark: SparkSession) -> tuple[CountVectorizerModel, LogisticReg
     highest = held.filter(F.col("family") == UNKNOWN).agg(F.max(top).alias("p")).first()["p"]
     model = learner.fit(rows)
     rows.unpersist()
+    wordy.unpersist()
     return vocabulary, model, min(max(0.5, (highest or 0.0) + 0.01), 0.9)
 
 
@@ -192,30 +194,39 @@ def paragraphs(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     flags = F.concat(F.array(F.lit(False)), F.transform("__lines", lambda t: t.rlike(r"[\p{L}\p{N}]")), F.array(F.lit(False)))
     lines = lines.withColumn("__flags", flags)
     edge = lambda step: F.filter(F.sequence(F.lit(1), F.size("__lines")), lambda i: F.get("__flags", i) & ~F.get("__flags", i + step))
-    runs = lines.withColumn("__runs", F.arrays_zip(edge(-1).alias("a"), edge(1).alias("b")))
-    run = runs.select(*keep, "__row", "__lines", F.explode("__runs").alias("r"))
-    own = F.slice("__lines", F.col("r.a"), F.col("r.b") - F.col("r.a") + 1)
+    # a run travels with its own lines only
+    runs = F.transform(F.arrays_zip(edge(-1).alias("a"), edge(1).alias("b")), lambda r: F.struct(r["a"].alias("a"), F.slice("__lines", r["a"], r["b"] - r["a"] + 1).alias("own")))
+    run = lines.select(*keep, "__row", F.explode(runs).alias("r"))
+    own = F.col("r.own")
     parts = F.transform(own, lambda t, i: F.struct((F.col("r.a") - 1 + i).alias("no"), F.lit(False).alias("whole"), t.alias("paragraph")))
     whole = F.array(F.struct((F.col("r.a") - 1).alias("no"), F.lit(True).alias("whole"), F.array_join(own, " ").alias("paragraph")))
-    parts = F.when(F.col("r.b") > F.col("r.a"), F.concat(parts, whole)).otherwise(parts)
+    parts = F.when(F.size(own) > 1, F.concat(parts, whole)).otherwise(parts)
     out = run.select(*keep, "__row", F.col("r.a").alias("__run"), F.explode(parts).alias("u"))
     return out.select(*keep, "__row", "__run", F.col("u.no").alias("paragraph_no"), F.col("u.whole").alias("__whole"), F.col("u.paragraph").alias("paragraph"))
 
 
+def held(df: DataFrame) -> DataFrame:
+    """``df`` with a column ``__held`` that depends on the row's place: a filter that reads it stays above all that is computed so far.
+
+    Pushed below, a filter would take the columns' expressions with it and find a paragraph's words anew for every gram.
+    """
+    return df.withColumn("__held", F.monotonically_increasing_id())
+
+
 def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(keep..., paragraph_no, family, probability, similarity, confirmed) for every paragraph that states a licence."""
     spark = docs.sparkSession
     vocabulary, model, threshold = fit_licences(spark)
     telling = telling_words(vocabulary.vocabulary, model.coefficientMatrix.toArray(), model.interceptVector.toArray(), threshold)
-    asked = worded(paragraphs(docs, keep)).drop("paragraph")
+    asked = held(worded(paragraphs(docs, keep)).drop("paragraph"))
     if telling is not None:
-        asked = asked.filter(F.arrays_overlap("__words", F.array(*map(F.lit, telling))))
+        asked = asked.filter((F.col("__held") >= 0) & F.arrays_overlap("__words", F.array(*map(F.lit, telling))))
     p = vector_to_array("probability")
     best = F.array_max(F.slice(p, 2, len(families())))
     names = F.array(*map(F.lit, families()))
     place = (*keep, "__row", "__run", "paragraph_no", "__whole")
     judged = model.transform(featured(asked, vocabulary)).select(*place, "__words", best.alias("__p"), F.element_at(names, F.array_position(p, best).cast("int")).alias("family"))
-    stated = judged.filter(F.col("__p") >= threshold)
+    stated = held(judged).filter((F.col("__held") >= 0) & (F.col("__p") >= threshold)).drop("__held")
     pairs = spark.createDataFrame([(f, t) for f, texts in TEMPLATES.items() for t in texts], "family string, text string").select(
         "family", F.array_distinct(grams(words("text"), (2,))).alias("pairs")).groupBy("family").agg(F.collect_list("pairs").alias("__templates"))
     own = F.array_distinct(grams(F.col("__words"), (2,)))

@@ -129,42 +129,39 @@ def posterior(prior: float, right: Mapping[str, tuple[float, float]]) -> Column:
 def fit_votes(voted: DataFrame, rules: Mapping[str, tuple[str, str]] = RULES, iterations: int = ITERATIONS) -> tuple[float, dict[str, tuple[float, float]]]:
     """Share of good texts and accuracies of each rule, by expectation-maximisation.
 
-    Each step is one aggregate over the counted vote patterns; one row comes back.
+    All documents are counted by their votes in one aggregate. There are at most 3 to the power of the number
+    of rules such patterns, whatever the corpus; the steps run over those counts.
     """
-    names = [f"vote_{r}" for r in rules]
-    patterns = materialize(voted.groupBy(*names).count(), "vote-patterns")
+    names = list(rules)
+    patterns = [tuple(row) for row in voted.groupBy(*(f"vote_{r}" for r in names)).count().collect()]
     prior, right = START[0], {r: START[1:] for r in rules}
+    total = sum(row[-1] for row in patterns)
 
     def within(x: float, limits: tuple[float, float]) -> float:
         return min(max(x, limits[0]), limits[1])
 
-    for _ in range(iterations):
-        good = F.col("count") * F.col("p")
-        bad = F.col("count") * (1 - F.col("p"))
-        sums = [F.sum(good).alias("good"), F.sum("count").alias("all")]
-        for r in rules:
-            v = F.col(f"vote_{r}")
-            sums += [F.sum(F.when(v == 1, good)).alias(f"{r}_gg"), F.sum(F.when(v != 0, good)).alias(f"{r}_g"),
-                     F.sum(F.when(v == -1, bad)).alias(f"{r}_bb"), F.sum(F.when(v != 0, bad)).alias(f"{r}_b")]
-        s = patterns.withColumn("p", posterior(prior, right)).agg(*sums).first()
-        if not s["all"]:
-            break
-        prior = min(max(s["good"] / s["all"], 0.01), 0.99)
-        right = {r: (within(((s[f"{r}_gg"] or 0) + 1) / ((s[f"{r}_g"] or 0) + 2), LIMITS[0]), within(((s[f"{r}_bb"] or 0) + 1) / ((s[f"{r}_b"] or 0) + 2), LIMITS[1])) for r in rules}
+    for _ in range(iterations if total else 0):
+        gains = [{1: math.log(g / (1 - b)), -1: math.log((1 - g) / b), 0: 0.0} for g, b in (right[r] for r in names)]
+        start = math.log(prior / (1 - prior))
+        weights = [(row, row[-1] / (1 + math.exp(-start - sum(gain[v] for gain, v in zip(gains, row))))) for row in patterns]
+        prior = within(math.fsum(good for _, good in weights) / total, (0.01, 0.99))
+        for i, r in enumerate(names):
+            cast = [(row[i], good, row[-1] - good) for row, good in weights if row[i]]
+            said_good, good_all = (math.fsum(g for v, g, _ in cast if v in kinds) for kinds in ((1,), (1, -1)))
+            said_bad, bad_all = (math.fsum(b for v, _, b in cast if v in kinds) for kinds in ((-1,), (1, -1)))
+            right[r] = within((said_good + 1) / (good_all + 2), LIMITS[0]), within((said_bad + 1) / (bad_all + 2), LIMITS[1])
     return prior, right
 
 
 def filter_quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Rows of ``docs`` whose ``text`` passes, all columns as they are.
 
-    The texts are counted once for the fit and once for the verdict: that keeps no second copy of them.
+    The texts are counted once: rows and votes are written, and read for the fit and for the verdict.
     """
-    rows = docs.select(F.struct("*").alias("__row"), "text")
-    prior, right = fit_votes(text_counts(rows, "text", ()).select(*votes()))
-    # a column that depends on the row's place keeps the filter above the counts: pushed below, it would count the
-    # text anew for every mention of a count
-    counted = text_counts(rows, "text", ("__row",)).select("__row", base_failed().alias("base_failed"), *votes(), F.monotonically_increasing_id().alias("__place"))
-    return counted.filter(~F.col("base_failed") & (posterior(prior, right) >= threshold) & (F.col("__place") >= 0)).select("__row.*")
+    counted = text_counts(docs.select(F.struct("*").alias("__row"), "text"), "text", ("__row",))
+    voted = materialize(counted.select("__row", base_failed().alias("base_failed"), *votes()), "votes")
+    prior, right = fit_votes(voted)
+    return voted.filter(~F.col("base_failed") & (posterior(prior, right) >= threshold)).select("__row.*")
 
 
 def judge_quality(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.5) -> DataFrame:

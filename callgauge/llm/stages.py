@@ -14,8 +14,8 @@ class Stage:
         self.spark = spark
         self.paths: list[tuple[DataFrame, str]] = []
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = new_path(self.spark, name)
+    def write(self, df: DataFrame, name: str = "stage", path: str | None = None) -> DataFrame:
+        path = path or new_path(self.spark, name)
         df.write.parquet(path)
         # nothing holds the shuffle files behind this table any more: let Spark's cleaner see that now, as a
         # driver with little garbage of its own would keep them on the executors' disks until the query ends

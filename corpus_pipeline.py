@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from callgauge.llm import jaccard, packing, quality, suffixes, toxicity
 from callgauge.llm.registry import table
 from callgauge.llm.stages import Stage
+from callgauge.session import new_path, stage_tables
+
+#: Bytes of a passage that is removed: 50 words of four letters with their blanks are 250, less some for the words cut at
+#: its edges. An anchor is looked for among the first ``PASSAGE_SPAN`` places; the rest of the string is the prefix to sort by.
+PASSAGE_BYTES = 240
+PASSAGE_SPAN = 160
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +31,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that occur elsewhere too."""
-    return suffixes.without_repeats(docs)
+    """Documents without the passages of about 50 words or more that occur elsewhere too."""
+    return suffixes.without_repeats(docs, length=PASSAGE_BYTES, span=PASSAGE_SPAN)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +57,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     stage = Stage(spark)
     docs = table(spark, sf_dir, "documents")
     for name, work in STAGES:
-        done = stage.write(work(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = new_path(spark, name.replace(" ", "-"))
+        with stage_tables(spark):
+            done = stage.write(work(spark, docs, sf_dir), path=path)
         stage.drop(docs)
         docs = done
     return docs

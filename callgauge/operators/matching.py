@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from callgauge.operators.ordering import asof, even_range
 
@@ -57,32 +60,52 @@ def pair_effect(pairs: DataFrame, value: str, by: Sequence[str] = ()) -> DataFra
     return out.withColumn("p_value", p).withColumn("significant", F.col("p_value") < 0.05)
 
 
-def _poisson_one(u: Column) -> Column:
-    """Poisson(1) count from a uniform number, by inverting the distribution."""
-    import math
+#: A prime below 2**31 and multipliers, so that draws are formed in 64-bit numbers by any engine.
+PRIME = 2_147_483_647
+STEPS = (48_271, 69_621, 16_807, 40_692)
 
-    total, steps = 0.0, []
-    for k in range(9):
-        total += math.exp(-1.0) / math.factorial(k)
-        steps.append(total)
-    out = F.lit(9)
-    for k in range(8, -1, -1):
-        out = F.when(u < F.lit(steps[k]), k).otherwise(out)
-    return out
+
+def poisson_cuts() -> list[int]:
+    """Draws from which on a Poisson(1) count is at least 1, 2, ..."""
+    shares = [math.exp(-1.0) / math.factorial(k) for k in range(10)]
+    return [int(PRIME * sum(shares[: k + 1])) for k in range(10)]
+
+
+def poisson_weights(keys: np.ndarray, replicates: int, seed: int) -> np.ndarray:
+    """Poisson(1) count of each key (row) in each replicate (column), from the key alone."""
+    a, b, c, d = STEPS
+    first = (keys[:, None] % PRIME * a + np.arange(1, replicates + 1) * b + seed) % PRIME
+    second = first * first % PRIME
+    third = (second * c + first * d) % PRIME
+    return np.searchsorted(poisson_cuts(), (third * third + second) % PRIME, "right")
+
+
+def replicate_sums(rows: DataFrame, replicates: int, seed: int, held: int = 4096) -> DataFrame:
+    """(replicate, weight, total) over ``rows`` (k, d): a task adds up all replicates of its rows in two arrays."""
+
+    def work(batches):
+        weight, total = np.zeros(replicates), np.zeros(replicates)
+        for batch in batches:
+            k, d = batch.column("k").to_numpy(), batch.column("d").to_numpy()
+            for low in range(0, len(k), held):
+                w = poisson_weights(k[low:low + held], replicates, seed)
+                weight += w.sum(axis=0)
+                total += d[low:low + held] @ w
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, replicates + 1, dtype=np.int32)), pa.array(weight), pa.array(total)], ["replicate", "weight", "total"])
+
+    return rows.mapInArrow(work, "replicate int, weight double, total double")
 
 
 def bootstrap_interval(pairs: DataFrame, value: str, key: str, replicates: int = 200, seed: int = 42, level: float = 0.95) -> DataFrame:
     """Bootstrap interval of the mean difference.
 
-    Each pair draws a Poisson weight per replicate from a hash of its key, so a rerun of a
-    task gives the same weights; sums combine on the map side to one row per replicate.
+    Each pair draws a Poisson weight per replicate from its key, so a rerun of a task gives the same weights.
+    The pairs are read once and stay where they are: a task keeps the sums of all replicates, and one row per
+    task and replicate is shuffled. Pairs without a difference take no part.
     """
-    d = F.col(value) - F.col("control_value")
-    reps = pairs.select(F.col(key), d.alias("__d"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    uniform = F.pmod(F.xxhash64(F.col(key), F.col("replicate"), F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
-    sums = reps.withColumn("__w", _poisson_one(uniform)).groupBy("replicate").agg(
-        F.try_divide(F.sum(F.col("__w") * F.col("__d")), F.sum("__w")).alias("effect")
-    )
+    number = F.col(key).cast("long") if isinstance(pairs.schema[key].dataType, T.IntegralType) else F.xxhash64(key)
+    rows = pairs.select(F.coalesce(number, F.lit(0)).alias("k"), (F.col(value) - F.col("control_value")).cast("double").alias("d")).filter("d IS NOT NULL")
+    sums = replicate_sums(rows, replicates, seed).groupBy("replicate").agg(F.try_divide(F.sum("total"), F.sum("weight")).alias("effect"))
     tail = (1 - level) / 2
     return sums.agg(
         F.percentile("effect", F.lit(tail)).alias("ci_lower"), F.percentile("effect", F.lit(1 - tail)).alias("ci_upper"),
@@ -91,6 +114,6 @@ def bootstrap_interval(pairs: DataFrame, value: str, key: str, replicates: int =
 
 
 def treatment_effect(pairs: DataFrame, value: str, key: str, replicates: int = 200, seed: int = 42) -> DataFrame:
-    one = lambda d: d.withColumn("__one", F.lit(1))
-    out = one(pair_effect(pairs, value)).join(one(bootstrap_interval(pairs, value, key, replicates, seed)), "__one").drop("__one")
+    # two tables of one row each
+    out = pair_effect(pairs, value).join(bootstrap_interval(pairs, value, key, replicates, seed))
     return out.withColumn("direction", F.when(F.col("effect") > 0, "POSITIVE").otherwise("NEGATIVE"))

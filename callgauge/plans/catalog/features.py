@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from callgauge.operators import features as ft, scoring as sc
+from callgauge.operators import features as ft, information as inf, scoring as sc
 from callgauge.plans.catalog.alignment import day, r
 from callgauge.plans.registry import query
 from callgauge.plans.views import LEXICON
@@ -112,14 +112,15 @@ def normalize_financials(t):
 WITH tr AS (SELECT *, CASE WHEN (ticker + quarter(date)) % 5 <> 0 THEN Total_Revenue END AS x FROM v_financials WHERE date < DATE '1999-01-01'),
 te AS (SELECT *, CASE WHEN (ticker + quarter(date)) % 5 <> 0 THEN Total_Revenue END AS x FROM v_financials WHERE date >= DATE '1999-01-01'),
 m AS (SELECT median(x) AS m FROM tr), s AS (SELECT avg(least(coalesce(x, m), 1e6)) AS a, stddev_pop(least(coalesce(x, m), 1e6)) AS d FROM tr, m)
-SELECT ticker, strftime(date, '%Y-%m-%d') AS date, round((least(coalesce(x, m), 1e6) - a) / d, 6) AS x FROM te, m, s""",
+SELECT side, ticker, strftime(date, '%Y-%m-%d') AS date, round((least(coalesce(x, m), 1e6) - a) / d, 6) AS x
+FROM (SELECT 'train' AS side, * FROM tr UNION ALL SELECT 'test', * FROM te), m, s""",
 )
 def impute_and_scale(t):
-    """Training medians, means and spreads applied to the later rows."""
+    """Training medians, means and spreads applied to the training rows and to the later ones."""
     d = t.financials.withColumn("x", F.when((F.col("ticker") + F.quarter("date")) % 5 != 0, F.col("Total_Revenue")).otherwise(F.lit(float("inf"))))
-    train, test = ft.impute_train_median(d.filter("date < '1999-01-01'"), d.filter("date >= '1999-01-01'"), ["x"])
-    _, test = ft.standard_scale(train, test, ["x"])
-    return test.select("ticker", day("date"), r("x"))
+    sides = ft.impute_train_median(d.filter("date < '1999-01-01'"), d.filter("date >= '1999-01-01'"), ["x"])
+    train, test = (side.withColumn("side", F.lit(name)) for side, name in zip(ft.standard_scale(*sides, ["x"]), ("train", "test")))
+    return train.unionByName(test).select("side", "ticker", day("date"), r("x"))
 
 
 @query(
@@ -177,6 +178,38 @@ def mutual_information(t):
     return ft.mutual_information(t.stored_scored, _MI_COLS, "label_binary").select("feature", r("score"))
 
 
+_PSI = "[" + ", ".join(map(repr, inf.digamma_table())) + "]"
+
+
+def _psi(n: str) -> str:
+    """Digamma in SQL, as the operator forms it."""
+    series = f"ln({n}) - 1 / (2.0 * {n}) - 1 / (12.0 * pow({n}, 2)) + 1 / (120.0 * pow({n}, 4)) - 1 / (252.0 * pow({n}, 6))"
+    return f"CASE WHEN {n} <= {inf.SUMMED} THEN {_PSI}[{n}] ELSE {series} END"
+
+
+_NEAR_COLS = [*_MI_COLS, "lm_uncertainty"]
+
+
+@query(
+    "neighbour_information",
+    f"""
+WITH wide AS (SELECT row_number() OVER (ORDER BY doc_id) AS i, label_binary AS y, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _NEAR_COLS)} FROM v_scored WHERE label_binary IS NOT NULL),
+k AS (SELECT least(5, greatest(1, count(*) // 5)) AS k FROM v_scored),
+points AS ({" UNION ALL ".join(f"SELECT i, y, '{c}' AS feature, {c} AS x FROM wide WHERE {c} IS NOT NULL" for c in _NEAR_COLS)}),
+sized AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY feature, y) AS n_class FROM points) WHERE n_class > 1),
+reach AS (SELECT feature, i, d, kk FROM (
+  SELECT a.feature, a.i, abs(b.x - a.x) AS d, least(k.k, a.n_class - 1) AS kk, row_number() OVER (PARTITION BY a.feature, a.i ORDER BY abs(b.x - a.x)) AS place
+  FROM sized a JOIN sized b ON a.feature = b.feature AND a.y = b.y AND a.i <> b.i, k) WHERE place = kk),
+inside AS (SELECT a.feature, a.i, a.n_class, r.kk, count(*) AS m FROM sized a JOIN reach r ON a.feature = r.feature AND a.i = r.i
+  JOIN sized b ON a.feature = b.feature AND (abs(b.x - a.x) < r.d OR b.x = a.x) GROUP BY ALL),
+totals AS (SELECT feature, count(*) AS n, avg({_psi('kk')}) AS k, avg({_psi('n_class')}) AS c, avg({_psi('m')}) AS m FROM inside GROUP BY feature)
+SELECT feature, round(greatest({_psi('n')} + k - c - m, 0), 6) AS score FROM totals""",
+)
+def neighbour_information(t):
+    """Mutual information of text figures with the label, by nearest neighbours."""
+    return inf.neighbour_information(t.stored_scored, _NEAR_COLS, "label_binary").select("feature", r("score"))
+
+
 @query("select_features", f"SELECT feature, rank FROM (SELECT feature, row_number() OVER (ORDER BY score DESC, feature) AS rank, score FROM ({_MI_SQL})) WHERE score > 0.02 OR (SELECT max(score) FROM ({_MI_SQL})) <= 0.02")
 def select_features(t):
     scores = ft.mutual_information(t.stored_scored, _MI_COLS, "label_binary").persist()

@@ -306,6 +306,25 @@ def pair_effect_by_group(t):
     return out.select("source", r("effect"), "pairs")
 
 
+def _weight(draw: str) -> str:
+    return " + ".join(f"CASE WHEN {draw} >= {cut} THEN 1 ELSE 0 END" for cut in mt.poisson_cuts())
+
+
+@query(
+    "effect_interval",
+    f"""WITH {_PAIRS.strip()},
+first AS (SELECT rep, v - cv AS d, ((doc_id % {mt.PRIME} + {mt.PRIME}) % {mt.PRIME} * {mt.STEPS[0]} + rep * {mt.STEPS[1]} + 42) % {mt.PRIME} AS a FROM pairs, range(1, 201) r(rep)),
+second AS (SELECT *, a * a % {mt.PRIME} AS b FROM first),
+third AS (SELECT *, (b * {mt.STEPS[2]} + a * {mt.STEPS[3]}) % {mt.PRIME} AS c FROM second),
+weighed AS (SELECT rep, d, {_weight(f"(c * c + b) % {mt.PRIME}")} AS w FROM third),
+effects AS (SELECT rep, sum(w * d) / nullif(sum(w), 0) AS effect FROM weighed WHERE d IS NOT NULL GROUP BY rep)
+SELECT round(quantile_cont(effect, 0.025), 6) AS ci_lower, round(quantile_cont(effect, 0.975), 6) AS ci_upper, count(effect) AS replicates FROM effects""",
+)
+def effect_interval(t):
+    """Bootstrap interval of the difference between toxic documents and their matches."""
+    return mt.bootstrap_interval(_pairs(t), "quality", "doc_id").select(r("ci_lower"), r("ci_upper"), "replicates")
+
+
 @query("treatment_effect")
 def treatment_effect(t):
     """Propensity of a toxic label given text statistics, matched comparison, bootstrap interval."""

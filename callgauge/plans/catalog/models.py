@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from callgauge.operators import aggregates as ag, evaluation as ev, matching as mt, modeling as md, ordering as od
+from callgauge.operators import aggregates as ag, attribution as at, evaluation as ev, matching as mt, modeling as md, ordering as od
 from callgauge.plans.catalog.alignment import r
 from callgauge.plans.registry import query
 from callgauge.plans.views import LEXICON_FEATURES, TEXT_FEATURES
@@ -152,6 +152,13 @@ def feature_importance(t):
     return md.feature_importance(model, test.drop("features"), used, "label_binary", "doc_id")
 
 
+@query("tree_contributions")
+def tree_contributions(t):
+    """Features by the mean size of what they add to a forest's probability on the later rows."""
+    train, test, used = _ready(t)
+    return at.mean_contributions(md.fit_forest(train, "label_binary", trees=TREES), test, used)
+
+
 # ---------------------------------------------------------------- evaluation of given scores
 
 _S = "SELECT doc_id, label_binary AS y, lexical_diversity AS s1, avg_word_length AS s2, lm_uncertainty AS s3 FROM v_scored"

@@ -6,21 +6,27 @@ come back. Loops here go over models, feature sets and folds, never over data.
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from callgauge.operators.evaluation import roc_auc
 from callgauge.operators.features import constant_columns, impute_train_median, standard_scale
 from callgauge.operators.ordering import chronological_index
 
 SEED = 42
+#: Fits that run at a time, and training rows a task of a fit works on.
+FITS_AT_ONCE = 8
+TASK_ROWS = 200_000
 
 # ---------------------------------------------------------------- splits
 
@@ -192,25 +198,69 @@ def feature_set_ablation(
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def cross_validate(
-    indexed: DataFrame, n: int, cols: Sequence[str], fit: FitFn, k: int = 5, label: str = "label_binary", idx: str = "idx",
-    scale_inside: bool = True,
-) -> DataFrame:
-    """Out-of-fold rows (fold, idx, label, score); imputing and scaling are fitted inside each fold."""
-    parts = []
-    for fold, end, stop in fold_bounds(n, k):
+def held_rows(df: DataFrame, n: int) -> DataFrame:
+    """Training rows held for many passes, in as few tasks as their number asks for."""
+    return df.coalesce(max(1, math.ceil(n / TASK_ROWS))).persist()
+
+
+def side_by_side(spark: SparkSession, jobs: Sequence[Callable[[], object]], width: int = FITS_AT_ONCE) -> list:
+    """Results of ``jobs`` in their order, some of them at a time.
+
+    A fit is a long chain of short Spark jobs, which leaves executors idle between them. Each chain runs in a
+    thread of the driver and in a scheduler pool of its own, so that with fair scheduling none waits for another.
+    The first failure ends the rest.
+    """
+    def run(i: int) -> object:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fits-{i % width}")
+        return jobs[i]()
+
+    with ThreadPoolExecutor(max(1, width)) as pool:
+        asked = [pool.submit(inheritable_thread_target(spark)(run), i) for i in range(len(jobs))]
+        try:
+            return [a.result() for a in asked]
+        finally:
+            for a in asked:
+                a.cancel()
+
+
+def prepared_folds(
+    indexed: DataFrame, n: int, cols: Sequence[str], k: int, label: str, idx: str = "idx", scale_inside: bool = True,
+) -> list[tuple[int, DataFrame, DataFrame]]:
+    """(fold, held training rows, test rows) of every fold, imputed and scaled inside it, columns in ``__x``."""
+
+    def one(fold: int, end: int, stop: int) -> tuple[int, DataFrame, DataFrame]:
         train = indexed.filter(F.col(idx) < end)
         test = indexed.filter((F.col(idx) >= end) & (F.col(idx) < stop))
         used = list(cols)
         if scale_inside:
             train, test, used = prepare(train, test, cols, drop_constant=False)
-        train, test = assemble(train, used, "__x").select(label, "__x").persist(), assemble(test, used, "__x")
+        return fold, held_rows(assemble(train, used, "__x").select(label, "__x"), end), assemble(test, used, "__x")
+
+    return side_by_side(indexed.sparkSession, [lambda f=f: one(*f) for f in fold_bounds(n, k)])
+
+
+def fold_fits(indexed: DataFrame, folds: Sequence[tuple[int, DataFrame, DataFrame]], fits: Sequence[tuple[object, FitFn]], label: str, idx: str = "idx") -> DataFrame:
+    """Out-of-fold rows (fit, fold, idx, label, score) of all ``fits`` (name, fit) on all folds, fitted side by side."""
+
+    def one(name, fit, fold, train, test):
         out = scored(fit(train, label, "__x"), test)
+        return out.select(F.lit(name).alias("fit"), F.lit(fold).alias("fold"), F.col(idx).alias("idx"), F.col(label).alias("label"), "score")
+
+    jobs = [lambda a=(*f, *d): one(*a) for f in fits for d in folds]
+    parts = side_by_side(indexed.sparkSession, jobs)
+    for _, train, _ in folds:
         train.unpersist()
-        parts.append(out.select(F.lit(fold).alias("fold"), F.col(idx).alias("idx"), F.col(label).alias("label"), "score"))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def cross_validate(
+    indexed: DataFrame, n: int, cols: Sequence[str], fit: FitFn, k: int = 5, label: str = "label_binary", idx: str = "idx",
+    scale_inside: bool = True,
+) -> DataFrame:
+    """Out-of-fold rows (fold, idx, label, score); imputing and scaling are fitted inside each fold."""
+    return fold_fits(indexed, prepared_folds(indexed, n, cols, k, label, idx, scale_inside), [("", fit)], label, idx).drop("fit")
+
+
 def fold_scores(out_of_fold: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return roc_auc(out_of_fold, "score", "label", [*by, "fold"]).withColumnRenamed("roc_auc", "auc")
 
@@ -224,10 +274,9 @@ def time_series_cv(
     n = indexed.count()
     parts = []
     for set_name, cols in sets.items():
-        for name, fit in models.items():
-            if cols:
-                oof = cross_validate(indexed, n, cols, fit, k, label)
-                parts.append(oof.select(F.lit(set_name).alias("feature_set"), F.lit(name).alias("model"), "fold", "label", "score"))
+        if cols:
+            oof = fold_fits(indexed, prepared_folds(indexed, n, cols, k, label), list(models.items()), label)
+            parts.append(oof.select(F.lit(set_name).alias("feature_set"), F.col("fit").alias("model"), "fold", "label", "score"))
     both = reduce(lambda a, b: a.unionByName(b), parts)
     return fold_scores(both, ["feature_set", "model"])
 
@@ -256,11 +305,9 @@ def random_search(indexed: DataFrame, n: int, cols: Sequence[str], settings: Seq
     """Cross-validated AUC of every setting, best flagged."""
     from callgauge.operators.aggregates import fold_summary
 
-    parts = []
-    for i, s in enumerate(settings):
-        fit = lambda d, y, x, s=s: fit_boosted_classifier(d, y, x, weighted=False, **s)
-        parts.append(cross_validate(indexed, n, cols, fit, k, label).withColumn("setting", F.lit(i)))
-    scores = fold_scores(reduce(lambda a, b: a.unionByName(b), parts), ["setting"])
+    fits = [(i, lambda d, y, x, s=s: fit_boosted_classifier(d, y, x, weighted=False, **s)) for i, s in enumerate(settings)]
+    oof = fold_fits(indexed, prepared_folds(indexed, n, cols, k, label), fits, label)
+    scores = fold_scores(oof.withColumnRenamed("fit", "setting"), ["setting"])
     out = fold_summary(scores, ["setting"])
     names = sorted(settings[0])
     table = indexed.sparkSession.createDataFrame([(i, *[float(s[k]) for k in names]) for i, s in enumerate(settings)], ["setting", *names])
@@ -277,18 +324,25 @@ def soft_vote(predictions: Sequence[DataFrame], key: Sequence[str], score: str =
 
 
 def stack_models(
-    train: DataFrame, test: DataFrame, features: str, label: str, key: str, base: Mapping[str, FitFn], folds: int = 3,
+    train: DataFrame, test: DataFrame, features: str, label: str, key: str, base: Mapping[str, FitFn], folds: int = 3, n: int | None = None,
 ) -> DataFrame:
-    """Out-of-fold probabilities of the base models feed a logistic model; returns scored test rows."""
+    """Out-of-fold probabilities of the base models feed a logistic model; returns scored test rows.
+
+    The base models are fitted side by side, on each part of the ``n`` training rows and on all of them.
+    """
     fold = F.pmod(F.xxhash64(key), F.lit(folds))
-    data = train.withColumn("__fold", fold).persist()
-    levels, finals = [], []
-    for i, (name, fit) in enumerate(base.items()):
-        oof = [scored(fit(data.filter(F.col("__fold") != f), label, features), data.filter(F.col("__fold") == f), f"p{i}").select(key, label, f"p{i}") for f in range(folds)]
-        levels.append(reduce(lambda a, b: a.unionByName(b), oof))
-        finals.append(scored(fit(train, label, features), test, f"p{i}").select(key, label, f"p{i}"))
-    joined = reduce(lambda a, b: a.join(b, [key, label]), levels)
-    held = reduce(lambda a, b: a.join(b, [key, label]), finals)
+    data = held_rows(train.withColumn("__fold", fold), train.count() if n is None else n)
+
+    def one(i: int, fit: FitFn, f: int | None) -> DataFrame:
+        fitted = fit(data if f is None else data.filter(F.col("__fold") != f), label, features)
+        return scored(fitted, test if f is None else data.filter(F.col("__fold") == f), f"p{i}").select(key, label, f"p{i}")
+
+    rounds = [*range(folds), None]
+    jobs = [lambda a=(i, fit, f): one(*a) for i, fit in enumerate(base.values()) for f in rounds]
+    outs = side_by_side(train.sparkSession, jobs)
+    by_model = [outs[i * len(rounds):(i + 1) * len(rounds)] for i in range(len(base))]
+    joined = reduce(lambda a, b: a.join(b, [key, label]), [reduce(lambda a, b: a.unionByName(b), parts[:-1]) for parts in by_model])
+    held = reduce(lambda a, b: a.join(b, [key, label]), [parts[-1] for parts in by_model])
     cols = [f"p{i}" for i in range(len(base))]
     top = fit_logistic(assemble(joined, cols, "__p"), label, "__p", c=1.0, balanced=False)
     return scored(top, assemble(held, cols, "__p")).select(key, F.col(label).alias("label"), "score")
@@ -298,13 +352,12 @@ def compare_architectures(indexed: DataFrame, n: int, cols: Sequence[str], round
     """Fold AUC of boosted trees, forest and stack; (architecture, fold, auc)."""
     boosted = lambda d, y, x: fit_boosted_classifier(d, y, x, rounds, 6, 0.3, 1.0, 1.0, weighted=False)
     forest = lambda d, y, x: fit_forest(d, y, x, trees, 10, balanced=False)
-    parts = [
-        cross_validate(indexed, n, cols, fit, k, label).select(F.lit(name).alias("architecture"), "fold", "label", "score")
-        for name, fit in (("Boosted Trees", boosted), ("Random Forest", forest))
-    ]
+    folds = prepared_folds(indexed, n, cols, k, label)
+    alone = fold_fits(indexed, folds, [("Boosted Trees", boosted), ("Random Forest", forest)], label)
+    parts = [alone.select(F.col("fit").alias("architecture"), "fold", "label", "score")]
     for f, end, stop in fold_bounds(n, k):
         train, test, used = prepare(indexed.filter(F.col("idx") < end), indexed.filter((F.col("idx") >= end) & (F.col("idx") < stop)), cols, False)
-        out = stack_models(assemble(train, used, "__x"), assemble(test, used, "__x"), "__x", label, "idx", {"rf": forest, "gbt": boosted}, stack_folds)
+        out = stack_models(assemble(train, used, "__x"), assemble(test, used, "__x"), "__x", label, "idx", {"rf": forest, "gbt": boosted}, stack_folds, end)
         parts.append(out.select(F.lit("Stacking").alias("architecture"), F.lit(f).alias("fold"), "label", "score"))
     return fold_scores(reduce(lambda a, b: a.unionByName(b), parts), ["architecture"])
 

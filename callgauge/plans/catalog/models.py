@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from callgauge.operators import aggregates as ag, attribution as at, evaluation as ev, matching as mt, modeling as md, ordering as od
+from callgauge.operators import aggregates as ag, attribution as at, boosting as bt, evaluation as ev, matching as mt, modeling as md, ordering as od
 from callgauge.plans.catalog.alignment import r
 from callgauge.plans.registry import query
 from callgauge.plans.views import LEXICON_FEATURES, TEXT_FEATURES
@@ -58,6 +58,56 @@ def fit_boosted_classifier(t):
     return _metrics(md.fit_boosted_classifier(train, "label_binary"), test, "boosted")
 
 
+STEPS = bt.Settings(rounds=2, depth=1, rate=0.5, bins=8)
+
+
+def _steps_sql(cols, label, logistic):
+    """Two boosted trees of one cut each, in SQL: every edge of every column is tried in each round."""
+    points = " UNION ALL ".join(f"SELECT doc_id, {k} AS f, CAST({c} AS DOUBLE) AS x FROM v_scored WHERE {label} IS NOT NULL" for k, c in enumerate(cols))
+    parts = [
+        f"points AS ({points})", f"edges AS (SELECT f, unnest(list_distinct(quantile_disc(x, [{', '.join(f'{i / STEPS.bins}' for i in range(1, STEPS.bins))}]))) AS e FROM points GROUP BY f)",
+        f"s0 AS (SELECT doc_id, CAST({label} AS DOUBLE) AS y, {'0.0' if logistic else f'avg({label}) OVER ()'} AS m FROM v_scored WHERE {label} IS NOT NULL)",
+    ]
+    for k in range(1, STEPS.rounds + 1):
+        p = "1 / (1 + exp(-m))"
+        slopes = f"({p}) - y AS g, ({p}) * (1 - {p}) AS h" if logistic else "m - y AS g, 1.0 AS h"
+        parts += [
+            f"g{k} AS (SELECT doc_id, {slopes} FROM s{k - 1})", f"t{k} AS (SELECT sum(g) AS tg, sum(h) AS th FROM g{k})",
+            f"c{k} AS (SELECT f, e, sum(g) FILTER (x <= e) AS gl, sum(h) FILTER (x <= e) AS hl FROM points JOIN g{k} USING (doc_id) JOIN edges USING (f) GROUP BY f, e)",
+            f"""b{k} AS (SELECT * FROM c{k}, t{k} WHERE hl >= 1 AND th - hl >= 1
+  ORDER BY round(gl * gl / (hl + 1) + (tg - gl) * (tg - gl) / (th - hl + 1) - tg * tg / (th + 1), {bt.DIGITS}) DESC, f, e LIMIT 1)""",
+            f"s{k} AS (SELECT s.doc_id, s.y, m - {STEPS.rate} * CASE WHEN x <= e THEN gl / (hl + 1) ELSE (tg - gl) / (th - hl + 1) END AS m FROM s{k - 1} s JOIN points p ON s.doc_id = p.doc_id JOIN b{k} b ON p.f = b.f)",
+        ]
+    score = "1 / (1 + exp(-m))" if logistic else "m"
+    return f"WITH {', '.join(parts)} SELECT doc_id, round({score}, 6) AS score FROM s{STEPS.rounds}"
+
+
+_STEP_COLS = ["word_count", "sentence_count", "avg_word_length", "lm_uncertainty"]
+
+
+@query("boosted_label_steps", _steps_sql(_STEP_COLS, "label_binary", True))
+def boosted_label_steps(t):
+    """Probability after two second-order rounds of one cut each."""
+    d = t.stored_scored
+    return bt.fit_second_order(d, _STEP_COLS, "label_binary", "doc_id", STEPS).score(d.filter("label_binary IS NOT NULL")).select("doc_id", r("score"))
+
+
+@query("boosted_number_steps", _steps_sql(_STEP_COLS, "lexical_diversity", False))
+def boosted_number_steps(t):
+    """Estimate of a number after two rounds of one cut each."""
+    d = t.stored_scored
+    return bt.fit_second_order(d, _STEP_COLS, "lexical_diversity", "doc_id", STEPS, logistic=False).score(d.filter("lexical_diversity IS NOT NULL")).select("doc_id", r("score"))
+
+
+@query("fit_second_order")
+def fit_second_order(t):
+    """Second-order boosted trees with penalties and drawn rows and columns, judged on the later rows."""
+    train, test = _split(t)
+    model = bt.fit_second_order(train, SETS["combined"], "label_binary", "doc_id", bt.Settings(rounds=10, depth=3, rate=0.3, bins=32, l1=0.1, min_gain=0.1, columns=0.8, subsample=0.8))
+    out = ev.classification_metrics(model.score(test), "score", "label_binary")
+    return out.select(F.lit("fit").alias("phase"), F.lit("second order").alias("model"), "roc_auc", "accuracy", "f1", "precision", "recall", "tp", "fp", "fn", "tn")
+
+
 def _returns(t):
     cols = ["financial_Total_Revenue", "financial_Net_Income", "financial_Total_Debt", "financial_Total_Assets"]
     d = md.chronological_split(t.stored_targets, "transcript_date", ["ticker", "doc_id"]).persist()

@@ -63,7 +63,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Texts that hold one of these are encoded whole: the vocabulary gives them ids of their own, whatever is around them.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.parts: dict[str, bytes] = {"": b""}
         self.words: dict[str, bytes] = {}
@@ -85,6 +86,8 @@ class WordTokenizer:
     def encode(self, text: str) -> np.ndarray:
         if len(self.parts) > _KEPT or len(self.words) > _KEPT:
             self.parts, self.words = {"": b""}, {}
+        if any(token in text for token in self.added):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         parts = text.replace("\n", " ").split(" ")
         known = self.parts
         try:

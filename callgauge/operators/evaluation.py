@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from callgauge.functions.fixed import BASELINE_AUC
-from callgauge.operators.joins import pairwise_models
 from callgauge.operators.ordering import running_totals
 
 
@@ -117,35 +118,73 @@ def _normal_tail(z: Column) -> Column:
     return t * F.exp(-x * x + poly)
 
 
+#: Scored rows turned into one matrix product at a time.
+MATRIX_ROWS = 8_192
+
+
+def _pair_sums(wide: DataFrame, names: list[str]) -> DataFrame:
+    """Per pair of models and class: rows scored by both, sums, squares and products of their placements less one half.
+
+    A task adds up matrices of models by models, whatever its number of rows; only those are shuffled.
+    """
+    first, second = np.triu_indices(len(names), 1)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, 6, len(names), len(names)))
+        for batch in batches:
+            y = batch.column(0).to_numpy(zero_copy_only=False)
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[1:]]) - 0.5
+            for low in range(0, len(y), MATRIX_ROWS):
+                for side in (0, 1):
+                    rows = x[low:low + MATRIX_ROWS][y[low:low + MATRIX_ROWS] == side]
+                    have = ~np.isnan(rows)
+                    v, h = np.where(have, rows, 0.0), have.astype(float)
+                    s, q = v.T @ h, (v * v).T @ h
+                    sums[side] += [h.T @ h, s, s.T, q, q.T, v.T @ v]
+        for side in (0, 1):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([names[i] for i in first], pa.string()), pa.array([names[i] for i in second], pa.string()),
+                 pa.array(np.full(len(first), side, np.int32)), *[pa.array(m[first, second]) for m in sums[side]]],
+                ["model_1", "model_2", "y", "n", "s1", "s2", "q1", "q2", "c"],
+            )
+
+    parts = wide.mapInArrow(add, "model_1 string, model_2 string, y int, n double, s1 double, s2 double, q1 double, q2 double, c double")
+    return parts.groupBy("model_1", "model_2", "y").agg(*[F.sum(k).alias(k) for k in ("n", "s1", "s2", "q1", "q2", "c")])
+
+
 def pairwise_significance(scores: DataFrame, row: Sequence[str], label: str = "label", model: str = "model", value: str = "score") -> DataFrame:
-    """DeLong test for every pair of models scored on the same rows, in one pass over the pairs.
+    """DeLong test for every pair of models over the rows that both have scored.
 
-    No spread in the difference gives z 0 and p 1.
+    The placements of a row become one vector with a place for each model (their names are few and are
+    collected), and one pass over the vectors sums the covariance matrix: no row is paired with itself.
+    If a model scored a row twice, the larger placement counts; rows without a label take no part. No spread in
+    the difference, or fewer than two common rows of a class, gives z 0 and p 1; pairs without a common positive row
+    are left out.
     """
     row = list(row)
+    scores = scores.filter(F.col(label).isin(0, 1) & F.col(value).isNotNull() & F.col(model).isNotNull())
+    names = sorted(r[0] for r in scores.select(F.col(model).cast("string")).distinct().collect())
     placed = midranks(scores, value, label, [model])
-    pairs = pairwise_models(placed.withColumn("__y", F.col(label)), [*row, "__y"], model, "placement")
-    s1, s2 = F.col("score_1"), F.col("score_2")
-    pos, neg = F.col("__y") == 1, F.col("__y") == 0
-    when = lambda c, v: F.when(c, v)
-    stats = pairs.groupBy("model_1", "model_2").agg(
-        F.count_if(pos).alias("n_pos"), F.count_if(neg).alias("n_neg"),
-        F.avg(when(pos, s1)).alias("auc_1"), F.avg(when(pos, s2)).alias("auc_2"),
-        *[
-            f.alias(f"{k}_{side}")
-            for side, c in (("pos", pos), ("neg", neg))
-            for k, f in (
-                ("v1", F.var_samp(when(c, s1))), ("v2", F.var_samp(when(c, s2))),
-                ("c12", F.covar_samp(when(c, s1), when(c, s2))),
-            )
-        ],
-    )
-    part = lambda side: (F.col(f"v1_{side}") + F.col(f"v2_{side}") - 2 * F.col(f"c12_{side}")) / F.col(f"n_{side}")
-    out = stats.withColumn("var_diff", part("pos") + part("neg"))
-    flat = ~(F.col("var_diff") > 1e-18)
-    z = F.when(flat, 0.0).otherwise((F.col("auc_1") - F.col("auc_2")) / F.sqrt(F.greatest(F.col("var_diff"), F.lit(1e-300))))
-    out = out.withColumn("z_statistic", z)
-    p = F.when(flat, 1.0).otherwise(_normal_tail(F.col("z_statistic")))
+    one = lambda m: F.max(F.when(F.col(model).cast("string") == m, F.col("placement")))
+    wide = placed.groupBy(*row, F.col(label).cast("int").alias("__y")).agg(*[one(m).alias(f"__m{i}") for i, m in enumerate(names)])
+    sums = _pair_sums(wide.select("__y", *[f"__m{i}" for i in range(len(names))]), names)
+    n, s1, s2 = (F.col(c) for c in ("n", "s1", "s2"))
+    some = lambda top, low: F.when(low > 0, top / low)
+    spread = lambda q, s, t: some(some(F.col(q) - s * t / n, n - 1), n)
+    per_class = sums.filter("n > 0").withColumns({
+        "own": spread("q1", s1, s1) + spread("q2", s2, s2), "shared": 2 * spread("c", s1, s2),
+    })
+    mean = lambda s: F.max(F.when(F.col("y") == 1, s / n + 0.5))
+    both = lambda c: F.when(F.count(c) == 2, F.sum(c))
+    stats = per_class.groupBy("model_1", "model_2").agg(
+        mean(s1).alias("auc_1"), mean(s2).alias("auc_2"), both("own").alias("own"), both("shared").alias("shared"),
+    ).filter("auc_1 IS NOT NULL")
+    # what is left of equal spreads after rounding counts as none
+    gap = F.col("own") - F.col("shared")
+    moves = F.coalesce(gap > 1e-12 * F.col("own"), F.lit(False))
+    z = F.when(moves, (F.col("auc_1") - F.col("auc_2")) / F.sqrt(F.when(moves, gap))).otherwise(0.0)
+    out = stats.withColumns({"z_statistic": z, "moves": moves})
+    p = F.when(F.col("moves"), _normal_tail(F.col("z_statistic"))).otherwise(1.0)
     return out.withColumn("p_value", p).select(
         "model_1", "model_2", "auc_1", "auc_2", F.abs(F.col("auc_1") - F.col("auc_2")).alias("auc_diff"),
         "z_statistic", "p_value",

@@ -300,27 +300,33 @@ s AS (SELECT model_1, model_2, avg(v1) FILTER (WHERE y = 1) AS auc_1, avg(v2) FI
              (var_samp(v1) FILTER (WHERE y = 1) + var_samp(v2) FILTER (WHERE y = 1) - 2 * covar_samp(v1, v2) FILTER (WHERE y = 1)) / max(np)
            + (var_samp(v1) FILTER (WHERE y = 0) + var_samp(v2) FILTER (WHERE y = 0) - 2 * covar_samp(v1, v2) FILTER (WHERE y = 0)) / max(nn) AS d FROM q GROUP BY 1, 2)"""
 
+#: Two-sided tail of the standard normal: Simpson's rule with 400 steps over the density from 0 to |z|.
+_TAIL = """
+t AS (SELECT *, 1 - 2 * (SELECT sum((CASE WHEN k IN (0, 400) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow(k * abs(z) / 400, 2) / 2))
+                          FROM range(401) AS g(k)) * abs(z) / 1200 / sqrt(2 * pi()) AS p FROM (SELECT *, (auc_1 - auc_2) / sqrt(d) AS z FROM s))"""
+
 
 @query(
     "pairwise_significance",
-    f"""WITH long AS (SELECT doc_id, y, 'a' AS m, s1 AS s FROM ({_S}) UNION ALL SELECT doc_id, y, 'b', s2 FROM ({_S}) UNION ALL SELECT doc_id, y, 'c', s3 FROM ({_S})), {_PLACED}
-SELECT model_1, model_2, round(auc_1, 6) AS auc_1, round(auc_2, 6) AS auc_2, round(abs(auc_1 - auc_2), 6) AS auc_diff, round((auc_1 - auc_2) / sqrt(d), 5) AS z_statistic,
-       CASE WHEN auc_1 > auc_2 THEN model_1 ELSE model_2 END AS better_model FROM s""",
+    f"""WITH long AS (SELECT doc_id, y, 'a' AS m, s1 AS s FROM ({_S}) UNION ALL SELECT doc_id, y, 'b', s2 FROM ({_S}) UNION ALL SELECT doc_id, y, 'c', s3 FROM ({_S})), {_PLACED}, {_TAIL}
+SELECT model_1, model_2, round(auc_1, 6) AS auc_1, round(auc_2, 6) AS auc_2, round(abs(auc_1 - auc_2), 6) AS auc_diff, round(z, 5) AS z_statistic,
+       round(p, 5) AS p_value, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END AS significance,
+       CASE WHEN auc_1 > auc_2 THEN model_1 ELSE model_2 END AS better_model FROM t""",
 )
 def pairwise_significance(t):
-    d = t.scored.select("doc_id", F.col("label_binary").alias("label"), F.col("lexical_diversity").alias("a"), F.col("avg_word_length").alias("b"), F.col("lm_uncertainty").alias("c"))
-    long = d.unpivot(["doc_id", "label"], ["a", "b", "c"], "model", "score").persist()
+    d = t.stored_scored.select("doc_id", F.col("label_binary").alias("label"), F.col("lexical_diversity").alias("a"), F.col("avg_word_length").alias("b"), F.col("lm_uncertainty").alias("c"))
+    long = d.unpivot(["doc_id", "label"], ["a", "b", "c"], "model", "score")
     out = ev.pairwise_significance(long, ["doc_id"])
-    return out.select("model_1", "model_2", r("auc_1"), r("auc_2"), r("auc_diff"), r("z_statistic", 5), "better_model")
+    return out.select("model_1", "model_2", r("auc_1"), r("auc_2"), r("auc_diff"), r("z_statistic", 5), r("p_value", 5), "significance", "better_model")
 
 
 @query(
     "delong_test",
-    f"""WITH long AS (SELECT doc_id, y, 'a' AS m, s1 AS s FROM ({_S}) UNION ALL SELECT doc_id, y, 'b', s2 FROM ({_S})), {_PLACED}
-SELECT round(auc_1, 6) AS auc_1, round(auc_2, 6) AS auc_2, round((auc_1 - auc_2) / sqrt(d), 5) AS z_statistic FROM s""",
+    f"""WITH long AS (SELECT doc_id, y, 'a' AS m, s1 AS s FROM ({_S}) UNION ALL SELECT doc_id, y, 'b', s2 FROM ({_S})), {_PLACED}, {_TAIL}
+SELECT round(auc_1, 6) AS auc_1, round(auc_2, 6) AS auc_2, round(z, 5) AS z_statistic, round(p, 5) AS p_value FROM t""",
 )
 def delong_test(t):
-    return ev.delong_test(t.stored_scored, "label_binary", "lexical_diversity", "avg_word_length", ["doc_id"]).select(r("auc_1"), r("auc_2"), r("z_statistic", 5))
+    return ev.delong_test(t.stored_scored, "label_binary", "lexical_diversity", "avg_word_length", ["doc_id"]).select(r("auc_1"), r("auc_2"), r("z_statistic", 5), r("p_value", 5))
 
 
 # ---------------------------------------------------------------- matched comparison

@@ -91,6 +91,37 @@ def test_delong_of_equal_scores(spark):
     assert (r.z_statistic, r.p_value) == (0.0, 1.0) and r.auc_1 == r.auc_2
 
 
+def test_significance_of_many_models_by_definition(spark):
+    """Eight models, one of them a copy, one with gaps: variances and products pair by pair."""
+    rng = np.random.default_rng(5)
+    y = rng.integers(0, 2, 90)
+    score = {f"m{i}": np.round(rng.normal(size=90) + y * i / 4, 1) for i in range(7)} | {"m7": None}
+    score["m7"] = score["m6"].copy()
+    gaps = {("m2", i) for i in range(0, 90, 9)}
+    rows = [(i, int(y[i]), m, float(s[i])) for m, s in score.items() for i in range(90) if (m, i) not in gaps]
+    got = {(r.model_1, r.model_2): r for r in ev.pairwise_significance(
+        spark.createDataFrame(rows + [(200, None, "m0", 1.0), (201, 1, "m0", None)], "i int, label int, model string, score double"), ["i"]).collect()}
+    assert len(got) == 28
+    place = {}
+    for m, s in score.items():
+        have = [i for i in range(90) if (m, i) not in gaps]
+        for i in have:
+            other = [s[j] for j in have if y[j] != y[i]]
+            wins = sum((s[i] > o) + 0.5 * (s[i] == o) for o in other) / len(other)
+            place[m, i] = wins if y[i] else 1 - sum((s[i] > o) + 0.5 * (s[i] == o) for o in other) / len(other)
+    for (a, b), r in got.items():
+        common = [i for i in range(90) if (a, i) in place and (b, i) in place]
+        var, auc = 0.0, {}
+        for side in (0, 1):
+            u, v = (np.array([place[m, i] for i in common if y[i] == side]) for m in (a, b))
+            var += np.var(u - v, ddof=1) / len(u)
+            auc = {"a": u.mean(), "b": v.mean()} if side else auc
+        assert (r.auc_1, r.auc_2) == pytest.approx((auc["a"], auc["b"]))
+        z = (auc["a"] - auc["b"]) / math.sqrt(var) if (a, b) != ("m6", "m7") else 0.0
+        assert r.z_statistic == pytest.approx(z, abs=1e-9)
+        assert r.p_value == pytest.approx(math.erfc(abs(z) / math.sqrt(2)), rel=1e-5)
+
+
 def test_normal_tail(spark):
     zs = [0.0, 0.5, 1.0, 1.96, 3.3, 6.0, -1.96]
     got = [r.p for r in spark.createDataFrame([(z,) for z in zs], "z double").select(ev._normal_tail(F.col("z")).alias("p")).collect()]

@@ -4,44 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from callgauge.functions import calendar as cal
 from callgauge.functions.fixed import FALLBACK_DAYS, TIGHT_DAYS
 from callgauge.functions.numeric import relative_change
-from callgauge.operators.ordering import RangeFn, asof_within, calendar_range, daily_lookup, nearby
+from callgauge.operators.ordering import Look, RangeFn, daily_lookup, merged
 
 
 def _as_date(df: DataFrame, col: str, by_date: bool) -> DataFrame:
     return df.withColumn(col, F.to_date(col)) if by_date else df
 
 
-def _statement_lookup(moments, right, by, left_on, right_on, cols, fallback, name):
-    """Newest statement per distinct (key, moment), looked for within the fallback window.
-
-    Dates: each statement visits two ranges as wide as the window. Clock times: a key may have
-    very many moments in such a range, so narrow ranges with a carried last value are used.
-    """
-    if not isinstance(moments.schema[left_on].dataType, T.DateType):
-        return nearby(moments, right, by, left_on, right_on, cols, before=name)
-    return asof_within(moments, right, by, left_on, right_on, cols, name=name, range_of=calendar_range(fallback + 1))
+def _statements(right: DataFrame, by: list[str], on: str, cols: Sequence[str] | None, name: str) -> Look:
+    """Newest statement at or before a moment, and whether the key has statements at all."""
+    cols = list(cols if cols is not None else [c for c in right.columns if c not in (*by, on)])
+    return Look(right, on, cols, before=name, known="__known")
 
 
-def _tiered(found: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, tight: int, fallback: int, name: str) -> DataFrame:
-    """Match type and gap from the found statement and the first statement of the key."""
-    first = right.filter(F.col(right_on).isNotNull()).groupBy(*by).agg(F.min(right_on).alias("__first"))
-    out = found.join(first, by, "left").withColumn("__d", cal.days_between(F.col(left_on), F.col(f"{name}.{right_on}")))
+def _tiered(found: DataFrame, left_on: str, right_on: str, tight: int, fallback: int, name: str) -> DataFrame:
+    """Match type and gap from the newest statement of the past, and from whether the key has any."""
+    out = found.withColumn("__d", cal.days_between(F.col(left_on), F.col(f"{name}.{right_on}")))
     kind = (
         F.when(F.col(left_on).isNull(), "no_date")
-        .when(F.col("__first").isNull(), "no_ticker")
-        .when(F.col("__first") > F.col(left_on), "all_future")
+        .when(~F.coalesce("__known", F.lit(False)), "no_ticker")
+        .when(F.col(name).isNull(), "all_future")
         .when(F.col("__d") <= tight, "tight")
         .when(F.col("__d") <= fallback, "fallback")
         .otherwise("too_stale")
     )
     out = out.withColumn("match_type", kind)
     kept = F.col("match_type").isin("tight", "fallback")
-    return out.withColumns({name: F.when(kept, F.col(name)), "match_days": F.when(kept, F.col("__d"))}).drop("__first", "__d")
+    return out.withColumns({name: F.when(kept, F.col(name)), "match_days": F.when(kept, F.col("__d"))}).drop("__known", "__d")
 
 
 def asof_tiered(
@@ -60,23 +54,19 @@ def asof_tiered(
 
     ``tight`` up to 120 days back, ``fallback`` up to 180; farther back ``too_stale``;
     ``all_future`` when the key has only later statements, ``no_ticker`` when it has none.
-    Only what lies within the fallback window is looked at, so each statement visits two
-    calendar ranges and no window spans a whole key.
+    Statement and reason come from one sorted pass over the distinct moments of each key, so the events
+    themselves are joined once, on key and moment, and never shuffled by the key alone.
     """
     by = list(by)
     left, right = _as_date(left, left_on, by_date), _as_date(right, right_on, by_date)
-    cols = list(cols if cols is not None else [c for c in right.columns if c not in (*by, right_on)])
-    table = _statement_lookup(left, right, by, left_on, right_on, cols, fallback, name)
+    table = merged(left, by, left_on, [_statements(right, by, right_on, cols, name)])
     found = left.join(table, [*by, left_on], "left")
-    return _tiered(found, right, by, left_on, right_on, tight, fallback, name).select(*left.columns, name, "match_days", "match_type")
+    return _tiered(found, left_on, right_on, tight, fallback, name).select(*left.columns, name, "match_days", "match_type")
 
 
-def _window_lookup(moments, prices, by, event_on, price_on, close, days_after, range_of):
-    """Bar before and bar after per distinct (key, moment)."""
-    return nearby(
-        moments, prices.select(*by, price_on, close), by, event_on, price_on, [close],
-        before="__before", after="__after", n_after=days_after, range_of=range_of,
-    )
+def _bars(prices: DataFrame, on: str, close: str, days_after: int) -> Look:
+    """Bar before and bar after a moment."""
+    return Look(prices, on, [close], before="__before", after="__after", n=days_after)
 
 
 def _window_columns(price_on: str, close: str) -> list[Column]:
@@ -108,7 +98,7 @@ def event_window_prices(
     """
     by = list(by)
     events, prices = _as_date(events, event_on, by_date), _as_date(prices, price_on, by_date)
-    table = _window_lookup(events, prices, by, event_on, price_on, close, days_after, range_of)
+    table = merged(events, by, event_on, [_bars(prices, price_on, close, days_after)], range_of)
     return events.join(table, [*by, event_on], "left").select(*events.columns, *_window_columns(price_on, close))
 
 
@@ -128,19 +118,17 @@ def match_all(
 ) -> DataFrame:
     """Every call with its statement, its price window, and ``outcome``: aligned or the reason why not.
 
-    Both lookups are made for the distinct (ticker, date) pairs of the calls alone, so the
-    calls themselves, texts and all, are shuffled once.
+    Calls, statements and prices are merged by (ticker, date) and passed through once in that order; what that
+    finds is joined to the calls by one equality, so the calls themselves, texts and all, are shuffled once.
     """
     by = [ticker]
     calls, statements, prices = (
         _as_date(d, c, by_date) for d, c in ((calls, call_date), (statements, statement_date), (prices, price_date))
     )
-    asked = calls.select(ticker, call_date)
-    cols = [c for c in statements.columns if c not in (ticker, statement_date)]
-    table = _statement_lookup(asked, statements, by, call_date, statement_date, cols, fallback, "statement")
-    windows = _window_lookup(asked, prices, by, call_date, price_date, close, 3, None)
-    found = calls.join(table, [ticker, call_date], "left").join(windows, [ticker, call_date], "left")
-    tiered = _tiered(found, statements, by, call_date, statement_date, tight, fallback, "statement")
+    looks = [_statements(statements, by, statement_date, None, "statement"), _bars(prices, price_date, close, 3)]
+    table = merged(calls.select(ticker, call_date), by, call_date, looks)
+    found = calls.join(table, [ticker, call_date], "left")
+    tiered = _tiered(found, call_date, statement_date, tight, fallback, "statement")
     both = tiered.select(*calls.columns, "statement", "match_days", "match_type", *_window_columns(price_date, close))
     outcome = (
         F.when(F.col("match_type") == "no_date", "temporal_mismatch")
@@ -187,14 +175,15 @@ def benchmark_window_return(
     calendar whatever the number of windows, so it is broadcast and ``df`` is not shuffled.
     """
     days = daily_lookup(index, index_on, close)
-    newest = index.agg(F.max_by(close, index_on).alias("__newest"), F.max(F.to_date(index_on)).alias("__last")).withColumn("__one", F.lit(1))
+    newest, last = index.agg(F.max_by(close, index_on), F.max(F.to_date(index_on))).first()
     opened = days.select(F.col("day").alias("__s"), F.col("at_or_before").alias("__open"))
     closed = days.select(F.col("day").alias("__e"), F.col("at_or_after").alias("__close"))
     out = (
-        df.withColumns({"__s": F.to_date(start), "__e": F.to_date(end), "__one": F.lit(1)})
-        .join(F.broadcast(opened), "__s", "left").join(F.broadcast(closed), "__e", "left").join(F.broadcast(newest), "__one", "left")
+        df.withColumns({"__s": F.to_date(start), "__e": F.to_date(end)})
+        .join(F.broadcast(opened), "__s", "left").join(F.broadcast(closed), "__e", "left")
     )
-    first = F.when(F.col("__s") > F.col("__last"), F.coalesce("__open", "__newest")).otherwise(F.col("__open"))
+    past_end = F.col("__s") > F.lit(last).cast("date")
+    first = F.when(past_end, F.coalesce("__open", F.lit(newest).cast("double"))).otherwise(F.col("__open"))
     return out.select(*df.columns, relative_change(F.col("__close"), first).alias("sp500_return_3day"))
 
 

@@ -10,6 +10,7 @@ together before anything is sorted, so copies of one moment cost one row.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
@@ -38,14 +39,14 @@ def calendar_range(days: int) -> RangeFn:
     return lambda c: F.floor(F.unix_seconds(c.cast("timestamp")) / F.lit(days * DAY))
 
 
-def default_range(df: DataFrame, col: str, other: DataFrame | None = None, other_col: str | None = None) -> RangeFn:
+def default_range(df: DataFrame, col: str, *others: tuple[DataFrame, str]) -> RangeFn:
     """Years for dates: a key has few distinct days in one and few of them altogether, whatever
-    share of the rows it holds. For clock times, ranges with about equally many rows of both
-    sides, so that the part of a hot key in one range is no larger than a usual partition."""
+    share of the rows it holds. For clock times, ranges with about equally many rows of all
+    tables, so that the part of a hot key in one range is no larger than a usual partition."""
     if isinstance(df.schema[col].dataType, T.DateType):
         return calendar_range(366)
     times = df.select(F.col(col).alias("__t"))
-    if other is not None:
+    for other, other_col in others:
         times = times.unionByName(other.select(F.col(other_col).alias("__t")))
     return even_range(times, "__t")
 
@@ -245,54 +246,83 @@ def _over_ranges(by: list[str]) -> list:
     return list(by) or [F.lit(0)]
 
 
-def nearby(
-    moments: DataFrame, facts: DataFrame, by: Sequence[str], on: str, facts_on: str, cols: Sequence[str],
-    *, before: str | None = "before", after: str | None = None, n_after: int = 3, range_of: RangeFn | None = None,
-) -> DataFrame:
-    """Lookup table: per distinct key and moment the newest fact at or before it, and the n-th
-    fact after it (the last one if fewer follow).
+@dataclass(frozen=True)
+class Look:
+    """What to find in one table of facts: the newest at or before a moment (``before``), the ``n``-th after it or the
+    last if fewer follow (``after``), and whether the key has any fact at all (``known``). Each is a column name, or None."""
+
+    facts: DataFrame
+    on: str
+    cols: Sequence[str]
+    before: str | None = None
+    after: str | None = None
+    n: int = 3
+    known: str | None = None
 
-    Both come from one sort inside ``(key, range)``; the last fact and the first n facts of
-    every range cross the borders.
+    def values(self, by: list[str], i: int) -> DataFrame:
+        value = F.struct(F.col(self.on).alias(self.on), *[F.col(c) for c in self.cols if c != self.on])
+        return self.facts.filter(F.col(self.on).isNotNull()).select(*by, F.col(self.on).alias("__t"), value.alias(f"__v{i}"))
+
+
+def merged(moments: DataFrame, by: Sequence[str], on: str, looks: Sequence[Look], range_of: RangeFn | None = None) -> DataFrame:
+    """Lookup table: a row per distinct key and moment with what every ``Look`` found.
+
+    Moments and all facts are brought together, one row per key and moment, and sorted once inside ``(key, range)``;
+    that pass finds what lies in the range. A table with a row per key and range carries the last fact and the
+    first n facts of each over the borders.
     """
     by = list(by)
-    n = n_after if after else 0
-    range_of = range_of or default_range(moments, on, facts, facts_on)
-    folded = _folded(moments, facts, by, on, facts_on, cols, range_of)
+    range_of = range_of or default_range(moments, on, *[(look.facts, look.on) for look in looks])
+    asks = moments.filter(F.col(on).isNotNull()).select(*by, F.col(on).alias("__t")).distinct().withColumn("__asks", F.lit(True))
+    both = asks
+    for i, look in enumerate(looks):
+        both = both.unionByName(look.values(by, i), allowMissingColumns=True)
+    # of several facts at one moment the largest by its columns is kept
+    folded = both.groupBy(*by, "__t").agg(
+        F.coalesce(F.max("__asks"), F.lit(False)).alias("__asks"), *[F.max(f"__v{i}").alias(f"__v{i}") for i in range(len(looks))]
+    ).withColumn("__r", range_of(F.col("__t")))
+
     inside = W.partitionBy(*by, "__r").orderBy("__t")
     so_far = inside.rowsBetween(W.unboundedPreceding, 0)
     keys = ", ".join([*[f"`{c}`" for c in by], "__r"])
-    ahead = [F.expr(f"lead(__v, {k}) IGNORE NULLS OVER (PARTITION BY {keys} ORDER BY __t)") for k in range(1, n + 1)]
-    seen = folded.withColumns({
-        "__m": F.last("__v", True).over(so_far),
-        "__i": F.count("__v").over(so_far),
-        **({"__next": F.array_compact(F.array(*ahead))} if n else {}),
-    })
-    border = seen.filter("__v is not null").groupBy(*by, "__r").agg(
-        F.max_by("__v", "__t").alias("__closer"),
-        *([F.sort_array(F.collect_list(F.when(F.col("__i") <= n, F.col("__v")))).alias("__heads")] if n else []),
-    )
-    asked = seen.filter("__asks").select(*by, "__r").distinct()
-    border = asked.withColumns({
-        "__closer": F.lit(None).cast(border.schema["__closer"].dataType),
-        **({"__heads": F.lit(None).cast(border.schema["__heads"].dataType)} if n else {}),
-    }).unionByName(border).groupBy(*by, "__r").agg(*[F.first(c, True).alias(c) for c in border.columns if c not in (*by, "__r")])
-    ranges = W.partitionBy(*_over_ranges(by)).orderBy("__r")
     range_keys = ", ".join(f"`{c}`" for c in by) or "0"
-    later = [F.expr(f"lead(__heads, {k}) IGNORE NULLS OVER (PARTITION BY {range_keys} ORDER BY __r)") for k in range(1, n + 1)]
-    border = border.select(
-        *by, "__r",
-        F.last("__closer", True).over(ranges.rowsBetween(W.unboundedPreceding, -1)).alias("__carry"),
-        *([F.flatten(F.array_compact(F.array(*later))).alias("__later")] if n else []),
-    )
-    found = seen.filter("__asks").join(border, [*by, "__r"], "left")
-    out = [*by, F.col("__t").alias(on)]
-    if before:
-        out.append(F.coalesce("__m", "__carry").alias(before))
-    if after:
-        following = F.slice(F.concat("__next", "__later"), 1, n)
-        out.append(F.try_element_at(following, F.lit(-1)).alias(after))
-    return found.select(*out)
+    ranges = W.partitionBy(*_over_ranges(by))
+    earlier = ranges.orderBy("__r").rowsBetween(W.unboundedPreceding, -1)
+
+    seen, closing, carried, out = {}, [], [], [*by, F.col("__t").alias(on)]
+    for i, look in enumerate(looks):
+        v = f"__v{i}"
+        if look.before:
+            seen[f"__m{i}"] = F.last(v, True).over(so_far)
+            closing.append(F.max_by(v, F.when(F.col(v).isNotNull(), F.col("__t"))).alias(f"__closer{i}"))
+            carried.append(F.last(f"__closer{i}", True).over(earlier).alias(f"__carry{i}"))
+            out.append(F.coalesce(f"__m{i}", f"__carry{i}").alias(look.before))
+        if look.after:
+            ahead = [F.expr(f"lead({v}, {k}) IGNORE NULLS OVER (PARTITION BY {keys} ORDER BY __t)") for k in range(1, look.n + 1)]
+            seen[f"__next{i}"] = F.array_compact(F.array(*ahead))
+            seen[f"__i{i}"] = F.count(v).over(so_far)
+            heads = F.sort_array(F.collect_list(F.when(F.col(f"__i{i}") <= look.n, F.col(v))))
+            closing.append(F.when(F.size(heads) > 0, heads).alias(f"__heads{i}"))
+            later = [F.expr(f"lead(__heads{i}, {k}) IGNORE NULLS OVER (PARTITION BY {range_keys} ORDER BY __r)") for k in range(1, look.n + 1)]
+            carried.append(F.flatten(F.array_compact(F.array(*later))).alias(f"__later{i}"))
+            following = F.slice(F.concat(f"__next{i}", f"__later{i}"), 1, look.n)
+            out.append(F.try_element_at(following, F.lit(-1)).alias(look.after))
+        if look.known:
+            closing.append(F.max(F.col(v).isNotNull()).alias(f"__some{i}"))
+            carried.append(F.max(f"__some{i}").over(ranges).alias(f"__known{i}"))
+            out.append(F.col(f"__known{i}").alias(look.known))
+    passed = folded.withColumns(seen)
+    border = passed.groupBy(*by, "__r").agg(*closing).select(*by, "__r", *carried)
+    return passed.filter("__asks").join(border, [*by, "__r"], "left").select(*out)
+
+
+def nearby(
+    moments: DataFrame, facts: DataFrame, by: Sequence[str], on: str, facts_on: str, cols: Sequence[str],
+    *, before: str | None = "before", after: str | None = None, n_after: int = 3, range_of: RangeFn | None = None,
+) -> DataFrame:
+    """Lookup table: per distinct key and moment the newest fact at or before it, and the n-th
+    fact after it (the last one if fewer follow)."""
+    return merged(moments, by, on, [Look(facts, facts_on, cols, before, after, n_after)], range_of)
 
 
 def asof_within(
@@ -326,7 +356,7 @@ def asof(
     if not forward:
         table = nearby(left, right, by, left_on, right_on, cols, before=name, range_of=range_of)
         return left.join(table, [*by, left_on], "left").select(*left.columns, name)
-    range_of = range_of or default_range(left, left_on, right, right_on)
+    range_of = range_of or default_range(left, left_on, (right, right_on))
     folded = _folded(left, right, by, left_on, right_on, cols, range_of)
     back = W.partitionBy(*by, "__r").orderBy(F.desc("__t")).rowsBetween(W.unboundedPreceding, 0)
     seen = folded.withColumn("__m", F.last("__v", True).over(back))

@@ -160,6 +160,44 @@ def test_statement_tiers_at_their_limits(spark):
     }
 
 
+def test_calls_pass_one_exchange_on_ticker_and_date(spark):
+    calls = spark.createDataFrame([("a", days(9), "long text")], "ticker string, date date, text string")
+    stm = spark.createDataFrame([("a", days(1), 1.0)], "ticker string, date date, v double")
+    bars = spark.createDataFrame([("a", days(n), float(n)) for n in (8, 9, 12)], "ticker string, date date, close double")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        matched = al.match_all(calls, stm, bars)
+        plan = spark._jvm.PythonSQLUtils.explainString(matched._jdf.queryExecution(), "formatted")
+        assert [(x.outcome, x.match_days, x.text) for x in matched.collect()] == [("aligned", 8, "long text")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    nodes = plan.split("\n\n")
+    carrying = [n for n in nodes if ") Exchange" in n and "text#" in n]
+    assert len(carrying) == 1 and "hashpartitioning(ticker#" in carrying[0] and ", date#" in carrying[0].split("Arguments:")[1]
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_merged_looks_agree_with_brute_force(spark):
+    """Two fact tables on one key, moments and facts repeated, a hot key over many ranges, and keys on one side alone."""
+    rng = np.random.default_rng(11)
+    draw = lambda n, keys: [(str(rng.choice(keys)), days(int(d)), float(v)) for d, v in zip(rng.integers(0, 900, n), rng.integers(0, 9, n))]
+    asks, one, two = draw(120, ["a", "a", "b", "x"]), draw(150, ["a", "a", "b", "c"]), draw(200, ["a", "b", "x"])
+    frame = lambda rows: spark.createDataFrame(rows + [("a", None, 1.0), (None, days(3), 1.0)], "k string, t date, v double")
+    for width in (30, 366, 5000):
+        table = od.merged(frame(asks), ["k"], "t", [
+            od.Look(frame(one), "t", ["v"], before="m", known="has"), od.Look(frame(two), "t", ["v"], before="b", after="f", n=2),
+        ], od.calendar_range(width))
+        got = {(x.k, x.t): x for x in table.collect() if x.k is not None}
+        assert len(got) == len({(k, t) for k, t, _ in asks})
+        tops = lambda rows, k: sorted({t: max(v for kk, tt, v in rows if (kk, tt) == (k, t)) for kk, t, _ in rows if kk == k}.items())
+        for (k, t), x in got.items():
+            past = [p for p in tops(one, k) if p[0] <= t]
+            assert (tuple(x.m) if x.m else None) == (past[-1] if past else None) and x.has == any(kk == k for kk, _, _ in one)
+            past, later = [p for p in tops(two, k) if p[0] <= t], [p for p in tops(two, k) if p[0] > t][:2]
+            assert (tuple(x.b) if x.b else None, tuple(x.f) if x.f else None) == (past[-1] if past else None, later[-1] if later else None)
+
+
 def test_price_window_edges(spark):
     bars = [("a", days(n), float(n)) for n in (10, 11, 14, 15, 16)]
     p = spark.createDataFrame(bars, "k string, d date, close double")

@@ -1,7 +1,7 @@
 """Packing token sequences: first-fit decreasing over a tournament tree, in randomised groups.
 
 A document longer than a sequence is cut into full sequences and a rest; each id lies in exactly one
-piece. Pieces are dealt to groups by hash, so that every group is a fair sample of all lengths, and
+piece. Pieces are dealt to groups by a hash of their place in the written table, so that every group is a fair sample of all lengths, and
 each group is packed by itself: pieces in falling length go to the
 first open sequence with room. A tournament tree whose leaves are the room left in each sequence
 finds that one in logarithmic time. The number of groups follows from the number of pieces.
@@ -165,11 +165,12 @@ def first_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, seed: int = 7) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces with ``doc_id``, ``start``, ``length``, ``ids_crc32``.
 
-    Sequence ids are unique over all groups: group in the high half, sequence in the low one.
+    Sequence ids are unique over all groups: group in the high half, sequence in the low one. ``pieces`` is a written
+    table: rows are dealt by their place in it, so that equal rows, however many, spread over all groups too.
     """
     groups = max(1, -(-pieces.count() // group_pieces))
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.lit(seed)), F.lit(groups)))
+    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)), F.lit(groups)))
 
     def fill(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["length", "ids_crc32", "doc_id", "start"], ascending=[False, True, True, True], kind="stable")

@@ -156,16 +156,19 @@ def in_blocks(vectors: DataFrame, pivots: np.ndarray, rows: int = BLOCK_ROWS) ->
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            cells = []
-            for v in batch["v"]:
-                known = dims.get(len(v))
-                cells.append(-1 if known is None or not len(v) else int(((known - np.asarray(v, float)) ** 2).sum(1).argmin()))
-            yield batch.assign(dim=[len(v) for v in batch["v"]], cell=cells)
+            dim = batch["v"].map(len).to_numpy()
+            cell = np.full(len(batch), -1)
+            for d, known in dims.items():
+                rows = np.flatnonzero(dim == d)
+                if d and len(rows):
+                    v = np.stack(batch["v"].iloc[rows].to_list()).astype(float)
+                    cell[rows] = ((known * known).sum(1) - 2 * (v @ known.T)).argmin(1)
+            yield batch.assign(dim=dim, cell=cell)
 
     celled = materialize(vectors.mapInPandas(nearest, "vec_id bigint, v array<bigint>, dim int, cell int"), "cells")
     sizes = celled.groupBy("dim", "cell").agg(F.ceil(F.count("*") / rows).alias("parts"))
     part = F.pmod(F.xxhash64("vec_id"), F.col("parts"))
-    return celled.join(F.broadcast(sizes), ["dim", "cell"]).withColumn("block", F.xxhash64("dim", "cell", part)).drop("parts")
+    return celled.join(sizes, ["dim", "cell"]).withColumn("block", F.xxhash64("dim", "cell", part)).drop("parts")
 
 
 def summaries(blocks: DataFrame) -> DataFrame:
@@ -174,7 +177,7 @@ def summaries(blocks: DataFrame) -> DataFrame:
     means = at.groupBy("dim", "block", "i").agg(F.avg("x").alias("x")).groupBy("dim", "block").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("mean"))
     gap = F.aggregate(F.zip_with("v", "mean", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    return blocks.join(F.broadcast(means), ["dim", "block"]).groupBy("dim", "block").agg(
+    return blocks.join(means, ["dim", "block"]).groupBy("dim", "block").agg(
         F.first("mean").alias("mean"), F.sqrt(F.max(gap)).alias("radius"), F.count("*").alias("n"))
 
 

@@ -179,12 +179,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, bucke
     """Learn from at most ``rows`` labelled documents; ``labels`` holds ``doc_id`` and ``toxic``.
 
     Tasks count and pick features; the driver gets a number per bucket and the telling buckets of
-    each chosen row. Texts are learnt whole: nobody says which passage of a toxic text is the toxic one.
+    each chosen row. A repeated id is learnt once, by its largest text, so that the bound holds for documents too. Texts are learnt whole: nobody says which passage of a toxic text is the toxic one.
     """
     chosen = labels.filter("toxic IS NOT NULL").select("doc_id", F.col("toxic").cast("double").alias("__label"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "__label").limit(rows)
+    chosen = chosen.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "__label").limit(rows)
     # at most ``rows`` pairs of numbers: small enough to broadcast whatever the corpus
-    sample = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").repartition(24, "doc_id"), "labelled")
+    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    one = labelled.groupBy("doc_id", "__label").agg(F.max("text").alias("text"))
+    sample = materialize(one.repartition(24, "doc_id"), "labelled")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         positive, total = np.zeros(buckets), np.zeros(buckets)

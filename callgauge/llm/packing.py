@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -49,6 +50,21 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return os.fspath(public_tokenizers.path(name))
 
 
+class Known(dict):
+    """A table that works out what it lacks; it starts anew when full, and does not keep long keys."""
+
+    def __init__(self, find: Callable[[str], bytes]):
+        self.find = find
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.find(key)
+        if len(key) <= _LONGEST_KEPT:
+            if len(self) >= _KEPT:
+                self.clear()
+            self[key] = found
+        return found
+
+
 class WordTokenizer:
     """Ids of whole texts by a tokenizer that never joins text across white space.
 
@@ -66,36 +82,25 @@ class WordTokenizer:
         #: Texts that hold one of these are encoded whole: the vocabulary gives them ids of their own, whatever is around them.
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
-        self.parts: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
+        self.parts = Known(self.part)
+        self.words = Known(self.word)
 
     def word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            spelled = word if word.isascii() else "".join(map(_BYTE_CHARS.__getitem__, word.encode()))
-            found = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
-            if len(word) <= _LONGEST_KEPT:
-                self.words[word] = found
-        return found
+        spelled = word if word.isascii() else "".join(map(_BYTE_CHARS.__getitem__, word.encode()))
+        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
     def part(self, part: str) -> bytes:
+        if not part:
+            return b""
         if _LATIN.fullmatch(part):
-            return b"".join(map(self.word, _WORDS.findall(part.lower())))
-        return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+            return b"".join(map(self.words.__getitem__, _WORDS.findall(part.lower())))
+        return array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
-        if len(self.parts) > _KEPT or len(self.words) > _KEPT:
-            self.parts, self.words = {"": b""}, {}
         if any(token in text for token in self.added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         parts = text.replace("\n", " ").split(" ")
-        known = self.parts
-        try:
-            return np.frombuffer(b"".join(map(known.__getitem__, parts)), "<u4")
-        except KeyError:
-            here = {p: self.part(p) for p in set(parts) if p not in known}
-        known.update((p, ids) for p, ids in here.items() if len(p) <= _LONGEST_KEPT)
-        return np.frombuffer(b"".join([known[p] if p in known else here[p] for p in parts]), "<u4")
+        return np.frombuffer(b"".join(map(self.parts.__getitem__, parts)), np.uint32)
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from callgauge.functions import fixed
 from callgauge.functions.numeric import clip, finite, numeric_columns, ratio
 from callgauge.operators.ordering import fill_forward
-from callgauge.operators.quantiles import exact_quantiles, medians
+from callgauge.operators.quantiles import exact_quantiles, interpolated, medians, order_statistics
 from callgauge.session import materialize
 
 # ---------------------------------------------------------------- statements
@@ -81,13 +81,21 @@ def scaler_parameters(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def normalize_financials(df: DataFrame, by: str = "Ticker", order: str = "Date") -> DataFrame:
     """Ratios, filling, winsorizing, robust scaling, in this order.
 
-    The filled table is written as a stage, so that the quantiles of the later steps do not run the
-    windows of the forward fill again.
+    Bounds and quartiles are found together: winsorizing keeps the order of the values, so the quartiles after it
+    lie between the clipped neighbours of the ranks before it.
     """
     with_ratios = financial_ratios(df)
     cols = [c for c in numeric_columns(with_ratios) if c not in (by, order)]
-    filled = materialize(fill_missing(with_ratios, cols, by, order), "filled")
-    return robust_scale(winsorize(filled, cols), cols)
+    filled = fill_missing(with_ratios, cols, by, order)
+    found = order_statistics(filled, cols, [0.01, 0.25, 0.5, 0.75, 0.99])
+
+    def scaled(c: str) -> Column:
+        low, *quartiles, high = found[c]
+        low, high = interpolated(low), interpolated(high)
+        a, m, b = (interpolated((min(max(x, low), high), min(max(y, low), high), f)) for x, y, f in quartiles)
+        return (clip(F.col(c), low, high) - F.lit(m)) / F.lit((b - a) or 1.0)
+
+    return filled.withColumns({c: scaled(c) for c in cols if found[c][0] is not None})
 
 
 # ---------------------------------------------------------------- train / test preparation

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from callgauge.functions import fixed
 from callgauge.functions.numeric import clip, finite, numeric_columns, ratio
+from callgauge.operators.aggregates import zscore_outliers
 from callgauge.operators.ordering import fill_forward
 from callgauge.operators.quantiles import exact_quantiles, interpolated, medians, order_statistics
 from callgauge.session import materialize
@@ -78,15 +79,25 @@ def scaler_parameters(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "column string, center double, scale double")
 
 
+def _filled_statements(df: DataFrame, by: str, order: str) -> tuple[DataFrame, list[str]]:
+    with_ratios = financial_ratios(df)
+    cols = [c for c in numeric_columns(with_ratios) if c not in (by, order)]
+    return fill_missing(with_ratios, cols, by, order), cols
+
+
+def normalizing_outliers(df: DataFrame, by: str = "Ticker", order: str = "Date", threshold: float = 3.0) -> DataFrame:
+    """(column, outliers): values of the filled statements that normalising finds far from the mean, before it clips them."""
+    filled, cols = _filled_statements(df, by, order)
+    return zscore_outliers(filled, cols, threshold)
+
+
 def normalize_financials(df: DataFrame, by: str = "Ticker", order: str = "Date") -> DataFrame:
     """Ratios, filling, winsorizing, robust scaling, in this order.
 
     Bounds and quartiles are found together: winsorizing keeps the order of the values, so the quartiles after it
     lie between the clipped neighbours of the ranks before it.
     """
-    with_ratios = financial_ratios(df)
-    cols = [c for c in numeric_columns(with_ratios) if c not in (by, order)]
-    filled = fill_missing(with_ratios, cols, by, order)
+    filled, cols = _filled_statements(df, by, order)
     found = order_statistics(filled, cols, [0.01, 0.25, 0.5, 0.75, 0.99])
 
     def scaled(c: str) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from callgauge.functions import fixed
 from callgauge.operators import features as ft, information as inf, scoring as sc
 from callgauge.plans.catalog.alignment import day, r
 from callgauge.plans.registry import query
@@ -91,19 +92,41 @@ def scaler_parameters(t):
     return ft.scaler_parameters(t.lineitem, ["l_extendedprice"]).select("column", r("center", 4), r("scale", 4))
 
 
+_STATEMENTS = ["Total_Revenue", "Net_Income", "Total_Debt", "Tax_Provision", "Total_Assets", "Current_Assets", "Current_Liabilities", "Total_Equity"]
+_NORMALIZED = [*_STATEMENTS, *fixed.STATEMENT_RATIOS]
+_all = lambda expr: ", ".join(f"{expr.format(c=c)} AS {c}" for c in _NORMALIZED)
+_ALL_FILLED = f"""raw AS (SELECT *, {", ".join(f"CASE WHEN {d} = 0 THEN 0 ELSE {n} / {d} END AS {c}" for c, (n, d) in fixed.STATEMENT_RATIOS.items())} FROM v_gappy),
+fwd AS (SELECT ticker, date, {_all("last_value({c} IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date)")} FROM raw),
+mid AS (SELECT {_all("quantile_cont({c}, 0.5)")} FROM fwd),
+filled AS (SELECT fwd.ticker, fwd.date, {_all("coalesce(fwd.{c}, mid.{c}, 0)")} FROM fwd, mid)"""
+
+
 @query(
     "normalize_financials",
-    f"""WITH {_FILLED.strip()},
-q AS (SELECT quantile_cont(Net_Income, 0.01) AS lo, quantile_cont(Net_Income, 0.99) AS hi FROM g),
-c AS (SELECT ticker, date, greatest(least(Net_Income, hi), lo) AS x FROM g, q),
-s AS (SELECT quantile_cont(x, 0.25) AS a, quantile_cont(x, 0.5) AS m, quantile_cont(x, 0.75) AS b FROM c)
-SELECT ticker, strftime(date, '%Y-%m-%d') AS date, round((x - m) / (b - a), 6) AS Net_Income FROM c, s""",
+    f"""WITH {_ALL_FILLED},
+lo AS (SELECT {_all("quantile_cont({c}, 0.01)")} FROM filled), hi AS (SELECT {_all("quantile_cont({c}, 0.99)")} FROM filled),
+cut AS (SELECT filled.ticker, filled.date, {_all("greatest(least(filled.{c}, hi.{c}), lo.{c})")} FROM filled, lo, hi),
+m AS (SELECT {_all("quantile_cont({c}, 0.5)")} FROM cut),
+w AS (SELECT {_all("coalesce(nullif(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25), 0), 1)")} FROM cut)
+SELECT cut.ticker, strftime(cut.date, '%Y-%m-%d') AS date, {", ".join(f"round((cut.{c} - m.{c}) / w.{c}, {6 if c == 'Net_Income' else 4}) AS {c}" for c in _NORMALIZED)}
+FROM cut, m, w""",
 )
 def normalize_financials(t):
-    """Ratios, filling, winsorizing and scaling of the whole statement table."""
-    held = t.gappy.persist()
-    out = ft.normalize_financials(held, "ticker", "date")
-    return out.select("ticker", day("date"), r("Net_Income"))
+    """Ratios, filling, winsorizing and scaling of the whole statement table, all columns."""
+    out = ft.normalize_financials(t.gappy, "ticker", "date")
+    return out.select("ticker", day("date"), *[r(c, 6 if c == "Net_Income" else 4) for c in _NORMALIZED])
+
+
+@query(
+    "normalizing_outliers",
+    f"WITH {_ALL_FILLED} " + " UNION ALL ".join(
+        f"SELECT '{c}' AS column, count(*) FILTER (WHERE abs((filled.{c} - s.m) / s.d) > 3) AS outliers FROM filled, (SELECT avg({c}) AS m, stddev_samp({c}) AS d FROM filled) s"
+        for c in _NORMALIZED
+    ),
+)
+def normalizing_outliers(t):
+    """The outliers that normalising counts between filling and clipping."""
+    return ft.normalizing_outliers(t.gappy, "ticker", "date")
 
 
 @query(

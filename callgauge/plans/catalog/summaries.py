@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from callgauge.operators import aggregates as ag, features as ft, projections as pj, quality as ql, sets as st
 from callgauge.plans.catalog.alignment import day, r
 from callgauge.plans.registry import query
+from callgauge.session import new_path
+from callgauge.sources.snapshots import SnapshotTable, store_new_bars
 
 
 @query(
@@ -379,6 +381,24 @@ def append_new_bars(t):
     return out.select("ticker", day("date"), "close", F.col("dividends").cast("long").alias("dividends"))
 
 
+@query(
+    "snapshot_bars",
+    """
+SELECT ticker, strftime(date, '%Y-%m-%d') AS date, close, dividends FROM (
+    SELECT ticker, date, close, CAST(1 AS BIGINT) AS dividends FROM v_bars WHERE date <= DATE '2024-01-20' UNION ALL
+    SELECT ticker, date, high, 0 FROM v_bars WHERE date > (SELECT max(date) FROM v_bars WHERE date <= DATE '2024-01-20'))""",
+)
+def snapshot_bars(t):
+    """As append_new_bars, but each batch is a version of a stored table; the second is started twice."""
+    table = SnapshotTable(t.spark, new_path(t.spark, "bars"))
+    columns = ["ticker", "date", "close", "dividends"]
+    stored = t.bars.filter("date <= '2024-01-20'").select("ticker", "date", "close", F.lit(1).alias("dividends"))
+    fresh = t.bars.select("ticker", "date", F.col("high").alias("close"))
+    for batch, bars in (("stored", stored), ("fresh", fresh), ("fresh", fresh)):
+        store_new_bars(table, bars, ["ticker", "date"], "date", columns, batch)
+    return table.read().select("ticker", day("date"), "close", F.col("dividends").cast("long").alias("dividends"))
+
+
 # ---------------------------------------------------------------- gates and reports
 
 

@@ -11,7 +11,7 @@ from callgauge.operators import features as ft, joins as jn, projections as pj,
 from callgauge.plans.catalog.alignment import day, r
 from callgauge.plans.registry import query
 from callgauge.session import new_path
-from callgauge.sources import readers, shaping, sinks
+from callgauge.sources import readers, shaping, sinks, snapshots
 
 
 @query(
@@ -116,6 +116,21 @@ def incremental_score(t):
     return sc.incremental_score(t.documents, done, ["doc_id"], score)
 
 
+@query(
+    "snapshot_scores",
+    """
+SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN 'labelled' ELSE 'rest' END AS batch, d.n_chars AS score, 2 AS versions
+FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)""",
+)
+def snapshot_scores(t):
+    """Labelled documents come first, then all; the second run is started twice."""
+    table = snapshots.SnapshotTable(t.spark, new_path(t.spark, "scores"))
+    labelled = t.documents.join(t.labels.select("doc_id"), "doc_id", "left_semi")
+    for batch, rows in (("labelled", labelled), ("rest", t.documents), ("rest", t.documents)):
+        snapshots.score_new(table, rows, ["doc_id"], lambda d, b=batch: d.select("doc_id", F.lit(b).alias("batch"), F.col("n_chars").alias("score")), batch)
+    return table.read().withColumn("versions", F.lit(len(table.versions())))
+
+
 @query("collection_log", "SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS loaded FROM customer")
 def collection_log(t):
     return shaping.collection_log(t.customer, t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey")

@@ -9,6 +9,7 @@ from callgauge.operators import aggregates as ag, attribution as at, boosting as
 from callgauge.plans.catalog.alignment import r
 from callgauge.plans.registry import query
 from callgauge.plans.views import LEXICON_FEATURES, TEXT_FEATURES
+from callgauge.session import materialize
 
 SETS = {"text": TEXT_FEATURES, "lexicon": LEXICON_FEATURES, "combined": TEXT_FEATURES + LEXICON_FEATURES}
 TREES = 100
@@ -221,7 +222,7 @@ SELECT round(sum(CASE WHEN p.s > n.s THEN 1.0 WHEN p.s = n.s THEN 0.5 ELSE 0 END
 FROM (SELECT avg_word_length AS s FROM v_scored WHERE label_binary = 1) p, (SELECT avg_word_length AS s FROM v_scored WHERE label_binary = 0) n""",
 )
 def roc_auc(t):
-    return ev.roc_auc(t.scored, "avg_word_length", "label_binary").select(r("roc_auc"))
+    return ev.roc_auc(materialize(t.scored.select("avg_word_length", "label_binary"), "scores"), "avg_word_length", "label_binary").select(r("roc_auc"))
 
 
 @query(

@@ -201,7 +201,7 @@ def model_feature_sets(t):
 )
 def leak_free_numeric(t):
     """Without leaking, text and constant columns only measures are left."""
-    d = t.targets.withColumn("same_everywhere", F.lit(1.0)).withColumn("nothing", F.lit(None).cast("double"))
+    d = t.stored_targets.withColumn("same_everywhere", F.lit(1.0)).withColumn("nothing", F.lit(None).cast("double"))
     numeric, _ = pj.numeric_only(pj.drop_leak_patterns(pj.drop_leak_columns(d)))
     left = ft.drop_constant_columns(numeric)
     assert not {"same_everywhere", "nothing", "abnormal_return"} & set(left.columns)

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark import inheritable_thread_target
@@ -22,11 +23,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from callgauge.operators.evaluation import roc_auc
 from callgauge.operators.features import constant_columns, impute_train_median, standard_scale
 from callgauge.operators.ordering import chronological_index
+from callgauge.session import materialize
 
 SEED = 42
 #: Fits that run at a time, and training rows a task of a fit works on.
 FITS_AT_ONCE = 8
-TASK_ROWS = 200_000
+TASK_ROWS = 50_000
 
 # ---------------------------------------------------------------- splits
 
@@ -81,14 +83,20 @@ def class_counts(df: DataFrame, label: str) -> dict[int, int]:
 
 def balanced_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
     """n / (classes * n_class) per row."""
-    counts = class_counts(df, label)
+    return _balanced(df, label, name, class_counts(df, label))
+
+
+def _balanced(df: DataFrame, label: str, name: str, counts: Mapping[int, int]) -> DataFrame:
     n, k = sum(counts.values()), len(counts)
     return df.withColumn(name, reduce(lambda acc, c: acc.when(F.col(label) == c[0], n / (k * c[1])), counts.items(), F.when(F.lit(False), 1.0)))
 
 
 def positive_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
     """neg / pos for positives, 1 for negatives."""
-    counts = class_counts(df, label)
+    return _positive(df, label, name, class_counts(df, label))
+
+
+def _positive(df: DataFrame, label: str, name: str, counts: Mapping[int, int]) -> DataFrame:
     ratio = counts.get(0, 0) / counts[1] if counts.get(1) else 1.0
     return df.withColumn(name, F.when(F.col(label) == 1, ratio).otherwise(1.0))
 
@@ -108,21 +116,47 @@ def positive_class_weights(df: DataFrame, label: str) -> DataFrame:
 # ---------------------------------------------------------------- fits
 
 
+def few_tasks(df: DataFrame, n: int) -> DataFrame:
+    """The ``n`` rows in as few tasks as their number asks for, never in more than before.
+
+    A fit passes over its rows hundreds of times in short jobs; each costs more for every task than a small task works.
+    """
+    return df.coalesce(max(1, math.ceil(n / TASK_ROWS)))
+
+
+@contextmanager
+def fit_rows(
+    df: DataFrame, label: str, features: str, weigh: Callable[[DataFrame, str, str, Mapping[int, int]], DataFrame] | None = None,
+) -> Iterator[DataFrame]:
+    """Label, features and weight ``__w`` (1 without ``weigh``), held in few tasks while they are fitted."""
+    rows = df.select(label, features)
+    if weigh is None:
+        n, rows = rows.count(), rows.withColumn("__w", F.lit(1.0))
+    else:
+        counts = class_counts(rows, label)
+        n, rows = sum(counts.values()), weigh(rows, label, "__w", counts)
+    held = few_tasks(rows, n).persist()
+    try:
+        yield held
+    finally:
+        held.unpersist()
+
+
 def fit_logistic(df: DataFrame, label: str, features: str = "features", c: float = 0.1, balanced: bool = True, max_iter: int = 1000):
     """Ridge-penalised logistic model; strength 1/C on the summed loss, so 1/(C n) on Spark's mean loss."""
-    data = balanced_weights(df, label, "__w") if balanced else df.withColumn("__w", F.lit(1.0))
-    n = data.agg(F.sum("__w")).first()[0]
-    return LogisticRegression(
-        labelCol=label, featuresCol=features, weightCol="__w", regParam=1.0 / (c * n), elasticNetParam=0.0,
-        standardization=False, maxIter=max_iter, tol=1e-6,
-    ).fit(data)
+    with fit_rows(df, label, features, _balanced if balanced else None) as data:
+        n = data.agg(F.sum("__w")).first()[0]
+        return LogisticRegression(
+            labelCol=label, featuresCol=features, weightCol="__w", regParam=1.0 / (c * n), elasticNetParam=0.0,
+            standardization=False, maxIter=max_iter, tol=1e-6,
+        ).fit(data)
 
 
 def fit_forest(df: DataFrame, label: str, features: str = "features", trees: int = 100, depth: int = 4, balanced: bool = True):
-    data = balanced_weights(df, label, "__w") if balanced else df.withColumn("__w", F.lit(1.0))
-    return RandomForestClassifier(
-        labelCol=label, featuresCol=features, weightCol="__w", numTrees=trees, maxDepth=depth, seed=SEED,
-    ).fit(data)
+    with fit_rows(df, label, features, _balanced if balanced else None) as data:
+        return RandomForestClassifier(
+            labelCol=label, featuresCol=features, weightCol="__w", numTrees=trees, maxDepth=depth, seed=SEED,
+        ).fit(data)
 
 
 def fit_ridge(df: DataFrame, label: str, features: str = "features", alpha: float = 1.0):
@@ -139,22 +173,23 @@ def fit_boosted_classifier(
     df: DataFrame, label: str, features: str = "features", rounds: int = 200, depth: int = 4, rate: float = 0.05,
     subsample: float = 0.8, columns: float = 0.8, weighted: bool = True, min_rows: int = 1, min_gain: float = 0.0,
 ):
-    data = positive_weights(df, label, "__w") if weighted else df.withColumn("__w", F.lit(1.0))
-    return GBTClassifier(
-        labelCol=label, featuresCol=features, weightCol="__w", maxIter=rounds, maxDepth=depth, stepSize=rate,
-        subsamplingRate=subsample, featureSubsetStrategy=str(columns), minInstancesPerNode=min_rows, minInfoGain=min_gain,
-        seed=SEED,
-    ).fit(data)
+    with fit_rows(df, label, features, _positive if weighted else None) as data:
+        return GBTClassifier(
+            labelCol=label, featuresCol=features, weightCol="__w", maxIter=rounds, maxDepth=depth, stepSize=rate,
+            subsamplingRate=subsample, featureSubsetStrategy=str(columns), minInstancesPerNode=min_rows, minInfoGain=min_gain,
+            seed=SEED,
+        ).fit(data)
 
 
 def fit_boosted_regressor(
     df: DataFrame, label: str, features: str = "features", rounds: int = 200, depth: int = 4, rate: float = 0.05,
     subsample: float = 0.8, columns: float = 0.8,
 ):
-    return GBTRegressor(
-        labelCol=label, featuresCol=features, maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=subsample,
-        featureSubsetStrategy=str(columns), seed=SEED,
-    ).fit(df)
+    with fit_rows(df, label, features) as data:
+        return GBTRegressor(
+            labelCol=label, featuresCol=features, maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=subsample,
+            featureSubsetStrategy=str(columns), seed=SEED,
+        ).fit(data)
 
 
 def scored(model, df: DataFrame, name: str = "score") -> DataFrame:
@@ -184,23 +219,35 @@ def feature_set_ablation(
     train: DataFrame, test: DataFrame, sets: Mapping[str, Sequence[str]], models: Mapping[str, FitFn], label: str = "label_binary",
     keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Scores of every model on every feature set: rows (feature_set, model, *keep, label, score)."""
-    parts = []
-    for set_name, cols in sets.items():
-        if not cols:
-            continue
+    """Scores of every model on every feature set: rows (feature_set, model, *keep, label, score), fitted side by side."""
+    spark, n = train.sparkSession, train.count()
+
+    def ready(set_name: str, cols: Sequence[str]) -> tuple[str, DataFrame, DataFrame]:
         tr, te, used = prepare(train, test, cols)
-        tr, te = assemble(tr, used, "__x").select(label, "__x").persist(), assemble(te, used, "__x")
-        for name, fit in models.items():
-            out = scored(fit(tr, label, "__x"), te)
-            parts.append(out.select(F.lit(set_name).alias("feature_set"), F.lit(name).alias("model"), *keep, F.col(label).alias("label"), "score"))
+        return set_name, held_rows(assemble(tr, used, "__x").select(label, "__x"), n), assemble(te, used, "__x")
+
+    def one(name: str, fit: FitFn, set_name: str, tr: DataFrame, te: DataFrame) -> DataFrame:
+        out = scored(fit(tr, label, "__x"), te)
+        return out.select(F.lit(set_name).alias("feature_set"), F.lit(name).alias("model"), *keep, F.col(label).alias("label"), "score")
+
+    prepared = side_by_side(spark, [lambda s=s: ready(*s) for s in sets.items() if s[1]])
+    # the boosted models take longest: those of all sets come first
+    order = sorted(((m, d) for d in prepared for m in models.items()), key=lambda a: [*models].index(a[0][0]), reverse=True)
+    parts = side_by_side(spark, [lambda a=(*m, *d): one(*a) for m, d in order])
+    out = score_table(parts)
+    for _, tr, _ in prepared:
         tr.unpersist()
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    return out
+
+
+def score_table(parts: Sequence[DataFrame]) -> DataFrame:
+    """All scored rows, written once: metrics pass over them several times, and a pass would ask every model again."""
+    return materialize(reduce(lambda a, b: a.unionByName(b), parts), "scores")
 
 
 def held_rows(df: DataFrame, n: int) -> DataFrame:
     """Training rows held for many passes, in as few tasks as their number asks for."""
-    return df.coalesce(max(1, math.ceil(n / TASK_ROWS))).persist()
+    return few_tasks(df, n).persist()
 
 
 def side_by_side(spark: SparkSession, jobs: Sequence[Callable[[], object]], width: int = FITS_AT_ONCE) -> list:
@@ -247,10 +294,10 @@ def fold_fits(indexed: DataFrame, folds: Sequence[tuple[int, DataFrame, DataFram
         return out.select(F.lit(name).alias("fit"), F.lit(fold).alias("fold"), F.col(idx).alias("idx"), F.col(label).alias("label"), "score")
 
     jobs = [lambda a=(*f, *d): one(*a) for f in fits for d in folds]
-    parts = side_by_side(indexed.sparkSession, jobs)
+    out = score_table(side_by_side(indexed.sparkSession, jobs))
     for _, train, _ in folds:
         train.unpersist()
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    return out
 
 
 def cross_validate(
@@ -272,13 +319,14 @@ def time_series_cv(
     """Fold AUC of every model on every feature set: rows (feature_set, model, fold, auc)."""
     indexed = chronological_index(df, order, ties).persist()
     n = indexed.count()
-    parts = []
-    for set_name, cols in sets.items():
-        if cols:
-            oof = fold_fits(indexed, prepared_folds(indexed, n, cols, k, label), list(models.items()), label)
-            parts.append(oof.select(F.lit(set_name).alias("feature_set"), F.col("fit").alias("model"), "fold", "label", "score"))
-    both = reduce(lambda a, b: a.unionByName(b), parts)
-    return fold_scores(both, ["feature_set", "model"])
+    used = [(set_name, cols) for set_name, cols in sets.items() if cols]
+
+    def one(set_name: str, cols: Sequence[str]) -> DataFrame:
+        oof = fold_fits(indexed, prepared_folds(indexed, n, cols, k, label), list(reversed(models.items())), label)
+        return oof.select(F.lit(set_name).alias("feature_set"), F.col("fit").alias("model"), "fold", "label", "score")
+
+    parts = side_by_side(df.sparkSession, [lambda s=s: one(*s) for s in used])
+    return fold_scores(reduce(lambda a, b: a.unionByName(b), parts), ["feature_set", "model"])
 
 
 def mean_auc(oof: DataFrame) -> float:
@@ -306,6 +354,7 @@ def random_search(indexed: DataFrame, n: int, cols: Sequence[str], settings: Seq
     from callgauge.operators.aggregates import fold_summary
 
     fits = [(i, lambda d, y, x, s=s: fit_boosted_classifier(d, y, x, weighted=False, **s)) for i, s in enumerate(settings)]
+    fits.sort(key=lambda f: -settings[f[0]]["rounds"] * settings[f[0]]["depth"])  # the longest first
     oof = fold_fits(indexed, prepared_folds(indexed, n, cols, k, label), fits, label)
     scores = fold_scores(oof.withColumnRenamed("fit", "setting"), ["setting"])
     out = fold_summary(scores, ["setting"])
@@ -344,6 +393,8 @@ def stack_models(
     joined = reduce(lambda a, b: a.join(b, [key, label]), [reduce(lambda a, b: a.unionByName(b), parts[:-1]) for parts in by_model])
     held = reduce(lambda a, b: a.join(b, [key, label]), [parts[-1] for parts in by_model])
     cols = [f"p{i}" for i in range(len(base))]
+    joined = materialize(joined, "out-of-fold")
+    data.unpersist()
     top = fit_logistic(assemble(joined, cols, "__p"), label, "__p", c=1.0, balanced=False)
     return scored(top, assemble(held, cols, "__p")).select(key, F.col(label).alias("label"), "score")
 
@@ -352,23 +403,27 @@ def compare_architectures(indexed: DataFrame, n: int, cols: Sequence[str], round
     """Fold AUC of boosted trees, forest and stack; (architecture, fold, auc)."""
     boosted = lambda d, y, x: fit_boosted_classifier(d, y, x, rounds, 6, 0.3, 1.0, 1.0, weighted=False)
     forest = lambda d, y, x: fit_forest(d, y, x, trees, 10, balanced=False)
-    folds = prepared_folds(indexed, n, cols, k, label)
-    alone = fold_fits(indexed, folds, [("Boosted Trees", boosted), ("Random Forest", forest)], label)
-    parts = [alone.select(F.col("fit").alias("architecture"), "fold", "label", "score")]
-    for f, end, stop in fold_bounds(n, k):
+
+    def alone() -> DataFrame:
+        out = fold_fits(indexed, prepared_folds(indexed, n, cols, k, label), [("Boosted Trees", boosted), ("Random Forest", forest)], label)
+        return out.select(F.col("fit").alias("architecture"), "fold", "label", "score")
+
+    def stacked(f: int, end: int, stop: int) -> DataFrame:
         train, test, used = prepare(indexed.filter(F.col("idx") < end), indexed.filter((F.col("idx") >= end) & (F.col("idx") < stop)), cols, False)
         out = stack_models(assemble(train, used, "__x"), assemble(test, used, "__x"), "__x", label, "idx", {"rf": forest, "gbt": boosted}, stack_folds, end)
-        parts.append(out.select(F.lit("Stacking").alias("architecture"), F.lit(f).alias("fold"), "label", "score"))
+        return score_table([out.select(F.lit("Stacking").alias("architecture"), F.lit(f).alias("fold"), "label", "score")])
+
+    parts = side_by_side(indexed.sparkSession, [alone, *[lambda b=b: stacked(*b) for b in fold_bounds(n, k)]])
     return fold_scores(reduce(lambda a, b: a.unionByName(b), parts), ["architecture"])
 
 
 def validate_new_features(indexed: DataFrame, n: int, base: Sequence[str], new: Sequence[str], rounds: int = 100, k: int = 3, label: str = "label_binary") -> DataFrame:
     """Mean AUC without and with the new features, and the improvement."""
     fit = lambda d, y, x: fit_boosted_classifier(d, y, x, rounds, 6, 0.1, 1.0, 1.0, weighted=False)
-    parts = [
-        cross_validate(indexed, n, cols, fit, k, label).withColumn("kind", F.lit(kind))
+    parts = side_by_side(indexed.sparkSession, [
+        lambda kind=kind, cols=cols: cross_validate(indexed, n, cols, fit, k, label).withColumn("kind", F.lit(kind))
         for kind, cols in (("baseline", list(base)), ("enhanced", [*base, *new]))
-    ]
+    ])
     scores = fold_scores(reduce(lambda a, b: a.unionByName(b), parts), ["kind"])
     out = scores.agg(
         F.avg(F.when(F.col("kind") == "baseline", F.col("auc"))).alias("baseline_auc"),

@@ -61,22 +61,28 @@ def segment(
     With a question part: what stands before it, and what follows analyst intros in it.
     Without one: speaker lines, rescued by question sentences where they give little.
     """
-    at = F.col("__at")
-    staged = df.withColumn("__at", tx.qa_start(F.col(col), markers))
-    staged = staged.withColumn("__parts", F.when(at.isNull(), tx.speaker_parts(F.col(col), management, analyst)))
-    short = at.isNull() & (tx.word_count(F.col("__parts.analyst")) < 20)
-    staged = staged.withColumn("__q", F.when(short, tx.question_sentences(F.col(col))))
-    rescued = F.coalesce(F.size("__q") >= 3, F.lit(False))
-    qa_text = F.substring(F.col(col), at, F.length(col))
+    text = F.col(col)
+
+    def role(value: Column, name: str) -> Column:
+        return value.cast("string").alias(name)
+
+    def by_questions(at: Column) -> Column:
+        whole = F.substring(text, at, F.length(text))
+        return F.struct(role(F.substring(text, F.lit(1), at - 1), "management"), role(tx.extract_analyst(whole, intros), "analyst"))
+
+    def by_speakers(parts: Column) -> Column:
+        questions = F.when(tx.word_count(parts["analyst"]) < 20, tx.question_sentences(text))
+        return tx.let(questions, lambda q: F.when(
+            F.coalesce(F.size(q) >= 3, F.lit(False)),
+            F.struct(role(tx.remove_questions(parts["management"], text), "management"), role(F.array_join(q, " "), "analyst")),
+        ).otherwise(F.struct(role(parts["management"], "management"), role(parts["analyst"], "analyst"))))
+
+    # every search runs once a row: each later step is given the value an earlier one found
+    roles = F.when(F.col("__at").isNotNull(), by_questions(F.col("__at"))).otherwise(tx.let(tx.speaker_parts(text, management, analyst), by_speakers))
+    staged = df.withColumn("__at", tx.qa_start(text, markers)).withColumn("__roles", roles)
     return staged.withColumns({
-        "management_text": F.when(at.isNotNull(), F.substring(F.col(col), F.lit(1), at - 1))
-        .when(rescued, tx.remove_questions(F.col("__parts.management"), F.col(col)))
-        .otherwise(F.col("__parts.management")),
-        "analyst_text": F.when(at.isNotNull(), tx.extract_analyst(qa_text, intros))
-        .when(rescued, F.array_join("__q", " "))
-        .otherwise(F.col("__parts.analyst")),
-        "fallback_used": at.isNull(),
-    }).drop("__at", "__parts", "__q")
+        "management_text": F.col("__roles.management"), "analyst_text": F.col("__roles.analyst"), "fallback_used": F.col("__at").isNull(),
+    }).drop("__at", "__roles")
 
 
 def segment_counts(df: DataFrame) -> DataFrame:

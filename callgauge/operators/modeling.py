@@ -83,10 +83,7 @@ def class_counts(df: DataFrame, label: str) -> dict[int, int]:
 
 def balanced_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
     """n / (classes * n_class) per row."""
-    return _balanced(df, label, name, class_counts(df, label))
-
-
-def _balanced(df: DataFrame, label: str, name: str, counts: Mapping[int, int]) -> DataFrame:
+    counts = class_counts(df, label)
     n, k = sum(counts.values()), len(counts)
     return df.withColumn(name, reduce(lambda acc, c: acc.when(F.col(label) == c[0], n / (k * c[1])), counts.items(), F.when(F.lit(False), 1.0)))
 
@@ -119,7 +116,8 @@ def positive_class_weights(df: DataFrame, label: str) -> DataFrame:
 def few_tasks(df: DataFrame, n: int) -> DataFrame:
     """The ``n`` rows in as few tasks as their number asks for, never in more than before.
 
-    A fit passes over its rows hundreds of times in short jobs; each costs more for every task than a small task works.
+    A boosted fit passes over its rows hundreds of times in short jobs; each costs more for every task than a small
+    task works. Spark draws rows by partition, so the draws follow the number of tasks.
     """
     return df.coalesce(max(1, math.ceil(n / TASK_ROWS)))
 
@@ -144,19 +142,19 @@ def fit_rows(
 
 def fit_logistic(df: DataFrame, label: str, features: str = "features", c: float = 0.1, balanced: bool = True, max_iter: int = 1000):
     """Ridge-penalised logistic model; strength 1/C on the summed loss, so 1/(C n) on Spark's mean loss."""
-    with fit_rows(df, label, features, _balanced if balanced else None) as data:
-        n = data.agg(F.sum("__w")).first()[0]
-        return LogisticRegression(
-            labelCol=label, featuresCol=features, weightCol="__w", regParam=1.0 / (c * n), elasticNetParam=0.0,
-            standardization=False, maxIter=max_iter, tol=1e-6,
-        ).fit(data)
+    data = balanced_weights(df, label, "__w") if balanced else df.withColumn("__w", F.lit(1.0))
+    n = data.agg(F.sum("__w")).first()[0]
+    return LogisticRegression(
+        labelCol=label, featuresCol=features, weightCol="__w", regParam=1.0 / (c * n), elasticNetParam=0.0,
+        standardization=False, maxIter=max_iter, tol=1e-6,
+    ).fit(data)
 
 
 def fit_forest(df: DataFrame, label: str, features: str = "features", trees: int = 100, depth: int = 4, balanced: bool = True):
-    with fit_rows(df, label, features, _balanced if balanced else None) as data:
-        return RandomForestClassifier(
-            labelCol=label, featuresCol=features, weightCol="__w", numTrees=trees, maxDepth=depth, seed=SEED,
-        ).fit(data)
+    data = balanced_weights(df, label, "__w") if balanced else df.withColumn("__w", F.lit(1.0))
+    return RandomForestClassifier(
+        labelCol=label, featuresCol=features, weightCol="__w", numTrees=trees, maxDepth=depth, seed=SEED,
+    ).fit(data)
 
 
 def fit_ridge(df: DataFrame, label: str, features: str = "features", alpha: float = 1.0):
@@ -220,11 +218,11 @@ def feature_set_ablation(
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """Scores of every model on every feature set: rows (feature_set, model, *keep, label, score), fitted side by side."""
-    spark, n = train.sparkSession, train.count()
+    spark = train.sparkSession
 
     def ready(set_name: str, cols: Sequence[str]) -> tuple[str, DataFrame, DataFrame]:
         tr, te, used = prepare(train, test, cols)
-        return set_name, held_rows(assemble(tr, used, "__x").select(label, "__x"), n), assemble(te, used, "__x")
+        return set_name, assemble(tr, used, "__x").select(label, "__x").persist(), assemble(te, used, "__x")
 
     def one(name: str, fit: FitFn, set_name: str, tr: DataFrame, te: DataFrame) -> DataFrame:
         out = scored(fit(tr, label, "__x"), te)

@@ -27,7 +27,7 @@ def _rows(spark, n=120):
 
 def test_fit_rows_are_in_as_few_tasks_as_their_number_asks_for(spark, monkeypatch):
     d = _rows(spark).repartition(12)
-    with md.fit_rows(d, "y", "features", md._balanced) as held:
+    with md.fit_rows(d, "y", "features", md._positive) as held:
         assert held.rdd.getNumPartitions() == 1 and held.columns == ["y", "features", "__w"] and held.count() == 120
     monkeypatch.setattr(md, "TASK_ROWS", 50)
     with md.fit_rows(d, "y", "features") as held:

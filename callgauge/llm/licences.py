@@ -112,6 +112,20 @@ def grams(w: Column, sizes: tuple[int, ...]) -> Column:
     return F.concat(*[of(n) for n in sizes])
 
 
+def known_grams(w: Column, vocabulary: list[str]) -> Column:
+    """Those runs of one, two and three words that can be in ``vocabulary``: all their words are in it alone too.
+
+    Most words of a text are not, and no run that has one of them is put together.
+    """
+    alone = [g for g in vocabulary if " " not in g]
+    known = lambda step: lambda i: F.get(w, i + step).isin(*alone)
+    one = F.filter(F.transform(w, lambda _, i: i), known(0))
+    two = F.filter(one, known(1))
+    three = F.filter(two, known(2))
+    run = lambda n: lambda i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(n)])
+    return F.concat(*[F.transform(at, run(n)) for n, at in enumerate((one, two, three), 1)])
+
+
 def worded(df: DataFrame, text: str = "paragraph") -> DataFrame:
     """Add ``__words``."""
     return df.withColumn("__words", words(text))
@@ -119,7 +133,7 @@ def worded(df: DataFrame, text: str = "paragraph") -> DataFrame:
 
 def featured(df: DataFrame, vocabulary: CountVectorizerModel) -> DataFrame:
     """Add the sparse vector ``__features`` of ``__words``."""
-    return vocabulary.transform(df.withColumn("__grams", grams(F.col("__words"), (1, 2, 3)))).drop("__grams")
+    return vocabulary.transform(df.withColumn("__grams", known_grams(F.col("__words"), vocabulary.vocabulary))).drop("__grams")
 
 
 def families() -> list[str]:
@@ -188,21 +202,24 @@ def telling_words(vocabulary: list[str], weights: np.ndarray, intercepts: np.nda
 
 
 def paragraphs(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    """(keep..., __row, __run, paragraph_no, __whole, paragraph): lines, and runs of several lines between lines without words."""
-    lines = docs.select(*keep, F.monotonically_increasing_id().alias("__row"), F.split("text", "\n", -1).alias("__lines"))
+    """(keep..., __run, paragraph_no, __whole, __words): lines, and runs of several lines between lines without words.
+
+    No word goes over the end of a line, so the words of a run are those of its lines: each line's words are found once.
+    """
+    lines = docs.select(*keep, F.split("text", "\n", -1).alias("__lines"))
     # the flags have a line without words before and after: flag i + 1 is that of line i
     flags = F.concat(F.array(F.lit(False)), F.transform("__lines", lambda t: t.rlike(r"[\p{L}\p{N}]")), F.array(F.lit(False)))
     lines = lines.withColumn("__flags", flags)
     edge = lambda step: F.filter(F.sequence(F.lit(1), F.size("__lines")), lambda i: F.get("__flags", i) & ~F.get("__flags", i + step))
     # a run travels with its own lines only
     runs = F.transform(F.arrays_zip(edge(-1).alias("a"), edge(1).alias("b")), lambda r: F.struct(r["a"].alias("a"), F.slice("__lines", r["a"], r["b"] - r["a"] + 1).alias("own")))
-    run = lines.select(*keep, "__row", F.explode(runs).alias("r"))
-    own = F.col("r.own")
-    parts = F.transform(own, lambda t, i: F.struct((F.col("r.a") - 1 + i).alias("no"), F.lit(False).alias("whole"), t.alias("paragraph")))
-    whole = F.array(F.struct((F.col("r.a") - 1).alias("no"), F.lit(True).alias("whole"), F.array_join(own, " ").alias("paragraph")))
-    parts = F.when(F.size(own) > 1, F.concat(parts, whole)).otherwise(parts)
-    out = run.select(*keep, "__row", F.col("r.a").alias("__run"), F.explode(parts).alias("u"))
-    return out.select(*keep, "__row", "__run", F.col("u.no").alias("paragraph_no"), F.col("u.whole").alias("__whole"), F.col("u.paragraph").alias("paragraph"))
+    run = lines.select(*keep, F.explode(runs).alias("r"))
+    # the number of the run depends on its place, so what reads the words is not moved below and does not find them anew
+    run = run.select(*keep, F.monotonically_increasing_id().alias("__run"), (F.col("r.a") - 1).alias("__first"), F.transform("r.own", words).alias("__own"))
+    parts = F.transform("__own", lambda w, i: F.struct((F.col("__first") + i).alias("no"), F.lit(False).alias("whole"), w.alias("words")))
+    whole = F.array(F.struct(F.col("__first").alias("no"), F.lit(True).alias("whole"), F.flatten("__own").alias("words")))
+    out = run.select(*keep, "__run", F.explode(F.when(F.size("__own") > 1, F.concat(parts, whole)).otherwise(parts)).alias("u"))
+    return out.select(*keep, "__run", F.col("u.no").alias("paragraph_no"), F.col("u.whole").alias("__whole"), F.col("u.words").alias("__words"))
 
 
 def held(df: DataFrame) -> DataFrame:
@@ -218,13 +235,13 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     spark = docs.sparkSession
     vocabulary, model, threshold = fit_licences(spark)
     telling = telling_words(vocabulary.vocabulary, model.coefficientMatrix.toArray(), model.interceptVector.toArray(), threshold)
-    asked = held(worded(paragraphs(docs, keep)).drop("paragraph"))
+    asked = held(paragraphs(docs, keep))
     if telling is not None:
         asked = asked.filter((F.col("__held") >= 0) & F.arrays_overlap("__words", F.array(*map(F.lit, telling))))
     p = vector_to_array("probability")
     best = F.array_max(F.slice(p, 2, len(families())))
     names = F.array(*map(F.lit, families()))
-    place = (*keep, "__row", "__run", "paragraph_no", "__whole")
+    place = (*keep, "__run", "paragraph_no", "__whole")
     judged = model.transform(featured(asked, vocabulary)).select(*place, "__words", best.alias("__p"), F.element_at(names, F.array_position(p, best).cast("int")).alias("family"))
     stated = held(judged).filter((F.col("__held") >= 0) & (F.col("__p") >= threshold)).drop("__held")
     pairs = spark.createDataFrame([(f, t) for f, texts in TEMPLATES.items() for t in texts], "family string, text string").select(
@@ -234,7 +251,7 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     share = F.array_max(F.transform("__templates", lambda t: F.size(F.array_intersect(t, F.col("__own"))) / F.greatest(F.size(t), F.lit(1))))
     found = compared.select(*place, "family", "__p", share.alias("__share"))
     # only what states a licence is shuffled: the rows of a run, which tell each other what is known of it
-    within = Window.partitionBy("__row", "__run", "family")
+    within = Window.partitionBy("__run", "family")
     sure, line = F.col("__share") >= CONFIRMED, ~F.col("__whole")
     any_of = lambda c: F.coalesce(F.max(c).over(within), F.lit(False))
     found = found.withColumns({"__line": any_of(line), "__sure_line": any_of(line & sure), "__sure_run": any_of(~line & sure)})

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from callgauge.operators.evaluation import roc_auc
 from callgauge.operators.features import constant_columns, impute_train_median, standard_scale
+from callgauge.operators.lockstep import Boosted, VectorTrees, fit_lockstep
 from callgauge.operators.ordering import chronological_index
 from callgauge.session import materialize
 
@@ -192,6 +193,8 @@ def fit_boosted_regressor(
 
 def scored(model, df: DataFrame, name: str = "score") -> DataFrame:
     """Adds the probability of the positive class, or the prediction of a regressor."""
+    if isinstance(model, VectorTrees):
+        return model.score(df, name)
     out = model.transform(df)
     value = vector_to_array("probability")[1] if "probability" in out.columns else F.col("prediction")
     extra = [c for c in ("rawPrediction", "probability", "prediction") if c in out.columns and c not in df.columns]
@@ -206,10 +209,21 @@ def validation_models(rounds: int = 200, trees: int = 100) -> dict[str, FitFn]:
     return {
         "Logistic Regression": lambda d, y, x: fit_logistic(d, y, x),
         "Random Forest": lambda d, y, x: fit_forest(d, y, x, trees, 6),
-        "Boosted Trees": lambda d, y, x: fit_boosted_classifier(d, y, x, rounds, 6, 0.1, weighted=False),
+        "Boosted Trees": Boosted(rounds, 6, 0.1),
     }
 
 
+def fit_all(spark: SparkSession, asked: Sequence[tuple[FitFn, DataFrame, str, str, str]]) -> list:
+    """Models of all (fit, rows, label, features, key) in their order: boosted ones grow together, beside the others."""
+    together = [i for i, a in enumerate(asked) if isinstance(a[0], Boosted)]
+    others = [i for i in range(len(asked)) if i not in set(together)]
+    jobs = [lambda: fit_lockstep([asked[i] for i in together])] if together else []
+    out = side_by_side(spark, jobs + [lambda i=i: asked[i][0](*asked[i][1:4]) for i in others])
+    found = dict(zip(together, out[0])) if together else {}
+    found |= zip(others, out[len(jobs):])
+    return [found[i] for i in range(len(asked))]
+
+
 # ---------------------------------------------------------------- ablation and cross-validation
 
 
@@ -279,20 +293,21 @@ def prepared_folds(
         used = list(cols)
         if scale_inside:
             train, test, used = prepare(train, test, cols, drop_constant=False)
-        return fold, held_rows(assemble(train, used, "__x").select(label, "__x"), end), assemble(test, used, "__x")
+        return fold, held_rows(assemble(train, used, "__x").select(label, "__x", idx), end), assemble(test, used, "__x")
 
     return side_by_side(indexed.sparkSession, [lambda f=f: one(*f) for f in fold_bounds(n, k)])
 
 
+def _fold_rows(model, name: object, fold: int, test: DataFrame, label: str, idx: str = "idx") -> DataFrame:
+    return scored(model, test).select(F.lit(name).alias("fit"), F.lit(fold).alias("fold"), F.col(idx).alias("idx"), F.col(label).alias("label"), "score")
+
+
 def fold_fits(indexed: DataFrame, folds: Sequence[tuple[int, DataFrame, DataFrame]], fits: Sequence[tuple[object, FitFn]], label: str, idx: str = "idx") -> DataFrame:
     """Out-of-fold rows (fit, fold, idx, label, score) of all ``fits`` (name, fit) on all folds, fitted side by side."""
 
-    def one(name, fit, fold, train, test):
-        out = scored(fit(train, label, "__x"), test)
-        return out.select(F.lit(name).alias("fit"), F.lit(fold).alias("fold"), F.col(idx).alias("idx"), F.col(label).alias("label"), "score")
-
-    jobs = [lambda a=(*f, *d): one(*a) for f in fits for d in folds]
-    out = score_table(side_by_side(indexed.sparkSession, jobs))
+    spark = indexed.sparkSession
+    models = iter(fit_all(spark, [(fit, train, label, "__x", idx) for _, fit in fits for _, train, _ in folds]))
+    out = score_table([_fold_rows(next(models), name, fold, test, label, idx) for name, _ in fits for fold, _, test in folds])
     for _, train, _ in folds:
         train.unpersist()
     return out
@@ -319,12 +334,17 @@ def time_series_cv(
     n = indexed.count()
     used = [(set_name, cols) for set_name, cols in sets.items() if cols]
 
-    def one(set_name: str, cols: Sequence[str]) -> DataFrame:
-        oof = fold_fits(indexed, prepared_folds(indexed, n, cols, k, label), list(reversed(models.items())), label)
-        return oof.select(F.lit(set_name).alias("feature_set"), F.col("fit").alias("model"), "fold", "label", "score")
-
-    parts = side_by_side(df.sparkSession, [lambda s=s: one(*s) for s in used])
-    return fold_scores(reduce(lambda a, b: a.unionByName(b), parts), ["feature_set", "model"])
+    folds = side_by_side(df.sparkSession, [lambda s=s: prepared_folds(indexed, n, s[1], k, label) for s in used])
+    # the slower models first; one call, so that the boosted fits of all sets grow together
+    each = [(set_name, name, fit, *f) for name, fit in reversed(models.items()) for (set_name, _), fs in zip(used, folds) for f in fs]
+    fitted = fit_all(df.sparkSession, [(fit, train, label, "__x", "idx") for _, _, fit, _, train, _ in each])
+    out = score_table([
+        _fold_rows(model, name, fold, test, label).withColumn("feature_set", F.lit(set_name))
+        for model, (set_name, name, _, fold, _, test) in zip(fitted, each)
+    ])
+    for *_, train, _ in each:
+        train.unpersist()
+    return fold_scores(out.withColumnRenamed("fit", "model"), ["feature_set", "model"])
 
 
 def mean_auc(oof: DataFrame) -> float:
@@ -351,7 +371,7 @@ def random_search(indexed: DataFrame, n: int, cols: Sequence[str], settings: Seq
     """Cross-validated AUC of every setting, best flagged."""
     from callgauge.operators.aggregates import fold_summary
 
-    fits = [(i, lambda d, y, x, s=s: fit_boosted_classifier(d, y, x, weighted=False, **s)) for i, s in enumerate(settings)]
+    fits = [(i, Boosted(**s)) for i, s in enumerate(settings)]
     fits.sort(key=lambda f: -settings[f[0]]["rounds"] * settings[f[0]]["depth"])  # the longest first
     oof = fold_fits(indexed, prepared_folds(indexed, n, cols, k, label), fits, label)
     scores = fold_scores(oof.withColumnRenamed("fit", "setting"), ["setting"])
@@ -377,20 +397,30 @@ def stack_models(
 
     The base models are fitted side by side, on each part of the ``n`` training rows and on all of them.
     """
-    fold = F.pmod(F.xxhash64(key), F.lit(folds))
-    data = held_rows(train.withColumn("__fold", fold), train.count() if n is None else n)
+    data, asked = stack_fits(train, features, label, key, base, folds, n)
+    return stack_scores(data, test, features, label, key, len(base), folds, fit_all(train.sparkSession, asked))
 
-    def one(i: int, fit: FitFn, f: int | None) -> DataFrame:
-        fitted = fit(data if f is None else data.filter(F.col("__fold") != f), label, features)
-        return scored(fitted, test if f is None else data.filter(F.col("__fold") == f), f"p{i}").select(key, label, f"p{i}")
 
+def stack_fits(
+    train: DataFrame, features: str, label: str, key: str, base: Mapping[str, FitFn], folds: int, n: int | None = None,
+) -> tuple[DataFrame, list[tuple[FitFn, DataFrame, str, str, str]]]:
+    """Held training rows with their ``__fold``, and the fits a stack asks for: each base model without each part, then on all."""
+    data = held_rows(train.withColumn("__fold", F.pmod(F.xxhash64(key), F.lit(folds))), train.count() if n is None else n)
+    rows = [*[data.filter(F.col("__fold") != f) for f in range(folds)], data]
+    return data, [(fit, d, label, features, key) for fit in base.values() for d in rows]
+
+
+def stack_scores(data: DataFrame, test: DataFrame, features: str, label: str, key: str, members: int, folds: int, models: Sequence) -> DataFrame:
+    """Scored test rows of a stack whose fits are done."""
     rounds = [*range(folds), None]
-    jobs = [lambda a=(i, fit, f): one(*a) for i, fit in enumerate(base.values()) for f in rounds]
-    outs = side_by_side(train.sparkSession, jobs)
-    by_model = [outs[i * len(rounds):(i + 1) * len(rounds)] for i in range(len(base))]
+    by_model = [
+        [scored(m, test if f is None else data.filter(F.col("__fold") == f), f"p{i}").select(key, label, f"p{i}")
+         for f, m in zip(rounds, models[i * len(rounds):(i + 1) * len(rounds)])]
+        for i in range(members)
+    ]
     joined = reduce(lambda a, b: a.join(b, [key, label]), [reduce(lambda a, b: a.unionByName(b), parts[:-1]) for parts in by_model])
     held = reduce(lambda a, b: a.join(b, [key, label]), [parts[-1] for parts in by_model])
-    cols = [f"p{i}" for i in range(len(base))]
+    cols = [f"p{i}" for i in range(members)]
     joined = materialize(joined, "out-of-fold")
     data.unpersist()
     top = fit_logistic(assemble(joined, cols, "__p"), label, "__p", c=1.0, balanced=False)
@@ -399,25 +429,35 @@ def stack_models(
 
 def compare_architectures(indexed: DataFrame, n: int, cols: Sequence[str], rounds: int = 150, trees: int = 200, k: int = 3, label: str = "label_binary", stack_folds: int = 3) -> DataFrame:
     """Fold AUC of boosted trees, forest and stack; (architecture, fold, auc)."""
-    boosted = lambda d, y, x: fit_boosted_classifier(d, y, x, rounds, 6, 0.3, 1.0, 1.0, weighted=False)
+    spark = indexed.sparkSession
+    boosted = Boosted(rounds, 6, 0.3, 1.0, 1.0)
     forest = lambda d, y, x: fit_forest(d, y, x, trees, 10, balanced=False)
+    alone, base = {"Boosted Trees": boosted, "Random Forest": forest}, {"rf": forest, "gbt": boosted}
 
-    def alone() -> DataFrame:
-        out = fold_fits(indexed, prepared_folds(indexed, n, cols, k, label), [("Boosted Trees", boosted), ("Random Forest", forest)], label)
-        return out.select(F.col("fit").alias("architecture"), "fold", "label", "score")
-
-    def stacked(f: int, end: int, stop: int) -> DataFrame:
+    def stacked(f: int, end: int, stop: int) -> tuple:
         train, test, used = prepare(indexed.filter(F.col("idx") < end), indexed.filter((F.col("idx") >= end) & (F.col("idx") < stop)), cols, False)
-        out = stack_models(assemble(train, used, "__x"), assemble(test, used, "__x"), "__x", label, "idx", {"rf": forest, "gbt": boosted}, stack_folds, end)
-        return score_table([out.select(F.lit("Stacking").alias("architecture"), F.lit(f).alias("fold"), "label", "score")])
+        return f, assemble(test, used, "__x"), *stack_fits(assemble(train, used, "__x"), "__x", label, "idx", base, stack_folds, end)
 
-    parts = side_by_side(indexed.sparkSession, [alone, *[lambda b=b: stacked(*b) for b in fold_bounds(n, k)]])
+    folds, *stacks = side_by_side(spark, [lambda: prepared_folds(indexed, n, cols, k, label), *[lambda b=b: stacked(*b) for b in fold_bounds(n, k)]])
+    asked = [(fit, train, label, "__x", "idx") for fit in alone.values() for _, train, _ in folds]
+    fitted = iter(fit_all(spark, asked + [a for *_, fits in stacks for a in fits]))
+    out = score_table([_fold_rows(next(fitted), name, fold, test, label) for name in alone for fold, _, test in folds])
+    parts = [out.select(F.col("fit").alias("architecture"), "fold", "label", "score")]
+
+    def combined(f: int, test: DataFrame, data: DataFrame, models: list) -> DataFrame:
+        rows = stack_scores(data, test, "__x", label, "idx", len(base), stack_folds, models)
+        return score_table([rows.select(F.lit("Stacking").alias("architecture"), F.lit(f).alias("fold"), "label", "score")])
+
+    ready = [(f, test, data, [next(fitted) for _ in fits]) for f, test, data, fits in stacks]
+    parts += side_by_side(spark, [lambda a=a: combined(*a) for a in ready])
+    for _, train, _ in folds:
+        train.unpersist()
     return fold_scores(reduce(lambda a, b: a.unionByName(b), parts), ["architecture"])
 
 
 def validate_new_features(indexed: DataFrame, n: int, base: Sequence[str], new: Sequence[str], rounds: int = 100, k: int = 3, label: str = "label_binary") -> DataFrame:
     """Mean AUC without and with the new features, and the improvement."""
-    fit = lambda d, y, x: fit_boosted_classifier(d, y, x, rounds, 6, 0.1, 1.0, 1.0, weighted=False)
+    fit = Boosted(rounds, 6, 0.1, 1.0, 1.0)
     parts = side_by_side(indexed.sparkSession, [
         lambda kind=kind, cols=cols: cross_validate(indexed, n, cols, fit, k, label).withColumn("kind", F.lit(kind))
         for kind, cols in (("baseline", list(base)), ("enhanced", [*base, *new]))

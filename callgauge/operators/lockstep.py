@@ -8,7 +8,7 @@ and take the cuts, and the next step moves the rows. A fit of fewer rows lies in
 whole: it grows by up to ``STEP_ROUNDS`` trees without any exchange. Only cuts and trees reach the driver.
 
 The trees are those of Spark's boosted classifier: labels of -1 and 1, regression trees on the residuals of the log
-loss, cut where the variance falls most, first tree at full weight. Columns are cut at quantiles. Rows of a round are drawn by a
+loss, cut where the variance falls most, first tree at full weight. Columns are cut at 31 places at most. Rows of a round are drawn by a
 hash of their key, columns of a node by a hash of its place, so neither depends on how rows are dealt to tasks.
 """
 
@@ -37,6 +37,8 @@ HELD_STEPS = 20
 #: Gains that agree to so many digits are equal; then the first column and the lowest cut are taken.
 DIGITS = 12
 BLOCK_ROWS = 10_000
+#: Rows whose values are counted one by one to find the edges of bins.
+COUNTED_ROWS = 10_000
 
 
 class Boosted(NamedTuple):
@@ -69,12 +71,36 @@ class VectorTrees:
 # ---------------------------------------------------------------- rows
 
 
+def middles(counts: Sequence[tuple[float, int]], bins: int) -> list[float]:
+    """Middles between neighbours of the sorted values, all of them or, if there are too many, those nearest to even shares of the rows."""
+    values, sizes = [v for v, _ in counts], [n for _, n in counts]
+    between = [(a + b) / 2 for a, b in zip(values, values[1:])]
+    if len(between) < bins:
+        return between
+    share = sum(sizes) / bins
+    out, target, seen = [], share, sizes[0]
+    for k, n in enumerate(sizes[1:]):
+        if abs(seen - target) < abs(seen + n - target):
+            out.append(between[k])
+            target += share
+        seen += n
+    return out
+
+
 def vector_edges(df: DataFrame, features: str, bins: int = BINS) -> tuple[int, dict[str, list[float]]]:
-    """Number of rows, and values at the inner quantiles of every entry of a vector column."""
+    """Number of rows, and for every entry of a vector column the edges of its bins.
+
+    Few rows are counted by value and cut in the middle between values, as Spark's trees do; of more rows, which these would
+    sample, the values at the inner quantiles of all rows are taken.
+    """
     x = vector_to_array(features)
     n, width = df.agg(F.count(F.lit(1)), F.max(F.size(x))).first()
     if not n:
         raise ValueError("no rows to fit")
+    if n <= COUNTED_ROWS:
+        counts = df.select(F.posexplode(x).alias("k", "v")).groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
+        found = dict(counts.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("v", "n")))).collect())
+        return n, {f"__x{k}": middles(found[k], min(bins, n)) for k in range(width)}
     cuts = F.array(*[F.lit(i / bins) for i in range(1, bins)])
     found = df.agg(*[F.percentile_approx(x[k], cuts, F.lit(ACCURACY)) for k in range(width)]).first()
     return n, {f"__x{k}": sorted(set(found[k])) for k in range(width)}

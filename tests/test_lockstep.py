@@ -9,7 +9,7 @@ from callgauge.operators import evaluation as ev, lockstep as ls, modeling as md
 
 def _rows(spark, n=960, wide=False):
     rng = np.random.default_rng(1)
-    rows = [(i, float(i % 8), float(i // 8 % 16), float(i // 128 % 5)) for i in range(n)]
+    rows = [(i, float(i % 8), float(i // 8 % 16), float(rng.gamma(2) * 3)) for i in range(n)]
     rows = [(*r, int(r[1] * 0.4 + r[2] * 0.2 - (r[3] > 2) * 2 + rng.normal() > 2)) for r in rows]
     df = spark.createDataFrame(rows, "i long, a double, b double, c double, y int")
     cols = [*"abc", *[f"z{k}" for k in range(8)]] if wide else [*"abc"]
@@ -32,6 +32,7 @@ def jobs(spark):
 def test_trees_are_those_of_sparks_learner(spark):
     d = _rows(spark)
     spark_own = md.fit_boosted_classifier(d, "y", "features", 4, 4, 0.3, 1.0, 1.0, weighted=False, min_rows=3, min_gain=0.0005)
+    assert [len(e) for e in ls.vector_edges(d, "features")[1].values()] == [7, 15, 31]
     mine = ls.fit_lockstep([(ls.Boosted(4, 4, 0.3, 1.0, 1.0, 3, 0.0005), d, "y", "features", "i")])[0]
     both = md.scored(mine, md.scored(spark_own, d, "s1"), "s2")
     assert both.columns[-2:] == ["s1", "s2"] and both.count() == 960
@@ -61,6 +62,14 @@ def test_fits_together_cost_as_many_jobs_as_one(spark, jobs):
     assert many <= one < 12
 
 
+def test_many_rows_are_cut_at_quantiles(spark, monkeypatch):
+    d = _rows(spark)
+    monkeypatch.setattr(ls, "COUNTED_ROWS", 900)
+    n, edges = ls.vector_edges(d, "features")
+    assert n == 960 and edges["__x0"] == [float(v) for v in range(8)] and len(edges["__x2"]) == 31
+    assert ev.roc_auc(md.scored(ls.Boosted(4, 3, 0.3)(d, "y", "features"), d), "score", "y").first().roc_auc > 0.85
+
+
 def test_draws_and_odd_rows(spark):
     d = _rows(spark)
     level = ls.Level(ls.Boosted(columns=0.5), 3, 2, 4000, 6)

@@ -86,3 +86,17 @@ def test_draws_and_odd_rows(spark):
         fit(d.filter("false"), "y", "features")
     repeated = d.unionByName(d).withColumn("i", F.when(F.col("i") > 5, F.col("i")))
     assert md.scored(ls.fit_lockstep([(fit, repeated, "y", "features", "i")])[0], d).filter("score IS NULL").count() == 0
+
+
+def test_queries_grow_all_their_boosted_fits_in_one_call(spark, monkeypatch):
+    """Architectures, stacks in them, and all sets and folds of a cross-validation."""
+    calls = []
+    monkeypatch.setattr(md, "fit_lockstep", lambda asked: calls.append(len(asked)) or ls.fit_lockstep(asked))
+    d = _rows(spark, 240).withColumnRenamed("i", "idx").drop("features").persist()
+    got = {(r.architecture, r.fold): r.auc for r in md.compare_architectures(d, 240, [*"abc"], rounds=2, trees=2, k=2, label="y", stack_folds=2).collect()}
+    assert set(got) == {(a, f) for a in ("Boosted Trees", "Random Forest", "Stacking") for f in (1, 2)} and min(got.values()) > 0.6
+    assert calls == [2 + 2 * 3]
+    dated = d.withColumn("at", F.to_timestamp(F.lit("2020-01-01")))
+    cv = md.time_series_cv(dated, "at", ["idx"], {"all": [*"abc"], "two": ["a", "b"]}, {"boosted": ls.Boosted(2, 3, 0.3)}, 2, "y").collect()
+    assert {(r.feature_set, r.model, r.fold) for r in cv} == {(s, "boosted", f) for s in ("all", "two") for f in (1, 2)}
+    assert calls[1:] == [4] and min(r.auc for r in cv) > 0.6

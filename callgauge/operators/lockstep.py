@@ -5,7 +5,8 @@ starts jobs for each level of each fit; a search over folds and settings asks fo
 are not done go on together, one job a step. A fit of more than ``TASK_ROWS`` rows lies in several tasks and grows by a
 level: tasks add up counts and residuals by (node, column, bin), reducers, one for each stretch of nodes, add those tables
 and take the cuts, and the next step moves the rows. A fit of fewer rows lies in one task, where the tables of its nodes are
-whole: it grows by up to ``STEP_ROUNDS`` trees without any exchange. Only cuts and trees reach the driver.
+whole: it grows by ``STEP_ROUNDS`` trees or, if it has fewer rows still, by ``STEP_ROWS`` rows times trees, without any
+exchange. Only cuts and trees reach the driver.
 
 The trees are those of Spark's boosted classifier: labels of -1 and 1, regression trees on the residuals of the log
 loss, cut where the variance falls most, first tree at full weight. Columns are cut at 31 places at most. Rows of a round are drawn by a
@@ -16,23 +17,27 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import RDD
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from callgauge.operators.boosting import ACCURACY, BoostedTrees, Tree, binned, bins_matrix, drawn
+from callgauge.operators.boosting import ACCURACY, BoostedTrees, Tree, bins_matrix, drawn, outputs
 from callgauge.session import discard, shared_folder
 
 BINS = 32
 #: Nodes of a fit whose tables one reducer call holds, and rows that one task works on.
 STRETCH = 64
 TASK_ROWS = 200_000
-#: Trees that a fit within one task grows in a step, and steps after which the lineage is cut.
+#: Trees that a fit within one task grows in a step at least, rows times trees that it may pass over in one, and steps
+#: after which the lineage is cut.
 STEP_ROUNDS = 10
+STEP_ROWS = STEP_ROUNDS * TASK_ROWS
 HELD_STEPS = 20
 #: Gains that agree to so many digits are equal; then the first column and the lowest cut are taken.
 DIGITS = 12
@@ -63,9 +68,20 @@ class VectorTrees:
         self.trees, self.features = trees, features
 
     def score(self, df: DataFrame, name: str = "score") -> DataFrame:
-        x = vector_to_array(self.features)
-        columns = list(self.trees.edges)
-        return self.trees.score(df.withColumns({c: x[k] for k, c in enumerate(columns)}), name).drop(*columns)
+        # bins are found beside the trees, of the whole vector: expressions for each edge of each column, and these for
+        # each of many models, would take longer to compile than to run
+        shared = df.sparkSession.sparkContext.broadcast((edge_arrays(self.trees.edges), self.trees.trees, self.trees.start))
+
+        @F.pandas_udf("double")
+        def out(x: pd.Series) -> pd.Series:
+            edges, trees, start = shared.value
+            if not len(x):
+                return pd.Series([], dtype="float64")
+            missing = np.full(len(edges), np.nan)
+            bins = bins_of(np.stack([missing if v is None else v for v in x]), edges)
+            return pd.Series(1 / (1 + np.exp(-outputs(trees, bins, np.full(len(x), start)))))
+
+        return df.withColumn(name, out(vector_to_array(self.features)))
 
 
 # ---------------------------------------------------------------- rows
@@ -88,22 +104,46 @@ def middles(counts: Sequence[tuple[float, int]], bins: int) -> list[float]:
 
 
 def vector_edges(df: DataFrame, features: str, bins: int = BINS) -> tuple[int, dict[str, list[float]]]:
-    """Number of rows, and for every entry of a vector column the edges of its bins.
+    """Number of rows, and for every entry of a vector column the edges of its bins."""
+    return edges_of_sets([(df, features)], bins)[0]
+
+
+def edges_of_sets(sets: Sequence[tuple[DataFrame, str]], bins: int = BINS) -> list[tuple[int, dict[str, list[float]]]]:
+    """The same for each of many (rows, vector column), in as many jobs as for one.
 
     Few rows are counted by value and cut in the middle between values, as Spark's trees do; of more rows, which these would
     sample, the values at the inner quantiles of all rows are taken.
     """
-    x = vector_to_array(features)
-    n, width = df.agg(F.count(F.lit(1)), F.max(F.size(x))).first()
-    if not n:
+    vectors = [df.select(F.lit(i).alias("i"), vector_to_array(features).alias("x")) for i, (df, features) in enumerate(sets)]
+    together = lambda which: reduce(DataFrame.unionByName, [vectors[i] for i in which])
+    size = {i: (n, width) for i, n, width in together(range(len(sets))).groupBy("i").agg(F.count(F.lit(1)), F.max(F.size("x"))).collect()}
+    if len(size) < len(sets):
         raise ValueError("no rows to fit")
-    if n <= COUNTED_ROWS:
-        counts = df.select(F.posexplode(x).alias("k", "v")).groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
-        found = dict(counts.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("v", "n")))).collect())
-        return n, {f"__x{k}": middles(found[k], min(bins, n)) for k in range(width)}
-    cuts = F.array(*[F.lit(i / bins) for i in range(1, bins)])
-    found = df.agg(*[F.percentile_approx(x[k], cuts, F.lit(ACCURACY)) for k in range(width)]).first()
-    return n, {f"__x{k}": sorted(set(found[k])) for k in range(width)}
+    few = [i for i, (n, _) in size.items() if n <= COUNTED_ROWS]
+    many = [i for i, (n, _) in size.items() if n > COUNTED_ROWS]
+    out = {}
+    if few:
+        counts = together(few).select("i", F.posexplode("x").alias("k", "v")).groupBy("i", "k", "v").agg(F.count(F.lit(1)).alias("n"))
+        found = {(i, k): c for i, k, c in counts.groupBy("i", "k").agg(F.sort_array(F.collect_list(F.struct("v", "n")))).collect()}
+        out |= {i: [middles(found[i, k], min(bins, size[i][0])) for k in range(size[i][1])] for i in few}
+    if many:
+        cuts = F.array(*[F.lit(i / bins) for i in range(1, bins)])
+        widest = max(size[i][1] for i in many)
+        entries = [F.percentile_approx(F.get("x", F.lit(k)), cuts, F.lit(ACCURACY)) for k in range(widest)]
+        out |= {i: [sorted(set(e)) for e in found[:size[i][1]]] for i, *found in together(many).groupBy("i").agg(*entries).collect()}
+    return [(size[i][0], {f"__x{k}": e for k, e in enumerate(out[i])}) for i in range(len(sets))]
+
+
+def edge_arrays(edges: dict[str, list[float]]) -> list[np.ndarray]:
+    return [np.array(e, float) for e in edges.values()]
+
+
+def bins_of(x: np.ndarray, edges: Sequence[np.ndarray]) -> np.ndarray:
+    """Bin of each entry of the rows ``x``: how many edges of its column lie below it; -1 if missing."""
+    out = np.empty(x.shape, np.int16)
+    for k, e in enumerate(edges):
+        out[:, k] = np.where(np.isnan(x[:, k]), -1, np.searchsorted(e, x[:, k]))
+    return out
 
 
 def blocks(df: DataFrame, label: str, features: str, key: str | None, edges: dict[str, list[float]]) -> DataFrame:
@@ -111,18 +151,17 @@ def blocks(df: DataFrame, label: str, features: str, key: str | None, edges: dic
     x, y = vector_to_array(features), F.col(label).cast("int")
     y = F.when(y.isin(0, 1), y).otherwise(F.raise_error(F.lit("labels must be 0 or 1")))
     u = F.xxhash64(x, y) if key is None else F.xxhash64(key)
-    named = df.select(y.alias("y"), u.alias("u"), *[x[k].alias(c) for k, c in enumerate(edges)])
-    width = len(edges)
+    cuts = edge_arrays(edges)
 
     def work(batches):
         for batch in batches:
             for part in (batch.slice(i, BLOCK_ROWS) for i in range(0, batch.num_rows, BLOCK_ROWS)):
                 yield pa.RecordBatch.from_pydict({
-                    "x": [bins_matrix(part.column("x"), width).astype(np.uint8).tobytes()],
+                    "x": [bins_of(bins_matrix(part.column("x"), len(cuts)), cuts).astype(np.uint8).tobytes()],
                     "y": [part.column("y").to_numpy().astype(np.int8).tobytes()], "u": [part.column("u").to_numpy().tobytes()],
                 })
 
-    return named.select("y", "u", binned(edges).alias("x")).mapInArrow(work, "x binary, y binary, u binary")
+    return df.select(y.alias("y"), u.alias("u"), x.alias("x")).mapInArrow(work, "x binary, y binary, u binary")
 
 
 class Block(NamedTuple):
@@ -137,9 +176,13 @@ class Block(NamedTuple):
     trees: Sequence[Tree] = ()
 
 
-def deal(sets: Sequence[DataFrame], users: dict[int, list[int]], parts: Sequence[int]) -> RDD:
-    """Every block of a set once for each fit that uses it, those of a fit evenly over its ``parts`` tasks and joined there."""
-    first = np.cumsum([0, *parts]).tolist()
+def deal(sets: Sequence[DataFrame], users: dict[int, list[int]], parts: Sequence[int], order: Sequence[int]) -> RDD:
+    """Every block of a set once for each fit that uses it, those of a fit evenly over its ``parts`` tasks and joined there.
+
+    Tasks come in the ``order`` of their fits.
+    """
+    *begins, total = np.cumsum([0, *[parts[fit] for fit in order]]).tolist()
+    first = dict(zip(order, begins))
 
     def copies(part, rows):
         for k, (i, x, y, u) in enumerate(rows):
@@ -155,7 +198,7 @@ def deal(sets: Sequence[DataFrame], users: dict[int, list[int]], parts: Sequence
             yield Block(found[0][1][0], x, y, u, np.zeros(len(u), np.int32), np.zeros(len(u)))
 
     named = [d.select(F.lit(i).alias("i"), "x", "y", "u").rdd for i, d in enumerate(sets)]
-    return named[0].context.union(named).mapPartitionsWithIndex(copies).partitionBy(first[-1], lambda place: place).mapPartitions(joined)
+    return named[0].context.union(named).mapPartitionsWithIndex(copies).partitionBy(total, lambda place: place).mapPartitions(joined)
 
 
 # ---------------------------------------------------------------- one step
@@ -211,15 +254,13 @@ def sums(block: Block, level: Level) -> Iterator[tuple[tuple[int, int], np.ndarr
     if not len(keep):
         return
     r = residuals(block, level.round_)[keep]
-    first = block.node[keep].astype(np.int64) * (level.width * BINS)
-    x = block.x[keep].astype(np.int64)
-    cells = level.nodes * level.width * BINS
-    out = np.zeros((cells, 2))
+    first = block.node[keep].astype(np.int64) * BINS
+    x = block.x[keep]
+    out = np.empty((level.nodes, level.width, BINS, 2))
     for k in range(level.width):
-        at = first + (k * BINS + x[:, k])
-        out[:, 0] += np.bincount(at, minlength=cells)
-        out[:, 1] += np.bincount(at, r, cells)
-    out = out.reshape(level.nodes, level.width, BINS, 2)
+        at = first + x[:, k]
+        for i, weight in enumerate((None, r)):
+            out[:, k, :, i] = np.bincount(at, weight, level.nodes * BINS).reshape(level.nodes, BINS)
     for k in range(0, level.nodes, STRETCH):
         yield (block.fit, k), out[k:k + STRETCH]
 
@@ -320,7 +361,8 @@ class Growing:
 def grown(block: Block, level: Level) -> Block:
     """A fit whose rows are all here, some trees further."""
     fit = Growing(level.settings, level.width, level.round_)
-    while not fit.done and len(fit.trees) < STEP_ROUNDS:
+    rounds = max(STEP_ROUNDS, STEP_ROWS // len(block.y))
+    while not fit.done and len(fit.trees) < rounds:
         at = fit.level()
         found = no_cuts(at)
         for (_, first), table in sums(block, at):
@@ -364,17 +406,15 @@ def fit_lockstep(asked: Sequence[tuple[Boosted, DataFrame, str, str, str | None]
     for fit, (_, df, label, features, key) in enumerate(asked):
         place, *_ = sets.setdefault((id(df), label, features, key), (len(sets), df, label, features, key))
         users.setdefault(place, []).append(fit)
-    prepared = []
-    for _, df, label, features, key in sets.values():
-        n, edges = vector_edges(df, features)
-        prepared.append((n, edges, blocks(df, label, features, key, edges)))
+    found = edges_of_sets([(df, features) for _, df, _, features, _ in sets.values()])
+    prepared = [(n, edges, blocks(df, label, features, key, edges)) for (n, edges), (_, df, label, features, key) in zip(found, sets.values())]
     edges_of = {fit: prepared[place][1] for place, fits in users.items() for fit in fits}
-    parts = [0] * len(asked)
-    for place, fits in users.items():
-        for fit in fits:
-            parts[fit] = math.ceil(prepared[place][0] / TASK_ROWS)
+    rows = {fit: prepared[place][0] for place, fits in users.items() for fit in fits}
+    parts = [math.ceil(rows[fit] / TASK_ROWS) for fit in range(len(asked))]
     whole = {fit for fit, n in enumerate(parts) if n == 1}
-    state = deal([b for *_, b in prepared], users, parts)
+    # tasks begin in their order: the longest first
+    order = sorted(range(len(asked)), key=lambda fit: -rows[fit] / parts[fit] * asked[fit][0].depth * len(edges_of[fit]))
+    state = deal([b for *_, b in prepared], users, parts, order)
     growing = [Growing(settings, len(edges_of[fit])) for fit, (settings, *_) in enumerate(asked)]
     moves: dict[int, Cuts] = {}
     held, old, steps = [], None, 0

@@ -257,6 +257,18 @@ def score_table(parts: Sequence[DataFrame]) -> DataFrame:
     return materialize(reduce(lambda a, b: a.unionByName(b), parts), "scores")
 
 
+def indexed_rows(df: DataFrame, order: str, ties: Sequence[str]) -> tuple[DataFrame, int]:
+    """Rows with their chronological place ``idx``, written once in as few files as their number asks for, and that number.
+
+    Every fold and model reads them, and each reader carries the plan of what it reads: of a table that is written, a scan.
+    """
+    placed = chronological_index(df, order, ties).persist()
+    n = placed.count()
+    out = materialize(few_tasks(placed, n), "indexed")
+    placed.unpersist()
+    return out, n
+
+
 def held_rows(df: DataFrame, n: int) -> DataFrame:
     """Training rows held for many passes, in as few tasks as their number asks for."""
     return few_tasks(df, n).persist()
@@ -286,28 +298,45 @@ def prepared_folds(
     indexed: DataFrame, n: int, cols: Sequence[str], k: int, label: str, idx: str = "idx", scale_inside: bool = True,
 ) -> list[tuple[int, DataFrame, DataFrame]]:
     """(fold, held training rows, test rows) of every fold, imputed and scaled inside it, columns in ``__x``."""
+    return prepared_sets(indexed, n, [cols], k, label, idx, scale_inside)[0]
+
 
-    def one(fold: int, end: int, stop: int) -> tuple[int, DataFrame, DataFrame]:
+def prepared_sets(
+    indexed: DataFrame, n: int, sets: Sequence[Sequence[str]], k: int, label: str, idx: str = "idx", scale_inside: bool = True,
+) -> list[list[tuple[int, DataFrame, DataFrame]]]:
+    """The folds of each of several sets of columns; a column's median, mean and spread in a fold are found once for all sets."""
+    cols = list(dict.fromkeys(c for some in sets for c in some))
+
+    def one(fold: int, end: int, stop: int) -> list[tuple[int, DataFrame, DataFrame]]:
         train = indexed.filter(F.col(idx) < end)
         test = indexed.filter((F.col(idx) >= end) & (F.col(idx) < stop))
-        used = list(cols)
         if scale_inside:
-            train, test, used = prepare(train, test, cols, drop_constant=False)
-        return fold, held_rows(assemble(train, used, "__x").select(label, "__x", idx), end), assemble(test, used, "__x")
+            train, test, _ = prepare(train, test, cols, drop_constant=False)
+        return [(fold, held_rows(assemble(train, some, "__x").select(label, "__x", idx), end), assemble(test, some, "__x")) for some in sets]
 
-    return side_by_side(indexed.sparkSession, [lambda f=f: one(*f) for f in fold_bounds(n, k)])
+    folds = side_by_side(indexed.sparkSession, [lambda f=f: one(*f) for f in fold_bounds(n, k)])
+    return [list(of_set) for of_set in zip(*folds)]
 
 
-def _fold_rows(model, name: object, fold: int, test: DataFrame, label: str, idx: str = "idx") -> DataFrame:
-    return scored(model, test).select(F.lit(name).alias("fit"), F.lit(fold).alias("fold"), F.col(idx).alias("idx"), F.col(label).alias("label"), "score")
+def _fold_rows(models: Sequence[tuple[object, object]], fold: int, test: DataFrame, label: str, idx: str = "idx") -> DataFrame:
+    """Rows (fit, fold, idx, label, score) of all (name, model) of a fold; the test rows are read and prepared once for all of them."""
+    names = [f"__s{i}" for i in range(len(models))]
+    test = test.select(F.col(idx).alias("idx"), F.col(label).alias("label"), "__x")
+    for c, (_, model) in zip(names, models):
+        test = scored(model, test, c)
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("fit"), F.col(c).alias("score")) for c, (name, _) in zip(names, models)]))
+    return test.select("idx", "label", each.alias("__e")).select("__e.fit", F.lit(fold).alias("fold"), "idx", "label", "__e.score")
 
 
 def fold_fits(indexed: DataFrame, folds: Sequence[tuple[int, DataFrame, DataFrame]], fits: Sequence[tuple[object, FitFn]], label: str, idx: str = "idx") -> DataFrame:
     """Out-of-fold rows (fit, fold, idx, label, score) of all ``fits`` (name, fit) on all folds, fitted side by side."""
 
     spark = indexed.sparkSession
-    models = iter(fit_all(spark, [(fit, train, label, "__x", idx) for _, fit in fits for _, train, _ in folds]))
-    out = score_table([_fold_rows(next(models), name, fold, test, label, idx) for name, _ in fits for fold, _, test in folds])
+    models = fit_all(spark, [(fit, train, label, "__x", idx) for _, fit in fits for _, train, _ in folds])
+    out = score_table([
+        _fold_rows([(name, model) for (name, _), model in zip(fits, models[i::len(folds)])], fold, test, label, idx)
+        for i, (fold, _, test) in enumerate(folds)
+    ])
     for _, train, _ in folds:
         train.unpersist()
     return out
@@ -330,17 +359,16 @@ def time_series_cv(
     label: str = "label_binary",
 ) -> DataFrame:
     """Fold AUC of every model on every feature set: rows (feature_set, model, fold, auc)."""
-    indexed = chronological_index(df, order, ties).persist()
-    n = indexed.count()
-    used = [(set_name, cols) for set_name, cols in sets.items() if cols]
-
-    folds = side_by_side(df.sparkSession, [lambda s=s: prepared_folds(indexed, n, s[1], k, label) for s in used])
-    # the slower models first; one call, so that the boosted fits of all sets grow together
-    each = [(set_name, name, fit, *f) for name, fit in reversed(models.items()) for (set_name, _), fs in zip(used, folds) for f in fs]
-    fitted = fit_all(df.sparkSession, [(fit, train, label, "__x", "idx") for _, _, fit, _, train, _ in each])
+    indexed, n = indexed_rows(df, order, ties)
+    used = {set_name: cols for set_name, cols in sets.items() if cols}
+    folds = prepared_sets(indexed, n, [*used.values()], k, label)
+    each = [(set_name, *f) for set_name, fs in zip(used, folds) for f in reversed(fs)]
+    # the slower models and the larger folds first; one call, so that the boosted fits of all sets grow together
+    names = [*reversed(models)]
+    fitted = fit_all(df.sparkSession, [(models[name], train, label, "__x", "idx") for name in names for *_, train, _ in each])
     out = score_table([
-        _fold_rows(model, name, fold, test, label).withColumn("feature_set", F.lit(set_name))
-        for model, (set_name, name, _, fold, _, test) in zip(fitted, each)
+        _fold_rows([*zip(names, fitted[i::len(each)])], fold, test, label).withColumn("feature_set", F.lit(set_name))
+        for i, (set_name, fold, _, test) in enumerate(each)
     ])
     for *_, train, _ in each:
         train.unpersist()
@@ -434,14 +462,15 @@ def compare_architectures(indexed: DataFrame, n: int, cols: Sequence[str], round
     forest = lambda d, y, x: fit_forest(d, y, x, trees, 10, balanced=False)
     alone, base = {"Boosted Trees": boosted, "Random Forest": forest}, {"rf": forest, "gbt": boosted}
 
-    def stacked(f: int, end: int, stop: int) -> tuple:
-        train, test, used = prepare(indexed.filter(F.col("idx") < end), indexed.filter((F.col("idx") >= end) & (F.col("idx") < stop)), cols, False)
-        return f, assemble(test, used, "__x"), *stack_fits(assemble(train, used, "__x"), "__x", label, "idx", base, stack_folds, end)
-
-    folds, *stacks = side_by_side(spark, [lambda: prepared_folds(indexed, n, cols, k, label), *[lambda b=b: stacked(*b) for b in fold_bounds(n, k)]])
+    # the larger folds first; each is prepared once, for the models alone and for its stack
+    folds = prepared_folds(indexed, n, cols, k, label)[::-1]
+    ends = [end for _, end, _ in fold_bounds(n, k)][::-1]
+    stacks = [(fold, test, *stack_fits(train, "__x", label, "idx", base, stack_folds, end)) for (fold, train, test), end in zip(folds, ends)]
     asked = [(fit, train, label, "__x", "idx") for fit in alone.values() for _, train, _ in folds]
-    fitted = iter(fit_all(spark, asked + [a for *_, fits in stacks for a in fits]))
-    out = score_table([_fold_rows(next(fitted), name, fold, test, label) for name in alone for fold, _, test in folds])
+    fitted = fit_all(spark, [a for *_, fits in stacks for a in fits] + asked)
+    by_model = fitted[-len(asked):]
+    fitted = iter(fitted)
+    out = score_table([_fold_rows([*zip(alone, by_model[i::len(folds)])], fold, test, label) for i, (fold, _, test) in enumerate(folds)])
     parts = [out.select(F.col("fit").alias("architecture"), "fold", "label", "score")]
 
     def combined(f: int, test: DataFrame, data: DataFrame, models: list) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from callgauge.operators import aggregates as ag, attribution as at, boosting as bt, evaluation as ev, matching as mt, modeling as md, ordering as od
+from callgauge.operators import aggregates as ag, attribution as at, boosting as bt, evaluation as ev, matching as mt, modeling as md
 from callgauge.plans.catalog.alignment import r
 from callgauge.plans.registry import query
 from callgauge.plans.views import LEXICON_FEATURES, TEXT_FEATURES
@@ -32,8 +32,7 @@ def _ready(t, cols=tuple(SETS["combined"])):
 
 
 def _indexed(t):
-    d = od.chronological_index(t.stored_scored, "date", ["doc_id"]).persist()
-    return d, d.count()
+    return md.indexed_rows(t.stored_scored, "date", ["doc_id"])
 
 
 def _metrics(model, test, name):

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from callgauge.operators import evaluation as ev, lockstep as ls, modeling as md
+from callgauge.operators import boosting as bt, evaluation as ev, lockstep as ls, modeling as md
 
 
 def _rows(spark, n=960, wide=False):
@@ -100,3 +100,59 @@ def test_queries_grow_all_their_boosted_fits_in_one_call(spark, monkeypatch):
     cv = md.time_series_cv(dated, "at", ["idx"], {"all": [*"abc"], "two": ["a", "b"]}, {"boosted": ls.Boosted(2, 3, 0.3)}, 2, "y").collect()
     assert {(r.feature_set, r.model, r.fold) for r in cv} == {(s, "boosted", f) for s in ("all", "two") for f in (1, 2)}
     assert calls[1:] == [4] and min(r.auc for r in cv) > 0.6
+
+
+def test_edges_of_many_sets_cost_as_many_jobs_as_of_one(spark, jobs, monkeypatch):
+    d = _rows(spark)
+    sets = [(md.assemble(d.drop("features").filter(f"i >= {k}"), ["a", "b", "c"][:1 + k % 3]), "features") for k in range(6)]
+    monkeypatch.setattr(ls, "COUNTED_ROWS", 957)
+    found = ls.edges_of_sets(sets)
+    assert found == [ls.vector_edges(*s) for s in sets] and [len(e) for _, e in found] == [1, 2, 3, 1, 2, 3]
+    fits = [(ls.Boosted(2, 3), s, "y", "features", "i") for s, _ in sets]
+    monkeypatch.setattr(ls, "COUNTED_ROWS", 10_000)
+    one, many = (jobs(lambda k=k: ls.fit_lockstep(fits[:k])) for k in (1, 6))
+    assert many <= one + 1
+
+
+def test_a_small_fit_grows_all_its_trees_in_one_step(spark, jobs, monkeypatch):
+    d = _rows(spark)
+    assert d.count() == 960
+    few, many = (jobs(lambda n=n: ls.fit_lockstep([(ls.Boosted(n, 2), d, "y", "features", "i")])) for n in (10, 50))
+    assert many <= few
+    monkeypatch.setattr(ls, "STEP_ROWS", 960)
+    monkeypatch.setattr(ls, "STEP_ROUNDS", 3)
+    whole = ls.fit_lockstep([(ls.Boosted(8, 3, 0.3, 0.7, 0.6), d, "y", "features", "i")])[0]
+    monkeypatch.setattr(ls, "STEP_ROWS", 10**6)
+    again = ls.fit_lockstep([(ls.Boosted(8, 3, 0.3, 0.7, 0.6), d, "y", "features", "i")])[0]
+    assert len(whole.trees.trees) == 8 and all(np.array_equal(x, y) for t, u in zip(whole.trees.trees, again.trees.trees) for x, y in zip(t, u))
+
+
+def test_bins_of_arrays_are_those_of_columns(spark):
+    values = [-1.0, -0.0, 0.0, 0.5, 1.0, 2.5, float("nan"), float("inf"), float("-inf")]
+    edges = {"a": [-0.5, 0.0, 1.0], "b": []}
+    d = spark.createDataFrame([(i, v, v) for i, v in enumerate(values)], "i int, a double, b double")
+    want = [r.x for r in d.select("i", bt.binned(edges).alias("x")).orderBy("i").collect()]
+    assert ls.bins_of(np.array([values, values]).T, ls.edge_arrays(edges)).tolist() == want
+
+
+def test_folds_are_prepared_once_and_scored_in_one_pass(spark, monkeypatch):
+    """For all sets of columns and all models, stacks among them."""
+    calls = []
+    monkeypatch.setattr(md, "prepare", lambda *a, own=md.prepare, **k: calls.append(a[2]) or own(*a, **k))
+    d = _rows(spark, 240).withColumnRenamed("i", "idx").drop("features").persist()
+    both = md.prepared_sets(d, 240, [["a", "b"], ["b", "c"]], 2, "y")
+    assert calls == [["a", "b", "c"]] * 2
+    for folds, cols in zip(both, (["a", "b"], ["b", "c"])):
+        for (f, train, test), (g, train_1, test_1) in zip(folds, md.prepared_folds(d, 240, cols, 2, "y")):
+            assert f == g and all(x.select("idx", "y", "__x").exceptAll(y.select("idx", "y", "__x")).isEmpty() for x, y in ((train, train_1), (test, test_1)))
+    fold, train, test = both[0][1]
+    models = [("boosted", ls.Boosted(2, 2)(train, "y", "__x")), ("line", md.fit_logistic(train, "y", "__x")), ("forest", md.fit_forest(train, "y", "__x", 2, 2))]
+    out = md._fold_rows(models, fold, test, "y")
+    assert out._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+    got = {(r.fit, r.idx): r for r in out.collect()}
+    assert len(got) == 3 * 80 and {r.fold for r in got.values()} == {2}
+    for name, model in models:
+        assert all(got[name, r.idx].score == pytest.approx(r.score) and got[name, r.idx].label == r.y for r in md.scored(model, test).collect())
+    calls.clear()
+    md.compare_architectures(d, 240, ["a", "b"], rounds=1, trees=1, k=2, label="y", stack_folds=2)
+    assert len(calls) == 2

@@ -257,18 +257,6 @@ def score_table(parts: Sequence[DataFrame]) -> DataFrame:
     return materialize(reduce(lambda a, b: a.unionByName(b), parts), "scores")
 
 
-def indexed_rows(df: DataFrame, order: str, ties: Sequence[str]) -> tuple[DataFrame, int]:
-    """Rows with their chronological place ``idx``, written once in as few files as their number asks for, and that number.
-
-    Every fold and model reads them, and each reader carries the plan of what it reads: of a table that is written, a scan.
-    """
-    placed = chronological_index(df, order, ties).persist()
-    n = placed.count()
-    out = materialize(few_tasks(placed, n), "indexed")
-    placed.unpersist()
-    return out, n
-
-
 def held_rows(df: DataFrame, n: int) -> DataFrame:
     """Training rows held for many passes, in as few tasks as their number asks for."""
     return few_tasks(df, n).persist()
@@ -312,6 +300,7 @@ def prepared_sets(
         test = indexed.filter((F.col(idx) >= end) & (F.col(idx) < stop))
         if scale_inside:
             train, test, _ = prepare(train, test, cols, drop_constant=False)
+        test = few_tasks(test, stop - end)
         return [(fold, held_rows(assemble(train, some, "__x").select(label, "__x", idx), end), assemble(test, some, "__x")) for some in sets]
 
     folds = side_by_side(indexed.sparkSession, [lambda f=f: one(*f) for f in fold_bounds(n, k)])
@@ -359,7 +348,8 @@ def time_series_cv(
     label: str = "label_binary",
 ) -> DataFrame:
     """Fold AUC of every model on every feature set: rows (feature_set, model, fold, auc)."""
-    indexed, n = indexed_rows(df, order, ties)
+    indexed = chronological_index(df, order, ties).persist()
+    n = indexed.count()
     used = {set_name: cols for set_name, cols in sets.items() if cols}
     folds = prepared_sets(indexed, n, [*used.values()], k, label)
     each = [(set_name, *f) for set_name, fs in zip(used, folds) for f in reversed(fs)]

@@ -5,8 +5,8 @@ starts jobs for each level of each fit; a search over folds and settings asks fo
 are not done go on together, one job a step. A fit of more than ``TASK_ROWS`` rows lies in several tasks and grows by a
 level: tasks add up counts and residuals by (node, column, bin), reducers, one for each stretch of nodes, add those tables
 and take the cuts, and the next step moves the rows. A fit of fewer rows lies in one task, where the tables of its nodes are
-whole: it grows by ``STEP_ROUNDS`` trees or, if it has fewer rows still, by ``STEP_ROWS`` rows times trees, without any
-exchange. Only cuts and trees reach the driver.
+whole: it grows by ``STEP_ROWS`` rows times trees, ``STEP_ROUNDS`` trees at least, without any exchange, and counts only the
+smaller child of each node. Only cuts and trees reach the driver.
 
 The trees are those of Spark's boosted classifier: labels of -1 and 1, regression trees on the residuals of the log
 loss, cut where the variance falls most, first tree at full weight. Columns are cut at 31 places at most. Rows of a round are drawn by a
@@ -31,17 +31,20 @@ from callgauge.operators.boosting import ACCURACY, BoostedTrees, Tree, bins_matr
 from callgauge.session import discard, shared_folder
 
 BINS = 32
-#: Nodes of a fit whose tables one reducer call holds, and rows that one task works on.
+#: Nodes of a fit whose tables one reducer call holds; rows, and rows times columns, that one task works on.
 STRETCH = 64
-TASK_ROWS = 200_000
+TASK_ROWS = 2_000_000
+TASK_CELLS = 64_000_000
 #: Trees that a fit within one task grows in a step at least, rows times trees that it may pass over in one, and steps
 #: after which the lineage is cut.
 STEP_ROUNDS = 10
-STEP_ROWS = STEP_ROUNDS * TASK_ROWS
+STEP_ROWS = 200 * TASK_ROWS
 HELD_STEPS = 20
 #: Gains that agree to so many digits are equal; then the first column and the lowest cut are taken.
 DIGITS = 12
 BLOCK_ROWS = 10_000
+#: Rows of a fit in one task that are passed over at a time.
+PART_ROWS = 131_072
 #: Rows whose values are counted one by one to find the edges of bins.
 COUNTED_ROWS = 10_000
 
@@ -186,7 +189,7 @@ def deal(sets: Sequence[DataFrame], users: dict[int, list[int]], parts: Sequence
 
     def copies(part, rows):
         for k, (i, x, y, u) in enumerate(rows):
-            u, y = np.frombuffer(u, np.int64), np.frombuffer(y, np.int8) * 2.0 - 1.0
+            u, y = np.frombuffer(u, np.int64), np.frombuffer(y, np.int8)
             x = np.frombuffer(x, np.uint8).reshape(len(u), -1)
             for fit in users[i]:
                 yield first[fit] + (part + k) % parts[fit], (fit, x, y, u)
@@ -195,7 +198,7 @@ def deal(sets: Sequence[DataFrame], users: dict[int, list[int]], parts: Sequence
         found = list(rows)
         if found:
             x, y, u = (np.concatenate([b[k] for _, b in found]) for k in (1, 2, 3))
-            yield Block(found[0][1][0], x, y, u, np.zeros(len(u), np.int32), np.zeros(len(u)))
+            yield Block(found[0][1][0], x, y * 2.0 - 1.0, u, np.zeros(len(u), np.int32), np.zeros(len(u)))
 
     named = [d.select(F.lit(i).alias("i"), "x", "y", "u").rdd for i, d in enumerate(sets)]
     return named[0].context.union(named).mapPartitionsWithIndex(copies).partitionBy(total, lambda place: place).mapPartitions(joined)
@@ -241,11 +244,11 @@ def move(block: Block, cuts: Cuts) -> Block:
     return block._replace(node=node, margin=margin)
 
 
-def residuals(block: Block, round_: int) -> np.ndarray:
+def residuals(y: np.ndarray, margin: np.ndarray, round_: int) -> np.ndarray:
     if round_ == 0:
-        return block.y
+        return y
     with np.errstate(over="ignore"):
-        return 4 * block.y / (1 + np.exp(block.y * block.margin))
+        return 4 * y / (1 + np.exp(y * margin))
 
 
 def sums(block: Block, level: Level) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
@@ -253,7 +256,7 @@ def sums(block: Block, level: Level) -> Iterator[tuple[tuple[int, int], np.ndarr
     keep = np.flatnonzero((block.node >= 0) & drawn(block.u, level.round_, level.settings.subsample))
     if not len(keep):
         return
-    r = residuals(block, level.round_)[keep]
+    r = residuals(block.y, block.margin, level.round_)[keep]
     first = block.node[keep].astype(np.int64) * BINS
     x = block.x[keep]
     out = np.empty((level.nodes, level.width, BINS, 2))
@@ -353,22 +356,148 @@ class Growing:
         ended = not len(self.ids)
         cuts = Cuts(np.where(split, column, 0).astype(np.int16), np.where(split, cut, 0).astype(np.int16), *place.T.copy(), *value.T.copy(), ended)
         if ended:
-            self.trees.append(Tree(self.column, self.cut, np.ones(len(self.column), bool), self.left, self.right, self.value))
+            column, cut, left, right = (a.astype(kind) for a, kind in ((self.column, np.int32), (self.cut, np.int16), (self.left, np.int32), (self.right, np.int32)))
+            self.trees.append(Tree(column, cut, np.ones(len(column), bool), left, right, self.value))
             self.start()
         return cuts
 
 
+class Route(NamedTuple):
+    """Where the rows of a level go: the column of each node, by (node, bin) what becomes of a row, and for each such fate
+    (children that are cut further by their places, then those that are settled) what it adds and its place among the
+    children that are counted (-1: not counted)."""
+
+    column: np.ndarray
+    fate: np.ndarray
+    further: int
+    value: np.ndarray
+    counted: np.ndarray
+
+
+def route(cuts: Cuts, found: np.ndarray) -> tuple[Route, np.ndarray, np.ndarray]:
+    """The way of a level's rows; the nodes of which a child is cut further, and the side of each that is counted.
+
+    Only the side with fewer rows is; the other is what is left of the node.
+    """
+    fate = np.stack([cuts.left, cuts.right], 1).astype(np.int64)
+    ends = fate < 0
+    further = int((~ends).sum())
+    fate[ends] = further + np.arange(ends.sum())
+    value, counted = np.zeros(fate.size), np.full(fate.size, -1)
+    value[fate.ravel()] = np.stack([cuts.left_value, cuts.right_value], 1).ravel()
+    node = np.flatnonzero(~ends.all(axis=1))
+    side = (found[node, 4] > found[node, 2] - found[node, 4]).astype(np.int64)
+    counted[fate[node, side]] = np.arange(len(node))
+    by_bin = np.where(np.arange(BINS) <= cuts.cut[:, None], fate[:, :1], fate[:, 1:])
+    return Route(cuts.column.astype(np.int64), by_bin.ravel(), further, value, counted), node, side
+
+
+class Part:
+    """Some rows of a fit that lies in one task, few enough for a processor's cache."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, u: np.ndarray, margin: np.ndarray):
+        self.x, self.columns, self.y, self.u, self.margin = x.ravel(), np.ascontiguousarray(x.T), y, u, margin
+        self.pairs = self.columns[0:-1:2].astype(np.int16) * BINS + self.columns[1::2]
+        self.first = np.arange(len(y)) * x.shape[1]
+
+    def start(self, round_: int, share: float) -> None:
+        """All rows stand at the root; those that are not drawn wait until the tree is grown."""
+        self.r = residuals(self.y, self.margin, round_)
+        taken = drawn(self.u, round_, share)
+        self.at, self.left_out = np.flatnonzero(taken), np.flatnonzero(~taken)
+        self.place = np.zeros(len(self.at), np.int64)
+
+    def fates(self, way: Route, at: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return way.fate[place * BINS + self.x[self.first[at] + way.column[place]]]
+
+    def settle(self, way: Route, at: np.ndarray, fate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and places of what goes further, once the output of the others is added."""
+        if way.further == len(way.value):
+            return at, fate
+        ends = fate >= way.further
+        self.margin[at[ends]] += way.value[fate[ends]]
+        return at[~ends], fate[~ends]
+
+    def count(self, at: np.ndarray, place: np.ndarray | None, out: np.ndarray) -> None:
+        """Add counts and sums of residuals of the rows, by column and (place, bin), to ``out``."""
+        r, nodes = self.r[at], out.shape[2] // BINS
+        # two columns are counted at a time where their cells are fewer than the rows
+        two = len(self.pairs) if nodes * BINS**2 <= len(at) else 0
+        for k in range(two):
+            cell = self.pairs[k][at] if place is None else place * BINS**2 + self.pairs[k][at]
+            for total, weight in zip(out, (None, r)):
+                both = np.bincount(cell, weight, nodes * BINS**2).reshape(nodes, BINS, BINS)
+                total[2 * k] += both.sum(axis=2).ravel()
+                total[2 * k + 1] += both.sum(axis=1).ravel()
+        for k, column in enumerate(self.columns[2 * two:], 2 * two):
+            cell = column[at] if place is None else place * BINS + column[at]
+            for total, weight in zip(out, (None, r)):
+                total[k] += np.bincount(cell, weight, nodes * BINS)
+
+    def go(self, way: Route, out: np.ndarray) -> None:
+        """One level down; rows of children that are counted are added to ``out``."""
+        fate = self.fates(way, self.at, self.place)
+        if out.size:
+            place = way.counted[fate]
+            some = np.flatnonzero(place >= 0)
+            self.count(self.at[some], place[some], out)
+        self.at, self.place = self.settle(way, self.at, fate)
+
+    def finish(self, ways: Sequence[Route]) -> None:
+        """The rows that were not drawn go down the whole tree."""
+        at, place = self.left_out, np.zeros(len(self.left_out), np.int64)
+        for way in ways if len(at) else ():
+            at, place = self.settle(way, at, self.fates(way, at, place))
+
+
+def node_tables(sums_: np.ndarray) -> np.ndarray:
+    """Tables (place, column, bin, count and sum) of what ``Part.count`` has added up."""
+    return sums_.reshape(2, sums_.shape[1], -1, BINS).transpose(2, 1, 3, 0)
+
+
+def grow_tree(fit: Growing, parts: Sequence[Part]) -> None:
+    level, ways = fit.level(), []
+    for p in parts:
+        p.start(level.round_, level.settings.subsample)
+    out = np.zeros((2, level.width, BINS))
+    for p in parts:
+        p.count(p.at, None, out)
+    tables = node_tables(out)
+    while True:
+        found = np.concatenate([best_cuts(tables[k:k + STRETCH], level, k) for k in range(0, level.nodes, STRETCH)])
+        found = np.where(found[:, 2:3] > 0, found, no_cuts(level))
+        cuts = fit.take(found)
+        way, node, side = route(cuts, found)
+        ways.append(way)
+        out = np.zeros((2, level.width, len(node) * BINS))
+        for p in parts:
+            p.go(way, out)
+        if cuts.next_round:
+            break
+        some, above, level = node_tables(out), tables, fit.level()
+        places = np.stack([cuts.left, cuts.right], 1)[node]
+        one, other = places[np.arange(len(node)), side], places[np.arange(len(node)), 1 - side]
+        tables = np.empty((level.nodes, level.width, BINS, 2))
+        tables[one[one >= 0]] = some[one >= 0]
+        tables[other[other >= 0]] = (above[node] - some)[other >= 0]
+        # sums of no rows are nothing, not what rounding leaves
+        tables[..., 1][tables[..., 0] == 0] = 0.0
+    for p in parts:
+        p.finish(ways)
+
+
 def grown(block: Block, level: Level) -> Block:
     """A fit whose rows are all here, some trees further."""
     fit = Growing(level.settings, level.width, level.round_)
     rounds = max(STEP_ROUNDS, STEP_ROWS // len(block.y))
+    margin = block.margin.copy()
+    cuts = [slice(k, k + PART_ROWS) for k in range(0, len(margin), PART_ROWS)]
+    parts = [Part(block.x[c], block.y[c], block.u[c], margin[c]) for c in cuts]
     while not fit.done and len(fit.trees) < rounds:
-        at = fit.level()
-        found = no_cuts(at)
-        for (_, first), table in sums(block, at):
-            found[first:first + len(table)] = best_cuts(table, at, first)
-        block = move(block, fit.take(found))
-    return block._replace(trees=fit.trees)
+        grow_tree(fit, parts)
+    if fit.done:  # its rows are not needed again
+        return Block(block.fit, block.x[:0].copy(), *(a[:0].copy() for a in (block.y, block.u, block.node, margin)), fit.trees)
+    return block._replace(margin=margin, trees=fit.trees)
 
 
 def step(state: RDD, moves: dict[int, Cuts], levels: dict[int, Level], whole: set[int]) -> tuple[RDD, Callable[[], tuple[dict[int, np.ndarray], dict[int, Sequence[Tree]]]]]:
@@ -410,10 +539,10 @@ def fit_lockstep(asked: Sequence[tuple[Boosted, DataFrame, str, str, str | None]
     prepared = [(n, edges, blocks(df, label, features, key, edges)) for (n, edges), (_, df, label, features, key) in zip(found, sets.values())]
     edges_of = {fit: prepared[place][1] for place, fits in users.items() for fit in fits}
     rows = {fit: prepared[place][0] for place, fits in users.items() for fit in fits}
-    parts = [math.ceil(rows[fit] / TASK_ROWS) for fit in range(len(asked))]
+    parts = [math.ceil(rows[fit] / max(1, min(TASK_ROWS, TASK_CELLS // max(1, len(edges_of[fit]))))) for fit in range(len(asked))]
     whole = {fit for fit, n in enumerate(parts) if n == 1}
     # tasks begin in their order: the longest first
-    order = sorted(range(len(asked)), key=lambda fit: -rows[fit] / parts[fit] * asked[fit][0].depth * len(edges_of[fit]))
+    order = sorted(range(len(asked)), key=lambda fit: -rows[fit] / parts[fit] * asked[fit][0].rounds * asked[fit][0].depth * len(edges_of[fit]))
     state = deal([b for *_, b in prepared], users, parts, order)
     growing = [Growing(settings, len(edges_of[fit])) for fit, (settings, *_) in enumerate(asked)]
     moves: dict[int, Cuts] = {}

@@ -156,3 +156,60 @@ def test_folds_are_prepared_once_and_scored_in_one_pass(spark, monkeypatch):
     calls.clear()
     md.compare_architectures(d, 240, ["a", "b"], rounds=1, trees=1, k=2, label="y", stack_folds=2)
     assert len(calls) == 2
+
+
+def _block(n=4000, width=5, seed=3):
+    rng = np.random.default_rng(seed)
+    x = rng.integers(0, 32, (n, width)).astype(np.uint8)
+    x[:, 1] = 7
+    y = np.where(x[:, 0] + x[:, 2] * (x[:, 3] > 9) + rng.normal(0, 8, n) > 20, 1.0, -1.0)
+    return ls.Block(0, x, y, rng.integers(-2**62, 2**62, n), np.zeros(n, np.int32), np.zeros(n))
+
+
+@pytest.mark.parametrize("settings", [
+    ls.Boosted(4, 7, 0.3, 0.6, 0.7, 3, 0.001), ls.Boosted(3, 11, 0.2, 1.0, 1.0, 1), ls.Boosted(3, 5, 0.1, 0.9, 0.5, 400), ls.Boosted(2, 3, min_gain=9.0), ls.Boosted(2, 1),
+])
+def test_a_fit_in_one_task_counts_one_child_of_a_node_and_grows_the_trees_of_whole_counts(monkeypatch, settings):
+    b = _block()
+    fit, block = ls.Growing(settings, 5), b
+    while not fit.done:
+        at = fit.level()
+        found = ls.no_cuts(at)
+        for (_, first), table in ls.sums(block, at):
+            found[first:first + len(table)] = ls.best_cuts(table, at, first)
+        block = ls.move(block, fit.take(found))
+    counted = []
+    monkeypatch.setattr(ls.Part, "count", lambda self, at, *a, own=ls.Part.count: counted.append(len(at)) or own(self, at, *a))
+    for rows in (4000, 333):
+        monkeypatch.setattr(ls, "PART_ROWS", rows)
+        counted.clear()
+        got = ls.grown(b, ls.Level(settings, 0, 0, 1, 5))
+        for t, u in zip(got.trees, fit.trees, strict=True):
+            assert all(np.array_equal(v, w) for v, w in zip(t[:5], u[:5])) and np.allclose(t.value, u.value, atol=1e-12)
+        assert sum(counted) <= 4000 * settings.rounds * (1 + (settings.depth - 1) / 2)
+        assert len(got.y) == len(got.x) == len(got.margin) == 0
+    monkeypatch.setattr(ls, "STEP_ROUNDS", 1)
+    monkeypatch.setattr(ls, "STEP_ROWS", 1)
+    half = ls.grown(b, ls.Level(settings, 0, 0, 1, 5))
+    rest = ls.grown(half, ls.Level(settings, 1, 0, 1, 5))
+    assert len(half.trees) == len(rest.trees) == 1 and np.allclose(rest.trees[0].value, fit.trees[1].value)
+    assert np.allclose(half.margin, bt.outputs(half.trees, b.x.astype(np.int16), np.zeros(4000)))
+
+
+def test_a_fit_of_some_hundred_thousand_rows_needs_no_job_for_each_level(spark, jobs):
+    d = spark.range(260_000).select("id", (F.col("id") % 97).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"))
+    d = md.assemble(d.withColumn("y", (F.col("a") + 9 * F.col("b") > 50).cast("int")).coalesce(4), ["a", "b"]).persist()
+    assert d.count() == 260_000
+    assert jobs(lambda: ls.fit_lockstep([(ls.Boosted(8, 3, 0.3), d, "y", "features", "id")])) < 12
+    d.unpersist()
+
+
+def test_wide_rows_are_dealt_over_more_tasks(spark, monkeypatch):
+    d = _rows(spark, wide=True)
+    asked = [(ls.Boosted(2, 2, 0.3), d, "y", "features", "i")]
+    parts = []
+    monkeypatch.setattr(ls, "deal", lambda sets, users, n, order, own=ls.deal: parts.append(list(n)) or own(sets, users, n, order))
+    whole = ls.fit_lockstep(asked)[0]
+    monkeypatch.setattr(ls, "TASK_CELLS", 11 * 400)
+    dealt = ls.fit_lockstep(asked)[0]
+    assert parts == [[1], [3]] and all(np.allclose(x, y) for t, u in zip(whole.trees.trees, dealt.trees.trees) for x, y in zip(t, u))

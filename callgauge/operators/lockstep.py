@@ -1,4 +1,4 @@
-"""Many boosted fits at a time, in few Spark jobs.
+"""Many boosted fits, and forests of many rows, at a time, in few Spark jobs.
 
 A boosted fit is a chain, each level of each tree needs the one before, and a level is little work. Spark's own learner
 starts jobs for each level of each fit; a search over folds and settings asks for tens of thousands. Here all fits that
@@ -7,6 +7,7 @@ level: tasks add up counts and residuals by (node, column, bin), reducers, one f
 and take the cuts, and the next step moves the rows. A fit of fewer rows lies in one task, where the tables of its nodes are
 whole: it grows by ``STEP_ROWS`` rows times trees, ``STEP_ROUNDS`` trees at least, without any exchange, and counts only the
 smaller child of each node. Only cuts and trees reach the driver.
+A forest (``Bagged``) grows in the same way, but in one task only; Spark's own learner has smaller and larger ones.
 
 The trees are those of Spark's boosted classifier: labels of -1 and 1, regression trees on the residuals of the log
 loss, cut where the variance falls most, first tree at full weight. Columns are cut at 31 places at most. Rows of a round are drawn by a
@@ -16,6 +17,7 @@ hash of their key, columns of a node by a hash of its place, so neither depends
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from typing import NamedTuple
@@ -47,6 +49,7 @@ BLOCK_ROWS = 10_000
 PART_ROWS = 131_072
 #: Rows whose values are counted one by one to find the edges of bins.
 COUNTED_ROWS = 10_000
+POINTS = 1_000
 
 
 class Boosted(NamedTuple):
@@ -64,16 +67,32 @@ class Boosted(NamedTuple):
         return fit_lockstep([(self, df, label, features, None)])[0]
 
 
+class Bagged(NamedTuple):
+    """Settings of a forest: how often a row counts in a tree is a Poisson draw, a node may use ``columns`` of all, cuts lower
+    the Gini impurity most. With ``balanced`` both classes weigh the same."""
+
+    rounds: int = 100
+    depth: int = 4
+    balanced: bool = True
+    columns: float = 1.0
+    min_rows: int = 1
+    min_gain: float = 0.0
+    subsample: float = 1.0
+    #: Weights of the two classes, found with the rows.
+    weights: tuple[float, float] = (1.0, 1.0)
+
+
 class VectorTrees:
-    """Boosted trees over the entries of a vector column."""
+    """Trees over the entries of a vector column: boosted ones, or a forest (``mean``), whose output is the mean of its leaves."""
 
-    def __init__(self, trees: BoostedTrees, features: str):
-        self.trees, self.features = trees, features
+    def __init__(self, trees: BoostedTrees, features: str, mean: bool = False):
+        self.trees, self.features, self.mean = trees, features, mean
 
     def score(self, df: DataFrame, name: str = "score") -> DataFrame:
         # bins are found beside the trees, of the whole vector: expressions for each edge of each column, and these for
         # each of many models, would take longer to compile than to run
         shared = df.sparkSession.sparkContext.broadcast((edge_arrays(self.trees.edges), self.trees.trees, self.trees.start))
+        mean = self.mean
 
         @F.pandas_udf("double")
         def out(x: pd.Series) -> pd.Series:
@@ -82,7 +101,8 @@ class VectorTrees:
                 return pd.Series([], dtype="float64")
             missing = np.full(len(edges), np.nan)
             bins = bins_of(np.stack([missing if v is None else v for v in x]), edges)
-            return pd.Series(1 / (1 + np.exp(-outputs(trees, bins, np.full(len(x), start)))))
+            out = outputs(trees, bins, np.full(len(x), start))
+            return pd.Series(out / len(trees) if mean else 1 / (1 + np.exp(-out)))
 
         return df.withColumn(name, out(vector_to_array(self.features)))
 
@@ -111,11 +131,12 @@ def vector_edges(df: DataFrame, features: str, bins: int = BINS) -> tuple[int, d
     return edges_of_sets([(df, features)], bins)[0]
 
 
-def edges_of_sets(sets: Sequence[tuple[DataFrame, str]], bins: int = BINS) -> list[tuple[int, dict[str, list[float]]]]:
+def edges_of_sets(sets: Sequence[tuple[DataFrame, str]], bins: int = BINS, middle: frozenset[int] = frozenset()) -> list[tuple[int, dict[str, list[float]]]]:
     """The same for each of many (rows, vector column), in as many jobs as for one.
 
     Few rows are counted by value and cut in the middle between values, as Spark's trees do; of more rows, which these would
-    sample, the values at the inner quantiles of all rows are taken.
+    sample, the values at the inner quantiles of all rows are taken, or, for the sets in ``middle``, middles between values
+    at ``POINTS`` quantiles, so that many equal values do not take the place of other cuts.
     """
     vectors = [df.select(F.lit(i).alias("i"), vector_to_array(features).alias("x")) for i, (df, features) in enumerate(sets)]
     together = lambda which: reduce(DataFrame.unionByName, [vectors[i] for i in which])
@@ -129,11 +150,12 @@ def edges_of_sets(sets: Sequence[tuple[DataFrame, str]], bins: int = BINS) -> li
         counts = together(few).select("i", F.posexplode("x").alias("k", "v")).groupBy("i", "k", "v").agg(F.count(F.lit(1)).alias("n"))
         found = {(i, k): c for i, k, c in counts.groupBy("i", "k").agg(F.sort_array(F.collect_list(F.struct("v", "n")))).collect()}
         out |= {i: [middles(found[i, k], min(bins, size[i][0])) for k in range(size[i][1])] for i in few}
-    if many:
-        cuts = F.array(*[F.lit(i / bins) for i in range(1, bins)])
-        widest = max(size[i][1] for i in many)
-        entries = [F.percentile_approx(F.get("x", F.lit(k)), cuts, F.lit(ACCURACY)) for k in range(widest)]
-        out |= {i: [sorted(set(e)) for e in found[:size[i][1]]] for i, *found in together(many).groupBy("i").agg(*entries).collect()}
+    for some, points, cut in ((set(many) - middle, bins, lambda e: sorted(set(e))), (set(many) & middle, POINTS, lambda e: middles(sorted(Counter(e).items()), bins))):
+        if some:
+            cuts = F.array(*[F.lit(i / points) for i in range(1, points)])
+            widest = max(size[i][1] for i in some)
+            entries = [F.percentile_approx(F.get("x", F.lit(k)), cuts, F.lit(ACCURACY)) for k in range(widest)]
+            out |= {i: [cut(e) for e in found[:size[i][1]]] for i, *found in together(sorted(some)).groupBy("i").agg(*entries).collect()}
     return [(size[i][0], {f"__x{k}": e for k, e in enumerate(out[i])}) for i in range(len(sets))]
 
 
@@ -179,6 +201,11 @@ class Block(NamedTuple):
     trees: Sequence[Tree] = ()
 
 
+def task_rows(width: int) -> int:
+    """Rows of so many columns that one task works on."""
+    return max(1, min(TASK_ROWS, TASK_CELLS // max(1, width)))
+
+
 def deal(sets: Sequence[DataFrame], users: dict[int, list[int]], parts: Sequence[int], order: Sequence[int]) -> RDD:
     """Every block of a set once for each fit that uses it, those of a fit evenly over its ``parts`` tasks and joined there.
 
@@ -222,7 +249,7 @@ class Cuts(NamedTuple):
 class Level(NamedTuple):
     """What a fit asks of the next job."""
 
-    settings: Boosted
+    settings: Boosted | Bagged
     round_: int
     depth: int
     nodes: int
@@ -282,6 +309,16 @@ def open_columns(level: Level, first: int, n: int) -> np.ndarray:
     return np.argsort(np.argsort(x, axis=1, kind="stable"), axis=1) < take
 
 
+def purer(s: Bagged, n: np.ndarray, r: np.ndarray, all_n: np.ndarray, all_r: np.ndarray) -> np.ndarray:
+    """By how much a cut lowers the Gini impurity: rows and positives of the left side and of all."""
+    def squares(n, r):
+        a, b = s.weights[0] * (n - r), s.weights[1] * r
+        return (a**2 + b**2) / (a + b), a + b
+
+    (whole, weight), (left, _), (right, _) = squares(all_n, all_r), squares(n, r), squares(all_n - n, all_r - r)
+    return (left + right - whole) / weight
+
+
 def best_cuts(table: np.ndarray, level: Level, first: int) -> np.ndarray:
     """Of each node: column (-1: none gains enough), cut, rows and sum of all, rows and sum of the left side."""
     s = level.settings
@@ -289,7 +326,7 @@ def best_cuts(table: np.ndarray, level: Level, first: int) -> np.ndarray:
     all_n, all_r = n[:, :1, -1:], r[:, :1, -1:]
     n, r = n[..., :-1], r[..., :-1]
     with np.errstate(divide="ignore", invalid="ignore"):
-        gain = (r**2 / n + (all_r - r) ** 2 / (all_n - n) - all_r**2 / all_n) / all_n
+        gain = purer(s, n, r, all_n, all_r) if isinstance(s, Bagged) else (r**2 / n + (all_r - r) ** 2 / (all_n - n) - all_r**2 / all_n) / all_n
     low = max(s.min_rows, 1)
     ok = (n >= low) & (all_n - n >= low) & open_columns(level, first, len(table))[:, :, None]
     gain = np.where(ok, np.round(gain, DIGITS), -np.inf).reshape(len(table), -1)
@@ -310,7 +347,7 @@ def no_cuts(level: Level) -> np.ndarray:
 class Growing:
     """A fit that grows: its trees after the ``earlier`` ones, and the level that the last has come to."""
 
-    def __init__(self, settings: Boosted, width: int, earlier: int = 0):
+    def __init__(self, settings: Boosted | Bagged, width: int, earlier: int = 0):
         self.settings, self.width, self.earlier = settings, width, earlier
         self.trees: list[Tree] = []
         self.start()
@@ -323,6 +360,11 @@ class Growing:
         self.depth, self.ids = 0, np.zeros(1, np.int64)
         self.column, self.cut, self.value, self.left, self.right = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1), np.full(1, -1), np.full(1, -1)
 
+    @property
+    def weight(self) -> float:
+        """What the mean of a leaf counts for."""
+        return 1.0 if isinstance(self.settings, Bagged) else 2.0 * (self.settings.rate if self.round_ else 1.0)
+
     @property
     def done(self) -> bool:
         return self.round_ >= self.settings.rounds
@@ -334,7 +376,7 @@ class Growing:
         """Write the cuts of a level down and say where its rows go."""
         column, cut = found[:, 0].astype(np.int64), found[:, 1].astype(np.int64)
         n, r = np.stack([found[:, 4], found[:, 2] - found[:, 4]], 1), np.stack([found[:, 5], found[:, 3] - found[:, 5]], 1)
-        weight = 2.0 * (self.settings.rate if self.round_ else 1.0)
+        weight = self.weight
         own = weight * np.divide(found[:, 3], found[:, 2], out=np.zeros(len(found)), where=found[:, 2] > 0)
         split = column >= 0
         value = np.repeat(own[:, None], 2, 1)
@@ -450,6 +492,87 @@ class Part:
             at, place = self.settle(way, at, self.fates(way, at, place))
 
 
+class BaggedPart(Part):
+    """The same for a forest, whose trees do not need the outputs of those before."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, u: np.ndarray, margin: np.ndarray):
+        super().__init__(x, y, u, margin)
+        # a bin and its row's label in one number
+        self.columns, self.pairs = ((a * 2 + (y > 0)).astype(kind) for a, kind in ((self.columns, np.uint8), (self.pairs, np.int16)))
+
+    def start(self, round_: int, share: float) -> None:
+        times = poisson(self.u, round_)
+        self.at = np.flatnonzero(times)
+        self.r, self.place = times.astype(float), np.zeros(len(self.at), np.int64)
+
+    def settle(self, way: Route, at: np.ndarray, fate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if way.further == len(way.value):
+            return at, fate
+        goes = fate < way.further
+        return at[goes], fate[goes]
+
+    def count(self, at: np.ndarray, place: np.ndarray | None, out: np.ndarray) -> None:
+        r, nodes = self.r[at], out.shape[2] // BINS
+        two = len(self.pairs) if nodes * BINS**2 <= len(at) else 0
+
+        def tables(codes: np.ndarray, cells: int) -> np.ndarray:
+            code = codes[at] if place is None else place * (cells * 2) + codes[at]
+            n = np.bincount(code, r, nodes * cells * 2).reshape(-1, 2)
+            return np.stack([n[:, 0] + n[:, 1], n[:, 1]])
+
+        for k in range(two):
+            both = tables(self.pairs[k], BINS**2).reshape(2, nodes, BINS, BINS)
+            out[:, 2 * k] += both.sum(axis=3).reshape(2, -1)
+            out[:, 2 * k + 1] += both.sum(axis=2).reshape(2, -1)
+        for k in range(2 * two, len(self.columns)):
+            out[:, k] += tables(self.columns[k], BINS)
+
+    def finish(self, ways: Sequence[Route]) -> None:
+        pass
+
+
+#: Shares of draws of mean 1 that are 0, at most 1, and so on.
+POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+
+
+def poisson(u: np.ndarray, round_: int) -> np.ndarray:
+    """How often each row counts in a round: a draw of mean 1 from a hash of its number ``u`` and the round."""
+    with np.errstate(over="ignore"):
+        x = u.view(np.uint64) + np.uint64(round_ + 1) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    x = (x ^ (x >> np.uint64(31))) >> np.uint64(11)
+    out = np.zeros(len(u), np.int8)
+    for share in POISSON:
+        more = x >= np.uint64(int(share * 2**53))
+        if not more.any():
+            break
+        out += more
+    return out
+
+
+def leaf_shares(tree: Tree, weights: tuple[float, float]) -> Tree:
+    """Leaves hold the weighted share of positives; as in Spark's forests, leaves side by side that say the same class become one."""
+    share = weights[1] * tree.value / (weights[1] * tree.value + weights[0] * (1 - tree.value))
+    left, right = tree.left.copy(), tree.right.copy()
+    while True:
+        inner = np.flatnonzero(left >= 0)
+        a, b = left[inner], right[inner]
+        same = inner[(left[a] < 0) & (left[b] < 0) & ((share[a] > 0.5) == (share[b] > 0.5))]
+        if not len(same):
+            break
+        left[same] = right[same] = -1
+    # nodes that nothing leads to any more are left out
+    kept, at = [np.zeros(1, np.int64)], np.zeros(1, np.int64)
+    while len(at := at[left[at] >= 0]):
+        kept.append(at := np.concatenate([left[at], right[at]]).astype(np.int64))
+    keep = np.sort(np.concatenate(kept))
+    place = np.full(len(left), -1, np.int32)
+    place[keep] = np.arange(len(keep))
+    left, right = (np.where(c[keep] >= 0, place[c[keep]], -1).astype(np.int32) for c in (left, right))
+    return Tree(tree.column[keep], tree.cut[keep], tree.missing_left[keep], left, right, share[keep])
+
+
 def node_tables(sums_: np.ndarray) -> np.ndarray:
     """Tables (place, column, bin, count and sum) of what ``Part.count`` has added up."""
     return sums_.reshape(2, sums_.shape[1], -1, BINS).transpose(2, 1, 3, 0)
@@ -488,13 +611,22 @@ def grow_tree(fit: Growing, parts: Sequence[Part]) -> None:
 
 def grown(block: Block, level: Level) -> Block:
     """A fit whose rows are all here, some trees further."""
-    fit = Growing(level.settings, level.width, level.round_)
+    settings, kind = level.settings, Part
+    if isinstance(settings, Bagged):
+        positive = int((block.y > 0).sum())
+        counts = (len(block.y) - positive, positive)
+        if settings.balanced:
+            settings = settings._replace(weights=tuple(len(block.y) / (sum(c > 0 for c in counts) * c) if c else 1.0 for c in counts))
+        kind = BaggedPart
+    fit = Growing(settings, level.width, level.round_)
     rounds = max(STEP_ROUNDS, STEP_ROWS // len(block.y))
     margin = block.margin.copy()
     cuts = [slice(k, k + PART_ROWS) for k in range(0, len(margin), PART_ROWS)]
-    parts = [Part(block.x[c], block.y[c], block.u[c], margin[c]) for c in cuts]
+    parts = [kind(block.x[c], block.y[c], block.u[c], margin[c]) for c in cuts]
     while not fit.done and len(fit.trees) < rounds:
         grow_tree(fit, parts)
+        if kind is BaggedPart:
+            fit.trees[-1] = leaf_shares(fit.trees[-1], settings.weights)
     if fit.done:  # its rows are not needed again
         return Block(block.fit, block.x[:0].copy(), *(a[:0].copy() for a in (block.y, block.u, block.node, margin)), fit.trees)
     return block._replace(margin=margin, trees=fit.trees)
@@ -525,22 +657,24 @@ def step(state: RDD, moves: dict[int, Cuts], levels: dict[int, Level], whole: se
     return fresh, run
 
 
-def fit_lockstep(asked: Sequence[tuple[Boosted, DataFrame, str, str, str | None]]) -> list[VectorTrees]:
+def fit_lockstep(asked: Sequence[tuple[Boosted | Bagged, DataFrame, str, str, str | None]]) -> list[VectorTrees]:
     """Models of all (settings, rows, label, features, key or nothing), grown together."""
     spark = asked[0][1].sparkSession
     shared_folder(spark)
     # settings that are fitted to the same rows share their blocks
     sets: dict[tuple, tuple] = {}
     users: dict[int, list[int]] = {}
-    for fit, (_, df, label, features, key) in enumerate(asked):
-        place, *_ = sets.setdefault((id(df), label, features, key), (len(sets), df, label, features, key))
+    for fit, (settings, df, label, features, key) in enumerate(asked):
+        place, *_ = sets.setdefault((id(df), label, features, key, isinstance(settings, Bagged)), (len(sets), df, label, features, key))
         users.setdefault(place, []).append(fit)
-    found = edges_of_sets([(df, features) for _, df, _, features, _ in sets.values()])
+    found = edges_of_sets([(df, features) for _, df, _, features, _ in sets.values()], middle=frozenset(i for i, (*_, bagged) in enumerate(sets) if bagged))
     prepared = [(n, edges, blocks(df, label, features, key, edges)) for (n, edges), (_, df, label, features, key) in zip(found, sets.values())]
     edges_of = {fit: prepared[place][1] for place, fits in users.items() for fit in fits}
     rows = {fit: prepared[place][0] for place, fits in users.items() for fit in fits}
-    parts = [math.ceil(rows[fit] / max(1, min(TASK_ROWS, TASK_CELLS // max(1, len(edges_of[fit]))))) for fit in range(len(asked))]
+    parts = [math.ceil(rows[fit] / task_rows(len(edges_of[fit]))) for fit in range(len(asked))]
     whole = {fit for fit, n in enumerate(parts) if n == 1}
+    if any(isinstance(asked[fit][0], Bagged) for fit in set(range(len(asked))) - whole):
+        raise ValueError(f"forests of over {TASK_ROWS} rows are not grown here")
     # tasks begin in their order: the longest first
     order = sorted(range(len(asked)), key=lambda fit: -rows[fit] / parts[fit] * asked[fit][0].rounds * asked[fit][0].depth * len(edges_of[fit]))
     state = deal([b for *_, b in prepared], users, parts, order)
@@ -569,4 +703,4 @@ def fit_lockstep(asked: Sequence[tuple[Boosted, DataFrame, str, str, str | None]
         before.unpersist()
     if old:
         discard(spark, old)
-    return [VectorTrees(BoostedTrees(edges_of[fit], g.trees, 0.0, True), asked[fit][3]) for fit, g in enumerate(growing)]
+    return [VectorTrees(BoostedTrees(edges_of[fit], g.trees, 0.0, True), asked[fit][3], isinstance(asked[fit][0], Bagged)) for fit, g in enumerate(growing)]

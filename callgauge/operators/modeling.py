@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -22,7 +23,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from callgauge.operators.evaluation import roc_auc
 from callgauge.operators.features import constant_columns, impute_train_median, standard_scale
-from callgauge.operators.lockstep import Boosted, VectorTrees, fit_lockstep
+from callgauge.operators import lockstep
+from callgauge.operators.lockstep import Bagged, Boosted, VectorTrees, fit_lockstep
 from callgauge.operators.ordering import chronological_index
 from callgauge.session import materialize
 
@@ -204,18 +206,43 @@ def scored(model, df: DataFrame, name: str = "score") -> DataFrame:
 FitFn = Callable[[DataFrame, str, str], object]
 
 
+class Forest(NamedTuple):
+    """Settings of a forest; called, it is the fit by Spark's own learner."""
+
+    trees: int = 100
+    depth: int = 4
+    balanced: bool = True
+
+    def __call__(self, df: DataFrame, label: str, features: str):
+        return fit_forest(df, label, features, *self)
+
+    def together(self, df: DataFrame, features: str) -> Bagged | None:
+        """The settings to grow it beside the boosted fits, where its rows are many, but fit one task.
+
+        Spark's learner goes down every tree from its root for each row and level. It keeps the small fits, of which it
+        samples no rows to find the edges of bins, and those that must be spread over tasks.
+        """
+        n, width = df.agg(F.count(F.lit(1)), F.max(F.size(vector_to_array(features)))).first()
+        if n <= lockstep.COUNTED_ROWS or n > lockstep.task_rows(width):
+            return None
+        return Bagged(self.trees, self.depth, self.balanced, math.ceil(math.sqrt(width)) / width if self.trees > 1 else 1.0)
+
+
 def validation_models(rounds: int = 200, trees: int = 100) -> dict[str, FitFn]:
     """The three models of the validation step."""
     return {
         "Logistic Regression": lambda d, y, x: fit_logistic(d, y, x),
-        "Random Forest": lambda d, y, x: fit_forest(d, y, x, trees, 6),
+        "Random Forest": Forest(trees, 6),
         "Boosted Trees": Boosted(rounds, 6, 0.1),
     }
 
 
 def fit_all(spark: SparkSession, asked: Sequence[tuple[FitFn, DataFrame, str, str, str]]) -> list:
-    """Models of all (fit, rows, label, features, key) in their order: boosted ones grow together, beside the others."""
-    together = [i for i, a in enumerate(asked) if isinstance(a[0], Boosted)]
+    """Models of all (fit, rows, label, features, key) in their order: boosted ones and large forests grow together, beside the others."""
+    forests = [i for i, a in enumerate(asked) if isinstance(a[0], Forest)]
+    large = dict(zip(forests, side_by_side(spark, [lambda a=asked[i]: a[0].together(a[1], a[3]) for i in forests])))
+    asked = [(large.get(i) or a[0], *a[1:]) for i, a in enumerate(asked)]
+    together = [i for i, a in enumerate(asked) if isinstance(a[0], Boosted | Bagged)]
     others = [i for i in range(len(asked)) if i not in set(together)]
     jobs = [lambda: fit_lockstep([asked[i] for i in together])] if together else []
     out = side_by_side(spark, jobs + [lambda i=i: asked[i][0](*asked[i][1:4]) for i in others])
@@ -449,7 +476,7 @@ def compare_architectures(indexed: DataFrame, n: int, cols: Sequence[str], round
     """Fold AUC of boosted trees, forest and stack; (architecture, fold, auc)."""
     spark = indexed.sparkSession
     boosted = Boosted(rounds, 6, 0.3, 1.0, 1.0)
-    forest = lambda d, y, x: fit_forest(d, y, x, trees, 10, balanced=False)
+    forest = Forest(trees, 10, False)
     alone, base = {"Boosted Trees": boosted, "Random Forest": forest}, {"rf": forest, "gbt": boosted}
 
     # the larger folds first; each is prepared once, for the models alone and for its stack

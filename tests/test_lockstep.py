@@ -213,3 +213,64 @@ def test_wide_rows_are_dealt_over_more_tasks(spark, monkeypatch):
     monkeypatch.setattr(ls, "TASK_CELLS", 11 * 400)
     dealt = ls.fit_lockstep(asked)[0]
     assert parts == [[1], [3]] and all(np.allclose(x, y) for t, u in zip(whole.trees.trees, dealt.trees.trees) for x, y in zip(t, u))
+
+
+@pytest.mark.parametrize("balanced", [False, True])
+def test_a_tree_of_all_rows_is_that_of_sparks_forest(spark, monkeypatch, balanced):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    d = _rows(spark).drop("features")
+    # weights move the edges of Spark's bins where values are many
+    d = md.assemble(d, [*"ab"] if balanced else [*"abc"]).persist()
+    weighted = (md.balanced_weights(d, "y", "__w") if balanced else d.withColumn("__w", F.lit(1.0))).coalesce(1)
+    monkeypatch.setattr(ls, "poisson", lambda u, round_: np.ones(len(u), np.int8))
+    (n, edges), block = ls.vector_edges(d, "features"), []
+    rows = ls.blocks(d, "y", "features", "i", edges).collect()
+    u, y, x = (np.concatenate([np.frombuffer(r[c], kind) for r in rows]) for c, kind in (("u", np.int64), ("y", np.int8), ("x", np.uint8)))
+    block = ls.Block(0, x.reshape(n, -1), y * 2.0 - 1, u, np.zeros(n, np.int32), np.zeros(n))
+    for depth in (1, 3, 8):
+        own = RandomForestClassifier(labelCol="y", featuresCol="features", weightCol="__w", numTrees=1, maxDepth=depth, bootstrap=False).fit(weighted)
+        got = ls.grown(block, ls.Level(ls.Bagged(1, depth, balanced), 0, 0, 1, len(edges)))
+        assert len(got.trees[0].left) == own.trees[0].numNodes
+        mine = ls.VectorTrees(bt.BoostedTrees(edges, got.trees, 0.0, True), "features", True)
+        both = md.scored(mine, md.scored(own, d, "s1"), "s2")
+        assert both.select(F.max(F.abs(F.col("s1") - F.col("s2")))).first()[0] < 1e-12
+
+
+def test_rows_of_a_tree_are_poisson_draws():
+    u = np.random.default_rng(0).integers(-2**62, 2**62, 20_000)
+    draws = np.stack([ls.poisson(u, k) for k in range(20)])
+    assert abs(draws.mean() - 1) < 0.01 and abs(draws.var() - 1) < 0.02 and abs(np.corrcoef(draws) - np.eye(20)).max() < 0.04
+    assert (ls.poisson(u[100:200], 7) == draws[7, 100:200]).all()
+
+
+def test_large_forests_grow_beside_the_boosted_fits(spark, monkeypatch):
+    d = _rows(spark).withColumnRenamed("i", "idx").withColumnRenamed("features", "__x").persist()
+    calls, own = [], []
+    monkeypatch.setattr(md, "fit_lockstep", lambda asked: calls.append([type(a[0]) for a in asked]) or ls.fit_lockstep(asked))
+    monkeypatch.setattr(md, "fit_forest", lambda *a, fit=md.fit_forest, **k: own.append(a[3:]) or fit(*a, **k))
+    forest = md.Forest(40, 5, True)
+    asked = [(ls.Boosted(2, 2), d, "y", "__x", "idx"), (forest, d, "y", "__x", "idx"), (forest, d.filter("idx < 500"), "y", "__x", "idx")]
+    few = md.fit_all(spark, asked)
+    assert calls == [[ls.Boosted]] and own == [(40, 5, True)] * 2
+    calls.clear(), own.clear()
+    monkeypatch.setattr(ls, "COUNTED_ROWS", 700)
+    many = md.fit_all(spark, asked)
+    assert calls == [[ls.Boosted, ls.Bagged]] and own == [(40, 5, True)]
+    a, b = (md.scored(models[1], d, "s") for models in (few, many))
+    auc = [ev.roc_auc(m, "s", "y").first().roc_auc for m in (a, b)]
+    assert min(auc) > 0.9 and abs(auc[0] - auc[1]) < 0.02
+    assert a.join(b.select("idx", F.col("s").alias("t")), "idx").select(F.avg(F.abs(F.col("s") - F.col("t")))).first()[0] < 0.05
+    assert len(many[1].trees.trees) == 40 and b.agg(F.min("s"), F.max("s")).first()[0] >= 0
+    monkeypatch.setattr(ls, "TASK_ROWS", 900)
+    assert forest.together(d, "__x") is None
+    with pytest.raises(ValueError, match="forests of over"):
+        ls.fit_lockstep([(ls.Bagged(2, 2), d, "y", "__x", "idx")])
+
+
+def test_many_equal_values_leave_a_forest_its_other_cuts(spark, monkeypatch):
+    d = spark.range(2000).select("id", F.when(F.col("id") < 1500, 0.0).otherwise(F.col("id").cast("double")).alias("a"), (F.col("id") % 2).cast("int").alias("y"))
+    d = md.assemble(d, ["a"])
+    monkeypatch.setattr(ls, "COUNTED_ROWS", 900)
+    (_, quantiles), (_, found) = ls.edges_of_sets([(d, "features")] * 2, middle=frozenset([1]))
+    assert len(quantiles["__x0"]) < 12 < len(found["__x0"]) <= 31 and min(found["__x0"]) > 0
